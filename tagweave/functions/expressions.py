@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """Column name for expressions; match columns of negative ids need the quoting."""
+    return f"`{name}`"
+
+
 def named(name: str) -> Column:
-    """Column by exact name; match columns of negative ids need the quoting."""
-    return F.col(f"`{name}`")
+    """Column by exact name."""
+    return F.col(quoted(name))
 
 
 def fail_unless(condition: Column, *message: Column | str) -> Column:
@@ -25,30 +30,19 @@ def graph_token(line: Column, position: int, kind: str) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit("not a graph line: "), line)).cast(kind))
 
 
-def all_different(new: str, bound: Iterable[str]) -> Column | None:
+def all_different(new: str, bound: Iterable[str]) -> str:
     """No data vertex twice: the new column differs from the given bound columns.
 
-    Only same-tag columns need to be passed, a vertex has one tag.
+    Only same-tag columns need to be passed, a vertex has one tag. Empty if there are none.
     """
-    condition = None
-    for other in bound:
-        unequal = named(new) != named(other)
-        condition = unequal if condition is None else condition & unequal
-    return condition
+    return " AND ".join(f"{quoted(new)} <> {quoted(other)}" for other in bound)
 
 
 def keep_injective(df: DataFrame, new: str, bound: Iterable[str]) -> DataFrame:
     condition = all_different(new, bound)
-    return df if condition is None else df.where(condition)
+    return df.where(condition) if condition else df
 
 
 def match_line(columns: Iterable[str]) -> Column:
     """One match as the comma separated line of the result file."""
     return F.concat_ws(",", *[named(c).cast("string") for c in columns])
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    result = F.lit(False)
-    for i, condition in enumerate(conditions):
-        result = condition if i == 0 else result | condition
-    return result

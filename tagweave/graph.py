@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.operators.hubs import Hubs, hub_fan_out, hubs_from_rows
+from tagweave.operators.hubs import Hubs, hub_fan_out, hub_table, hubs_from_rows
 from tagweave.operators.skew import SPLIT_ROWS
 from tagweave.operators.tagging import hub_endpoints, load_tagged, store_tagged, tag_edges, unique_vertices
+from tagweave.session import new_folder
 
-_HUB_SCHEMA = "side string, src_tag int, dst_tag int, id long, n long"
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,14 @@ class TaggedGraph:
     def spark(self) -> SparkSession:
         return self.tagged.sparkSession
 
+    def persist(self) -> TaggedGraph:
+        """Cache the tagged edges, for several patterns over a graph that fits in memory.
+
+        The cache is sorted by tags, so batches of other tags are skipped.
+        """
+        order = ("src_tag", "dst_tag", "src")
+        return TaggedGraph(self.vertices, self.tagged.sortWithinPartitions(*order).persist(), self.hubs)
+
     def unpersist(self) -> None:
         self.tagged.unpersist()
 
@@ -36,36 +45,35 @@ def build_graph(
     store: str | None = None,
     split_at: int = SPLIT_ROWS,
 ) -> TaggedGraph:
-    """Tag the edges once and keep them for all patterns and stars.
-
-    Without ``store`` the tagged edges are cached, partitioned by src and sorted by
-    tags, so that cached batches of other tags are skipped. With ``store`` they are
-    written below that folder as Parquet sorted by tags: for graphs beyond the
-    cluster's memory, and to survive lost executors without tagging again.
+    """Tag the edges once, for all patterns, and keep them as tables.
 
-    A dangling edge or a vertex with two tags stops this call.
+    The tables go below ``store``, or below a new folder in ``spark.checkpoint.dir``. A
+    lost executor then costs a new read, not a new tagging, and the plans built on the
+    graph start from a plain scan. A dangling edge or a vertex with two tags stops this
+    call.
     """
+    spark = vertices.sparkSession
+    path = store or new_folder(spark, "graph")
+    unique_vertices(vertices).write.mode("error").parquet(f"{path}/vertices")
+    known = _stored_vertices(spark, path)
     endpoints = hub_endpoints(edges, split_at)
-    known = unique_vertices(vertices)
-    tagged = tag_edges(vertices, edges, on_dangling, endpoints, split_at)
-    if store is not None:
-        store_tagged(tagged, f"{store}/edges")
-        known.write.mode("error").parquet(f"{store}/vertices")
-        tagged = load_tagged(vertices.sparkSession, f"{store}/edges")
-        hubs = hub_fan_out(tagged, endpoints, split_at)
-        spark = vertices.sparkSession
-        spark.createDataFrame(hubs.rows(), _HUB_SCHEMA).coalesce(1).write.mode("error").parquet(f"{store}/hubs")
-        return TaggedGraph(spark.read.parquet(f"{store}/vertices"), tagged, hubs)
-    tagged = tagged.sortWithinPartitions("src_tag", "dst_tag", "src").persist()
-    tagged.count()
-    return TaggedGraph(known, tagged, hub_fan_out(tagged, endpoints, split_at))
+    store_tagged(tag_edges(known, edges, on_dangling, endpoints, split_at), f"{path}/edges")
+    tagged = load_tagged(spark, f"{path}/edges")
+    hubs = hub_fan_out(tagged, endpoints, split_at)
+    if hubs:
+        hub_table(spark, hubs).write.mode("error").parquet(f"{path}/hubs")
+    return TaggedGraph(known, tagged, hubs)
 
 
 def load_graph(spark: SparkSession, path: str, split_at: int = SPLIT_ROWS) -> TaggedGraph:
     """A graph written by ``build_graph(store=path)``."""
-    rows = [tuple(row) for row in spark.read.parquet(f"{path}/hubs").collect()]
-    return TaggedGraph(
-        spark.read.parquet(f"{path}/vertices"),
-        load_tagged(spark, f"{path}/edges"),
-        hubs_from_rows(rows, split_at),
-    )
+    tagged = load_tagged(spark, f"{path}/edges")
+    try:
+        rows = [tuple(row) for row in spark.read.parquet(f"{path}/hubs").collect()]
+    except AnalysisException:  # no such table: a graph without hubs
+        rows = []
+    return TaggedGraph(_stored_vertices(spark, path), tagged, hubs_from_rows(rows, split_at))
+
+
+def _stored_vertices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, tag int").parquet(f"{path}/vertices")

@@ -122,6 +122,12 @@ def hubs_from_rows(rows: Iterable[tuple[str, int, int, int, int]], split_at: int
     return hubs
 
 
+def hub_table(spark: SparkSession, hubs: Hubs) -> DataFrame:
+    """The hubs as rows (side, src_tag, dst_tag, id, n)."""
+    names = ("side", "src_tag", "dst_tag", "id", "n")
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*hubs.rows()))))))
+
+
 def hub_fan_out(
     tagged: DataFrame, endpoints: dict[str, dict[int, int]], split_at: int = SPLIT_ROWS
 ) -> Hubs:

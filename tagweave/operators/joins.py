@@ -159,9 +159,9 @@ def attach_mixed(matches: DataFrame, pattern: Pattern, star: Star, slices: Slice
 
 def cross_components(left: DataFrame, right: DataFrame, pattern: Pattern) -> DataFrame:
     """Matches of two parts that share no vertex: every pair with all vertices distinct."""
-    condition = None
-    for new in bound_vertices(right, pattern):
-        differ = all_different(column(new), _must_differ(pattern, new, bound_vertices(left, pattern)))
-        if differ is not None:
-            condition = differ if condition is None else condition & differ
-    return grid_product(left, right, condition)
+    bound = bound_vertices(left, pattern)
+    differ = [
+        all_different(column(new), _must_differ(pattern, new, bound))
+        for new in bound_vertices(right, pattern)
+    ]
+    return grid_product(left, right, " AND ".join(filter(None, differ)))

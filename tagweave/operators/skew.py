@@ -12,7 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import named
@@ -88,7 +88,7 @@ def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def grid_product(left: DataFrame, right: DataFrame, condition: Column | None = None) -> DataFrame:
+def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> DataFrame:
     """Every pair of rows of two tables, computed as an equi-join on a grid of cells.
 
     The rows of each side are dealt to the grid's rows or columns by a hash and copied
@@ -106,4 +106,4 @@ def grid_product(left: DataFrame, right: DataFrame, condition: Column | None = N
     pairs = place(left, "cell_row", "cell_col").join(
         place(right, "cell_col", "cell_row"), ["cell_row", "cell_col"]
     ).drop("cell_row", "cell_col")
-    return pairs if condition is None else pairs.where(condition)
+    return pairs.where(condition) if condition else pairs

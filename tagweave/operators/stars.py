@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions.expressions import any_of
 from tagweave.operators.hubs import Hubs
 from tagweave.operators.skew import BROADCAST_ROWS, broadcast_if_small, skew_join
-from tagweave.operators.slices import pair_condition, with_tag_pairs
+from tagweave.operators.slices import EDGE_COLUMNS, has_tag_pair, with_tag_pairs
 from tagweave.pattern import Star
 
 # Most children in one row of the array form of a star.
@@ -79,30 +78,27 @@ def star_tag_pairs(pattern_stars: Sequence[Star]) -> list[tuple[int, int]]:
 def signatures(tagged: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """Per source vertex, its neighbour count for each tag pair: (src, src_tag, n0, n1, ...).
 
-    One aggregation for all stars of a pattern, with map-side combine; no exchange when
-    the edges are clustered by src.
+    One aggregation with map-side combine serves all stars of a pattern.
     """
     return with_tag_pairs(tagged, pairs).groupBy("src", "src_tag").agg(
-        *[F.count_if(pair_condition(a, [b])).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]
+        *[F.expr(f"count_if({has_tag_pair([pair])}) AS n{i}") for i, pair in enumerate(pairs)]
     )
 
 
-def satisfies(star: Star, pairs: Sequence[tuple[int, int]]) -> Column:
+def satisfies(star: Star, pairs: Sequence[tuple[int, int]]) -> str:
     """Signature test of a star: right tag and enough neighbours of each child tag."""
-    condition = F.col("src_tag") == star.root_tag
-    for tag, k in star.required.items():
-        condition = condition & (F.col(f"n{pairs.index((star.root_tag, tag))}") >= k)
-    return condition
+    enough = [
+        f"n{pairs.index((star.root_tag, tag))} >= {k}" for tag, k in star.required.items()
+    ]
+    return " AND ".join([f"src_tag = {star.root_tag}", *enough])
 
 
 def star_candidates(tagged: DataFrame, pattern_stars: Sequence[Star]) -> DataFrame:
     """Vertices that can be the root of each star: (star_id, root)."""
     pairs = star_tag_pairs(pattern_stars)
-    fulfilled = F.array_compact(
-        F.array(*[F.when(satisfies(s, pairs), F.lit(s.star_id)) for s in pattern_stars])
-    )
-    return signatures(tagged, pairs).select(
-        F.explode(fulfilled).alias("star_id"), F.col("src").alias("root")
+    fulfilled = ", ".join(f"if({satisfies(s, pairs)}, {s.star_id}, null)" for s in pattern_stars)
+    return signatures(tagged, pairs).selectExpr(
+        f"explode(array_compact(array({fulfilled}))) AS star_id", "src AS root"
     )
 
 
@@ -117,16 +113,21 @@ def prune_by_star(tagged: DataFrame, star: Star, hubs: Hubs | None = None) -> Da
     pairs = star_tag_pairs([star])
     splits = hubs.end_splits(tagged.sparkSession, pairs, "src", "src") if hubs else None
     return skew_join(
-        with_tag_pairs(tagged, pairs), star_roots(tagged, star), ["src"], splits, "left_semi"
-    ).select(*tagged.columns)
+        with_tag_pairs(tagged, pairs).select(*EDGE_COLUMNS),
+        star_roots(tagged, star),
+        ["src"],
+        splits,
+        "left_semi",
+    ).select(*EDGE_COLUMNS)
 
 
 def star_matches(tagged: DataFrame, pattern_stars: Sequence[Star], hubs: Hubs | None = None) -> DataFrame:
     """Candidate neighbours of each star's candidate roots: (star_id, root, dst_tag, dst)."""
     pairs = star_tag_pairs(pattern_stars)
     splits = hubs.end_splits(tagged.sparkSession, pairs, "src", "root") if hubs else None
-    child_of_star = any_of(
-        (F.col("star_id") == s.star_id) & F.col("dst_tag").isin(list(s.required)) for s in pattern_stars
+    child_of_star = " OR ".join(
+        f"(star_id = {s.star_id} AND dst_tag IN ({', '.join(map(str, s.required))}))"
+        for s in pattern_stars
     )
     return (
         skew_join(

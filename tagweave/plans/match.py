@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.expressions import named
+from tagweave.functions.expressions import named, quoted
 from tagweave.graph import TaggedGraph
 from tagweave.operators.joins import (
     Edge,
@@ -72,6 +72,10 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
     if stats is None:
         return lambda edge: EdgeSlice(edge, query_slice(graph.tagged, pattern, edge), None, graph.hubs)
     selective = {s.root: s for s in pattern.stars if stats.selective(s)}
+    roots = {
+        vertex: star_roots(graph.tagged, star).selectExpr(f"src AS {quoted(column(vertex))}")
+        for vertex, star in selective.items()
+    }
 
     def slice_of(edge: Edge) -> EdgeSlice:
         rows = query_slice(graph.tagged, pattern, edge)
@@ -80,16 +84,13 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
         for end in dict.fromkeys(edge):
             if end not in selective:
                 continue
-            star = selective[end]
-            roots = star_roots(graph.tagged, star).withColumnRenamed("src", column(end))
-            few = stats.star_counts[star.star_id] <= BROADCAST_ROWS
-            if few:
-                rows = rows.join(F.broadcast(roots), column(end), "left_semi")
+            if stats.star_counts[selective[end].star_id] <= BROADCAST_ROWS:
+                rows = rows.join(F.broadcast(roots[end]), column(end), "left_semi")
             elif end == edge[0]:
                 splits = hubs.end_splits(
                     graph.spark, [pattern.tag_pair(edge)], "src", column(end)
                 )
-                rows = skew_join(rows, roots, [column(end)], splits, "left_semi")
+                rows = skew_join(rows, roots[end], [column(end)], splits, "left_semi")
         return EdgeSlice(edge, rows, size, hubs)
 
     return slice_of

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tagweave.operators.stars import satisfies, signatures, star_tag_pairs
 from tagweave.pattern import Pattern, Star
@@ -30,11 +29,10 @@ def pattern_stats(tagged: DataFrame, pattern: Pattern) -> PatternStats:
     """One aggregation job over the pattern's slices; one row comes to the driver."""
     stars = pattern.stars
     pairs = star_tag_pairs(stars)
-    measures = [F.count_if(satisfies(s, pairs)).alias(f"star{s.star_id}") for s in stars]
+    measures = [f"count_if({satisfies(s, pairs)}) AS star{s.star_id}" for s in stars]
     for i in range(len(pairs)):
-        n = F.col(f"n{i}")
-        measures += [F.sum(n).alias(f"edges{i}"), F.count_if(n > 0).alias(f"sources{i}")]
-    row = signatures(tagged, pairs).agg(*measures).first()
+        measures += [f"sum(n{i}) AS edges{i}", f"count_if(n{i} > 0) AS sources{i}"]
+    row = signatures(tagged, pairs).selectExpr(*measures).first()
     return PatternStats(
         {s.star_id: row[f"star{s.star_id}"] for s in stars},
         {pair: row[f"edges{i}"] or 0 for i, pair in enumerate(pairs)},

@@ -30,7 +30,11 @@ def _offset(kind: int, key: str) -> Column:
 
 
 def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, tag) and edges (src, dst) of the order processing tables."""
+    """Vertices (id, tag) and edges (src, dst) of the order processing tables.
+
+    An edge can be listed several times; ``distinct_edges`` makes them a set, as
+    ``tag_edges`` does by itself.
+    """
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,7 +87,7 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
             )
             for name, pairs in references
         ],
-    ).distinct()
+    )
     return vertices, edges
 
 
