@@ -18,16 +18,17 @@ def named(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def fail_unless(condition: Column, *message: Column | str) -> Column:
-    """Predicate that is true, or stops the job with a message."""
-    text = F.concat(*[F.lit(m) if isinstance(m, str) else m.cast("string") for m in message])
-    return F.when(condition, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+def fail(*message: Column | str) -> Column:
+    """Stops the job that evaluates it, with a message."""
+    return F.raise_error(
+        F.concat(*[F.lit(m) if isinstance(m, str) else m.cast("string") for m in message])
+    )
 
 
 def graph_token(line: Column, position: int, kind: str) -> Column:
     """Token of a space separated line as an integer type; a bad line stops the job."""
     value = F.get(F.split(line, " "), F.lit(position)).try_cast(kind)
-    return F.coalesce(value, F.raise_error(F.concat(F.lit("not a graph line: "), line)).cast(kind))
+    return F.coalesce(value, fail("not a graph line: ", line).cast(kind))
 
 
 def all_different(new: str, bound: Iterable[str]) -> str:

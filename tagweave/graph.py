@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.operators.hubs import Hubs, hub_fan_out, hub_table, hubs_from_rows
 from tagweave.operators.skew import SPLIT_ROWS
-from tagweave.operators.tagging import hub_endpoints, load_tagged, store_tagged, tag_edges, unique_vertices
+from tagweave.operators.tagging import (
+    attach_tags,
+    hub_endpoints,
+    load_tagged,
+    store_tagged,
+    unique_vertices,
+)
 from tagweave.session import new_folder
 
 
@@ -57,7 +63,7 @@ def build_graph(
     unique_vertices(vertices).write.mode("error").parquet(f"{path}/vertices")
     known = _stored_vertices(spark, path)
     endpoints = hub_endpoints(edges, split_at)
-    store_tagged(tag_edges(known, edges, on_dangling, endpoints, split_at), f"{path}/edges")
+    store_tagged(attach_tags(known, edges, on_dangling, endpoints, split_at), f"{path}/edges")
     tagged = load_tagged(spark, f"{path}/edges")
     hubs = hub_fan_out(tagged, endpoints, split_at)
     if hubs:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import all_different, keep_injective, named
 from tagweave.operators.hubs import Hubs
-from tagweave.operators.skew import broadcast_if_small, grid_product, skew_join
+from tagweave.operators.skew import grid_product, skew_join
 from tagweave.operators.slices import query_slice
 from tagweave.pattern import Pattern, Star, column
 
@@ -25,22 +25,24 @@ Edge = tuple[int, int]
 class EdgeSlice:
     """Candidate bindings of one query edge, in match columns.
 
-    ``size`` is the counted number of rows, where known. A slice within the broadcast
-    bound is broadcast, so its join has no hot key; any other is split by ``hubs``.
+    ``rows`` are what a join shuffles, so they come pruned. ``few`` is set for a slice
+    that was counted and is within the broadcast bound: it is broadcast instead, and its
+    join has no hot key. Any other join is split by ``hubs``.
     """
 
     edge: Edge
     rows: DataFrame
-    size: int | None = None
+    size: int = 0
+    few: DataFrame | None = None
     hubs: Hubs | None = None
 
     @property
     def bindings(self) -> DataFrame:
-        return broadcast_if_small(self.rows, self.size)
+        return self.rows if self.few is None else F.broadcast(self.few)
 
     @property
     def splitting(self) -> Hubs | None:
-        return self.hubs if self.hubs and self.bindings is self.rows else None
+        return self.hubs if self.hubs and self.few is None else None
 
 
 Slices = Callable[[Edge], EdgeSlice]
@@ -48,7 +50,7 @@ Slices = Callable[[Edge], EdgeSlice]
 
 def edge_slice(tagged: DataFrame, pattern: Pattern, edge: Edge, hubs: Hubs | None = None) -> EdgeSlice:
     """The uncounted, unpruned slice of a query edge."""
-    return EdgeSlice(edge, query_slice(tagged, pattern, edge), None, hubs)
+    return EdgeSlice(edge, query_slice(tagged, pattern, edge), hubs=hubs)
 
 
 def bound_vertices(matches: DataFrame, pattern: Pattern) -> list[int]:
@@ -144,7 +146,7 @@ def attach_mixed(matches: DataFrame, pattern: Pattern, star: Star, slices: Slice
     both ends bound are closed before any free child is added.
     """
     bound = set(bound_vertices(matches, pattern))
-    todo = sorted((slices((star.root, child)) for child in star.child_ids), key=lambda s: s.size or 0)
+    todo = sorted((slices((star.root, child)) for child in star.child_ids), key=lambda s: s.size)
     if star.root not in bound:
         via = next(s for s in todo if s.edge[1] in bound)
         matches = attach_root(matches, pattern, via)

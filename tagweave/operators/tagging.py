@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.expressions import fail_unless
+from tagweave.functions.expressions import fail
 from tagweave.operators.skew import (
     BROADCAST_ROWS,
     SPLIT_ROWS,
@@ -30,11 +30,13 @@ def conflicting_tags(vertices: DataFrame) -> DataFrame:
 
 def unique_vertices(vertices: DataFrame) -> DataFrame:
     """One row per id. An id with two tags stops the job that reads it."""
+    tag = F.when(F.col("tag") == F.col("other_tag"), F.col("tag")).otherwise(
+        fail("conflicting tags for vertex ", F.col("id")).cast("int")
+    )
     return (
         vertices.groupBy("id")
         .agg(F.min("tag").alias("tag"), F.max("tag").alias("other_tag"))
-        .where(fail_unless(F.col("tag") == F.col("other_tag"), "conflicting tags for vertex ", F.col("id")))
-        .select("id", "tag")
+        .select("id", tag.alias("tag"))
     )
 
 
@@ -95,22 +97,34 @@ def tag_edges(
 
     ``hubs`` (from ``hub_endpoints``) splits the endpoints that hold very many edges.
     With ``on_dangling='error'`` an edge with an unknown endpoint stops the job that
-    computes it; with ``'drop'`` such edges are left out.
+    computes it, as does a vertex with two tags; with ``'drop'`` such edges are left out.
     """
+    return attach_tags(unique_vertices(vertices), edges, on_dangling, hubs, split_at)
+
+
+def attach_tags(
+    unique: DataFrame,
+    edges: DataFrame,
+    on_dangling: str = "error",
+    hubs: Mapping[str, Mapping[int, int]] | None = None,
+    split_at: int = SPLIT_ROWS,
+) -> DataFrame:
+    """``tag_edges`` for vertices that are known to be listed once."""
     if on_dangling not in ("error", "drop"):
         raise ValueError("on_dangling must be 'error' or 'drop'")
     how = "left" if on_dangling == "error" else "inner"
     tagged = distinct_edges(edges)
-    known = unique_vertices(vertices)
     for end in ("dst", "src"):
         tag = f"{end}_tag"
-        lookup = known.select(F.col("id").alias(end), F.col("tag").alias(tag))
+        lookup = unique.select(F.col("id").alias(end), F.col("tag").alias(tag))
         parts = {(v,): (parts_for(n, split_at), 1) for v, n in (hubs or {}).get(end, {}).items()}
         splits = splits_table(edges.sparkSession, [end], parts)
         tagged = skew_join(tagged, lookup, [end], splits, how)
         if on_dangling == "error":
             tagged = tagged.where(
-                fail_unless(F.col(tag).isNotNull(), "edge endpoint without a tag: ", F.col(end))
+                F.when(F.col(tag).isNotNull(), F.lit(True)).otherwise(
+                    fail("edge endpoint without a tag: ", F.col(end)).cast("boolean")
+                )
             )
     return tagged.select("src", "dst", "src_tag", "dst_tag")
 

@@ -17,6 +17,7 @@ from tagweave.operators.joins import (
     Slices,
     attach_mixed,
     cross_components,
+    edge_slice,
     first_star,
 )
 from tagweave.operators.skew import BROADCAST_ROWS, skew_join
@@ -70,28 +71,33 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
     broadcast, so that it never costs a shuffle.
     """
     if stats is None:
-        return lambda edge: EdgeSlice(edge, query_slice(graph.tagged, pattern, edge), None, graph.hubs)
+        return lambda edge: edge_slice(graph.tagged, pattern, edge, graph.hubs)
     selective = {s.root: s for s in pattern.stars if stats.selective(s)}
     roots = {
         vertex: star_roots(graph.tagged, star).selectExpr(f"src AS {quoted(column(vertex))}")
         for vertex, star in selective.items()
     }
 
+    def restrict(rows: DataFrame, edge: Edge, end: int) -> DataFrame:
+        if end not in selective:
+            return rows
+        key = column(end)
+        if stats.star_counts[selective[end].star_id] <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(roots[end]), key, "left_semi")
+        if end != edge[0]:
+            return rows
+        splits = graph.hubs.end_splits(graph.spark, [pattern.tag_pair(edge)], "src", key)
+        return skew_join(rows, roots[end], [key], splits, "left_semi")
+
     def slice_of(edge: Edge) -> EdgeSlice:
+        source, target = edge
         rows = query_slice(graph.tagged, pattern, edge)
+        if target != source:
+            rows = restrict(rows, edge, target)
         size = stats.edges[pattern.tag_pair(edge)]
-        hubs = graph.hubs
-        for end in dict.fromkeys(edge):
-            if end not in selective:
-                continue
-            if stats.star_counts[selective[end].star_id] <= BROADCAST_ROWS:
-                rows = rows.join(F.broadcast(roots[end]), column(end), "left_semi")
-            elif end == edge[0]:
-                splits = hubs.end_splits(
-                    graph.spark, [pattern.tag_pair(edge)], "src", column(end)
-                )
-                rows = skew_join(rows, roots[end], [column(end)], splits, "left_semi")
-        return EdgeSlice(edge, rows, size, hubs)
+        # A broadcast slice meets sources that are pruned already.
+        few = rows if size <= BROADCAST_ROWS else None
+        return EdgeSlice(edge, restrict(rows, edge, source), size, few, graph.hubs)
 
     return slice_of
 
