@@ -212,9 +212,8 @@ def _group_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cross_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _graph(spark, sf_dir)
-    pairs = groups.group_permutations(_order_parts(graph, 111), "src", "dst", 2)
-    singles = groups.group_permutations(_order_parts(graph, 112), "src", "dst", 1)
-    return groups.cross_tags([pairs, singles.withColumnRenamed("m1", "other")], "src")
+    by_tag = [(_order_parts(graph, 111), 2), (_order_parts(graph, 112), 1)]
+    return groups.cross_tags(by_tag, "src", "dst")
 
 
 def _non_injective_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
         + """select a.src, a.dst m1, b.dst m2 from t a join t b on b.src = a.src and b.dst <> a.dst
             where a.src_tag between 21 and 25 and a.dst_tag = 111 and b.dst_tag = 111""",
         "cross_tags": _GRAPH
-        + """select a.src, a.dst m1, b.dst m2, c.dst as other
+        + """select a.src, a.dst t1m1, b.dst t1m2, c.dst t2m1
             from t a join t b on b.src = a.src and b.dst <> a.dst join t c on c.src = a.src
             where a.src_tag between 21 and 25 and a.dst_tag = 111 and b.dst_tag = 111 and c.dst_tag = 112""",
         "non_injective_rows": _GRAPH

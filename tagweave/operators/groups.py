@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from math import perm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,47 +20,61 @@ def group_permutations(
     ``members`` holds each (group, member) once, both LONG. Large groups are counted
     first and each step of the self-join is split over a grid of shares of bounded size.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    spark = members.sparkSession
-    large = hot_keys(members, [group], split_at) if k > 1 else []
-    result = members.select(F.col(group), F.col(member).alias("m1"))
-    for i in range(2, k + 1):
-        parts = {}
-        for vertex, n in large:
-            tuples = 1
-            for j in range(i - 1):
-                tuples *= n - j
-            parts[(vertex,)] = (parts_for(tuples, split_at), parts_for(n, split_at))
-        new = f"m{i}"
-        result = skew_join(
-            result,
-            members.select(F.col(group), F.col(member).alias(new)),
-            [group],
-            splits_table(spark, [group], parts),
-        )
-        result = keep_injective(result, new, [f"m{j}" for j in range(1, i)])
-    return result
+    large = dict(hot_keys(members, [group], split_at)) if k > 1 else {}
+    return _arrangements(members, group, member, k, large, "m", split_at)
 
 
 def cross_tags(
-    arrangements: Sequence[DataFrame], root: str, split_at: int = SPLIT_ROWS
+    by_tag: Sequence[tuple[DataFrame, int]], root: str, member: str, split_at: int = SPLIT_ROWS
 ) -> DataFrame:
     """For each root, every combination of its arrangements per tag.
 
-    Each input has the root column and columns of its own; roots missing in one of
-    them have no combination.
+    ``by_tag`` has one (members, k) per child tag: the candidates (root, member) of the
+    tag and the number of children to place. Columns: root, then ``t<i>m<j>`` for the
+    j-th child of the i-th tag. Roots that lack candidates of some tag have none.
     """
-    result, *others = arrangements
-    spark = result.sparkSession
-    left_rows = dict(hot_keys(result, [root], split_at)) if others else {}
-    for other in others:
-        right_rows = dict(hot_keys(other, [root], split_at))
-        hot = left_rows.keys() | right_rows.keys()
+    spark = by_tag[0][0].sparkSession
+    result, rows_so_far = None, {}
+    for i, (members, k) in enumerate(by_tag, start=1):
+        large = dict(hot_keys(members, [root], split_at))
+        ways = {vertex: perm(n, k) for vertex, n in large.items()}
+        arranged = _arrangements(members, root, member, k, large, f"t{i}m", split_at)
+        if result is None:
+            result, rows_so_far = arranged, ways
+            continue
+        hot = rows_so_far.keys() | ways.keys()
         parts = {
-            (v,): (parts_for(left_rows.get(v, 1), split_at), parts_for(right_rows.get(v, 1), split_at))
+            (v,): (parts_for(rows_so_far.get(v, 1), split_at), parts_for(ways.get(v, 1), split_at))
             for v in hot
         }
-        result = skew_join(result, other, [root], splits_table(spark, [root], parts))
-        left_rows = {v: left_rows.get(v, 1) * right_rows.get(v, 1) for v in hot}
+        result = skew_join(result, arranged, [root], splits_table(spark, [root], parts))
+        rows_so_far = {v: rows_so_far.get(v, 1) * ways.get(v, 1) for v in hot}
+    return result
+
+
+def _arrangements(
+    members: DataFrame,
+    group: str,
+    member: str,
+    k: int,
+    large: Mapping[int, int],
+    prefix: str,
+    split_at: int,
+) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    result = members.select(F.col(group), F.col(member).alias(f"{prefix}1"))
+    for i in range(2, k + 1):
+        parts = {
+            (vertex,): (parts_for(perm(n, i - 1), split_at), parts_for(n, split_at))
+            for vertex, n in large.items()
+        }
+        new = f"{prefix}{i}"
+        result = skew_join(
+            result,
+            members.select(F.col(group), F.col(member).alias(new)),
+            [group],
+            splits_table(members.sparkSession, [group], parts),
+        )
+        result = keep_injective(result, new, [f"{prefix}{j}" for j in range(1, i)])
     return result

@@ -25,9 +25,10 @@ Edge = tuple[int, int]
 class EdgeSlice:
     """Candidate bindings of one query edge, in match columns.
 
-    ``rows`` are what a join shuffles, so they come pruned. ``few`` is set for a slice
-    that was counted and is within the broadcast bound: it is broadcast instead, and its
-    join has no hot key. Any other join is split by ``hubs``.
+    ``rows`` are what a join shuffles. ``few`` is set for a slice that was counted and is
+    within the broadcast bound: it is broadcast instead, and its join has no hot key. Any
+    other join is split by ``hubs``. ``seed`` are the rows to start from, where these are
+    pruned further than it would pay for in a later join.
     """
 
     edge: Edge
@@ -35,6 +36,7 @@ class EdgeSlice:
     size: int = 0
     few: DataFrame | None = None
     hubs: Hubs | None = None
+    seed: DataFrame | None = None
 
     @property
     def bindings(self) -> DataFrame:
@@ -72,7 +74,7 @@ def first_star(pattern: Pattern, star: Star, slices: Slices) -> DataFrame:
         edge = (star.root, child)
         bindings = slices(edge)
         if matches is None:
-            bound, matches = [star.root], bindings.rows
+            bound, matches = [star.root], bindings.rows if bindings.seed is None else bindings.seed
         else:
             hubs = bindings.splitting
             splits = hubs and hubs.sibling_splits(

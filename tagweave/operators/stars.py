@@ -78,10 +78,12 @@ def star_tag_pairs(pattern_stars: Sequence[Star]) -> list[tuple[int, int]]:
 def signatures(tagged: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """Per source vertex, its neighbour count for each tag pair: (src, src_tag, n0, n1, ...).
 
-    One aggregation with map-side combine serves all stars of a pattern.
+    One aggregation with map-side combine serves all stars of a pattern. It is keyed by
+    src alone, a vertex has one tag, so joins on src need no further exchange.
     """
-    return with_tag_pairs(tagged, pairs).groupBy("src", "src_tag").agg(
-        *[F.expr(f"count_if({has_tag_pair([pair])}) AS n{i}") for i, pair in enumerate(pairs)]
+    return with_tag_pairs(tagged, pairs).groupBy("src").agg(
+        F.min("src_tag").alias("src_tag"),
+        *[F.expr(f"count_if({has_tag_pair([pair])}) AS n{i}") for i, pair in enumerate(pairs)],
     )
 
 

@@ -66,9 +66,9 @@ def component_matches(
 def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | None) -> Slices:
     """Slices of the query edges, restricted to vertices that pass selective star tests.
 
-    The source side is restricted by the star of the edge's source. The target side is
-    restricted by the star of the target only where its roots are few enough to be
-    broadcast, so that it never costs a shuffle.
+    Candidate roots few enough to be broadcast restrict every slice at both ends, before
+    anything is shuffled. Others only restrict the slice a match starts from: any later
+    join on the root does the same by itself.
     """
     if stats is None:
         return lambda edge: edge_slice(graph.tagged, pattern, edge, graph.hubs)
@@ -78,26 +78,32 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
         for vertex, star in selective.items()
     }
 
-    def restrict(rows: DataFrame, edge: Edge, end: int) -> DataFrame:
-        if end not in selective:
-            return rows
-        key = column(end)
-        if stats.star_counts[selective[end].star_id] <= BROADCAST_ROWS:
-            return rows.join(F.broadcast(roots[end]), key, "left_semi")
-        if end != edge[0]:
+    few_roots = {v for v, star in selective.items() if stats.star_counts[star.star_id] <= BROADCAST_ROWS}
+
+    def restrict(rows: DataFrame, vertex: int) -> DataFrame:
+        if vertex not in few_roots:
             return rows
-        splits = graph.hubs.end_splits(graph.spark, [pattern.tag_pair(edge)], "src", key)
-        return skew_join(rows, roots[end], [key], splits, "left_semi")
+        return rows.join(F.broadcast(roots[vertex]), column(vertex), "left_semi")
 
     def slice_of(edge: Edge) -> EdgeSlice:
         source, target = edge
+        size = stats.edges[pattern.tag_pair(edge)]
         rows = query_slice(graph.tagged, pattern, edge)
         if target != source:
-            rows = restrict(rows, edge, target)
-        size = stats.edges[pattern.tag_pair(edge)]
+            rows = restrict(rows, target)
         # A broadcast slice meets sources that are pruned already.
         few = rows if size <= BROADCAST_ROWS else None
-        return EdgeSlice(edge, restrict(rows, edge, source), size, few, graph.hubs)
+        if few is None:
+            rows = restrict(rows, source)
+        seed = rows
+        if source in selective and (few is None or selective[source].out_degree > 2):
+            if source not in few_roots:
+                key = column(source)
+                splits = graph.hubs.end_splits(graph.spark, [pattern.tag_pair(edge)], "src", key)
+                seed = skew_join(rows, roots[source], [key], splits, "left_semi")
+            elif few is not None:
+                seed = restrict(rows, source)
+        return EdgeSlice(edge, rows, size, few, graph.hubs, seed)
 
     return slice_of
 

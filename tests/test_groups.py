@@ -28,15 +28,17 @@ def test_k_must_be_positive(members):
 @pytest.mark.parametrize("split_at", [2, 1000])
 def test_cross_tags(spark, members, split_at):
     groups, df = members
-    pairs = group_permutations(df, "g", "m", 2)
-    other = spark.createDataFrame([(3, 7), (3, 8), (2, 9), (1, 6)], "g long, x long")
-    third = spark.createDataFrame([(3, 1), (1, 2), (1, 3)], "g long, y long")
-    inputs = rows(pairs), rows(other), rows(third)
-    expected = sorted(
+    others = {3: [7, 8, 9], 2: [9], 1: [6]}, {3: [1, 2], 1: [3]}
+    frames = [
+        spark.createDataFrame([(g, m) for g, ms in table.items() for m in ms], "g long, m long")
+        for table in others
+    ]
+    result = cross_tags([(df, 2), (frames[0], 1), (frames[1], 1)], "g", "m", split_at)
+    assert result.columns == ["g", "t1m1", "t1m2", "t2m1", "t3m1"]
+    assert rows(result) == sorted(
         (g, *p, x, y)
-        for g, *p in inputs[0]
-        for g2, x in inputs[1]
-        for g3, y in inputs[2]
-        if g == g2 == g3
+        for g, ms in groups.items()
+        for p in permutations(ms, 2)
+        for x in others[0].get(g, [])
+        for y in others[1].get(g, [])
     )
-    assert rows(cross_tags([pairs, other, third], "g", split_at)) == expected
