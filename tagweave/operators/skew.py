@@ -83,9 +83,15 @@ def skew_join(
     ).drop(*shares)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast hint, given only for a counted side within ``BROADCAST_ROWS``."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows as a broadcast table if there are at most ``rows``, else ``df`` as it is.
+
+    At most ``rows + 1`` rows come to the driver, so they are computed once.
+    """
+    table = df.limit(rows + 1).toArrow()
+    if table.num_rows > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(table))
 
 
 def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.hubs import Hubs
-from tagweave.operators.skew import BROADCAST_ROWS, broadcast_if_small, skew_join
+from tagweave.operators.skew import broadcast_if_few, skew_join
 from tagweave.operators.slices import EDGE_COLUMNS, has_tag_pair, with_tag_pairs
 from tagweave.pattern import Star
 
@@ -33,16 +33,15 @@ def stars(tagged: DataFrame, block: int = BLOCK) -> DataFrame:
     ids and named by the range's first id, so that no row holds more than ``block``
     children however large a hub is.
     """
-    degrees = tagged.groupBy("src").agg(F.count("*").alias("out_degree"))
-    wide = degrees.where(F.col("out_degree") > block).select("src", F.lit(True).alias("wide")).persist()
-    size = wide.limit(BROADCAST_ROWS + 1).count()
+    wide = broadcast_if_few(
+        tagged.groupBy("src")
+        .agg(F.count("*").alias("out_degree"))
+        .where(F.col("out_degree") > block)
+        .select("src", F.lit(True).alias("wide"))
+    )
     first_id = F.col("dst") - F.pmod("dst", F.lit(block))
     child_block = F.when(F.col("wide"), first_id).otherwise(F.lit(0))
-    rows = (
-        tagged.withColumn("wide", F.lit(False))
-        if size == 0
-        else tagged.join(broadcast_if_small(wide, size), "src", "left")
-    )
+    rows = tagged.join(wide, "src", "left")
     return (
         rows.withColumn("block", child_block.cast("long"))
         .groupBy(F.col("src").alias("root"), F.col("src_tag").alias("root_tag"), "block")

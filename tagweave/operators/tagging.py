@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import fail
 from tagweave.operators.skew import (
-    BROADCAST_ROWS,
     SPLIT_ROWS,
-    broadcast_if_small,
+    broadcast_if_few,
     hot_keys,
     parts_for,
     skew_join,
@@ -47,9 +46,7 @@ def dangling_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     not shuffled to one task. The missing ids are counted before they are broadcast.
     """
     endpoints = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    missing = endpoints.join(vertices.select("id"), "id", "left_anti").persist()
-    size = missing.limit(BROADCAST_ROWS + 1).count()
-    missing = broadcast_if_small(missing, size)
+    missing = broadcast_if_few(endpoints.join(vertices.select("id"), "id", "left_anti"))
     parts = [
         edges.join(missing.withColumnRenamed("id", end), end, "left_semi").select("src", "dst")
         for end in ("src", "dst")

@@ -28,21 +28,26 @@ def create_session(app_name: str = "tagweave", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_fallbacks: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where it is unset: ``fallback``, or a temporary folder on a local master only,
-    since executors of a cluster could not read one.
+    Where it is unset: the folder named first for this application as ``fallback``, or a
+    temporary one on a local master only, since executors of a cluster could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if fallback is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        fallback = tempfile.mkdtemp(prefix="tagweave-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _fallbacks:
+        if fallback is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+            fallback = tempfile.mkdtemp(prefix="tagweave-")
+        _fallbacks[application] = fallback.rstrip("/")
+    return _fallbacks[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tagweave.operators.skew import grid_product, hot_keys, parts_for, skew_join, splits_table
 
@@ -34,10 +35,42 @@ def test_no_splits_table_without_hot_keys(spark):
     assert splits_table(spark, ["k"], {(1,): (1, 1)}) is None
 
 
-def test_split_spreads_a_hot_key(spark, sides):
-    splits = splits_table(spark, ["k"], {(1,): (8, 1)})
-    plan = skew_join(*sides, ["k"], splits)._jdf.queryExecution().executedPlan().toString()
-    assert "left_share" in plan and "hashpartitioning(k" in plan or "BroadcastHashJoin" in plan
+@pytest.fixture
+def plain_shuffles(spark):
+    """Shuffled joins whose partitions are not merged, so that shares can be seen."""
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def largest_share(df) -> float:
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_split_spreads_a_hot_key(spark, plain_shuffles):
+    left = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS a")
+    right = spark.range(9000).selectExpr("id AS k", "-id AS b")
+    splits = splits_table(spark, ["k"], {(0,): (64, 1)})
+    assert largest_share(skew_join(left, right, ["k"])) > 0.33
+    assert largest_share(skew_join(left, right, ["k"], splits)) < 0.25
+    assert skew_join(left, right, ["k"], splits).count() == 9000
+
+
+def test_grid_cells_are_even(spark, plain_shuffles):
+    left = spark.range(300).selectExpr("id AS a")
+    right = spark.range(200).selectExpr("id AS b")
+    product = grid_product(left, right)
+    assert product.count() == 60_000
+    assert largest_share(product) < 0.6  # 4 cells on 8 partitions
 
 
 def test_grid_product(sides):
