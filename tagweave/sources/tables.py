@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.skew import SPLIT_ROWS, hot_keys, splits_table
+
 # Id offset of each kind of entity.
 CUSTOMER, ORDER, PART, SUPPLIER, NATION, REGION = (
     100_000_000,
@@ -36,9 +38,8 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     ``tag_edges`` does by itself.
     """
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    table = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
     segment = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
     priority = F.substring("o_orderpriority", 1, 1).cast("int")
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
@@ -53,7 +54,7 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     vertices = reduce(
         DataFrame.unionByName,
         [
-            table(name).select(_offset(kind, key).alias("id"), tag.cast("int").alias("tag"))
+            table[name].select(_offset(kind, key).alias("id"), tag.cast("int").alias("tag"))
             for name, kind, key, tag in tagged
         ],
     )
@@ -75,7 +76,7 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     edges = reduce(
         DataFrame.unionByName,
         [
-            table(name).select(
+            table[name].select(
                 F.inline(
                     F.array(
                         *[
@@ -91,31 +92,48 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return vertices, edges
 
 
-def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events tagged by type, each with an edge to the same user's next event.
-
-    A user may hold a large part of all events, so the order is built in two levels:
-    inside each user and hour, then over one row per user and hour that links the last
-    event of an hour to the first one of the user's next active hour.
-    """
+def event_graph(
+    spark: SparkSession, sf_dir: str, split_at: int = SPLIT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Events tagged by type, each with an edge to the same user's next event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type"))
     vertices = events.select(F.col("event_id").cast("long").alias("id"), kind.cast("int").alias("tag"))
+    timed = events.select("user_id", "ts", F.col("event_id").cast("long").alias("id"))
+    return vertices, next_event_edges(timed, split_at)
 
-    timed = events.select(
-        "user_id",
-        "ts",
-        F.col("event_id").cast("long").alias("id"),
-        F.to_date("ts").alias("day"),
-        F.hour("ts").alias("hour"),
-    )
-    in_hour = Window.partitionBy("user_id", "day", "hour").orderBy("ts", "id")
-    inside = timed.select(F.col("id").alias("src"), F.lead("id").over(in_hour).alias("dst"))
 
+def next_event_edges(events: DataFrame, split_at: int = SPLIT_ROWS) -> DataFrame:
+    """(src, dst): each event (user_id, ts, id) and the same user's next one by (ts, id).
+
+    A user may hold a large part of all events. The events of such users are ordered in
+    two levels: inside each second, then over one row per second, which links a second's
+    last event to the first event of the user's next active second.
+    """
+    spark = events.sparkSession
+    busy = {(user,): (2, 1) for user, _ in hot_keys(events, ["user_id"], split_at)}
+    by_time = Window.partitionBy("user_id").orderBy("ts", "id")
+    if not busy:
+        edges = events.select(F.col("id").alias("src"), F.lead("id").over(by_time).alias("dst"))
+        return edges.where(F.col("dst").isNotNull())
+
+    # A second as an ordered value: of the instant, or of the wall clock without a zone.
+    if dict(events.dtypes)["ts"] == "timestamp":
+        second = F.unix_seconds("ts")
+    else:
+        second = F.struct(F.to_date("ts"), F.hour("ts"), F.minute("ts"), F.floor(F.second("ts")))
+    busy_table = F.broadcast(splits_table(spark, ["user_id"], busy))
+    timed = events.join(busy_table, "user_id", "left").select(
+        "user_id", "ts", "id", F.when(F.col("left_parts").isNotNull(), second).alias("second")
+    )
+    in_second = Window.partitionBy("user_id", "second").orderBy("ts", "id")
+    inside = timed.select(F.col("id").alias("src"), F.lead("id").over(in_second).alias("dst"))
     at = F.struct("ts", "id")
-    hours = timed.groupBy("user_id", "day", "hour").agg(
-        F.min(at)["id"].alias("first"), F.max(at)["id"].alias("last")
+    seconds = (
+        timed.where(F.col("second").isNotNull())
+        .groupBy("user_id", "second")
+        .agg(F.min(at)["id"].alias("first"), F.max(at)["id"].alias("last"))
     )
-    by_hour = Window.partitionBy("user_id").orderBy("day", "hour")
-    between = hours.select(F.col("last").alias("src"), F.lead("first").over(by_hour).alias("dst"))
-    return vertices, inside.unionByName(between).where(F.col("dst").isNotNull())
+    by_second = Window.partitionBy("user_id").orderBy("second")
+    between = seconds.select(F.col("last").alias("src"), F.lead("first").over(by_second).alias("dst"))
+    return inside.unionByName(between).where(F.col("dst").isNotNull())
