@@ -29,6 +29,10 @@ class Hubs:
     def __bool__(self) -> bool:
         return bool(self.as_src or self.as_dst)
 
+    def touch(self, pair: Pair) -> bool:
+        """Whether a hub has edges of this tag pair beyond the limit."""
+        return bool(self.as_src.get(pair) or self.as_dst.get(pair))
+
     def rows(self) -> list[tuple[str, int, int, int, int]]:
         return [
             (side, a, b, vertex, n)

@@ -26,6 +26,8 @@ HOT_KEY_LIMIT = 100_000
 MAX_PARTS = 65_536
 # Rows of (long, long) up to which a side, once counted, is broadcast.
 BROADCAST_ROWS = 250_000
+# Expected result rows beyond which a small input is spread over all tasks first.
+SPREAD_ROWS = 5_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], split_at: int = SPLIT_ROWS) -> list[tuple]:
@@ -94,6 +96,12 @@ def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(table))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all shuffle partitions; their number is kept by the planner."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *[named(c) for c in df.columns])
+
+
 def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> DataFrame:
     """Every pair of rows of two tables, computed as an equi-join on a grid of cells.
 

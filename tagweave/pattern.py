@@ -52,6 +52,9 @@ class Pattern:
         if repeated:
             raise ValueError(f"pattern vertices listed more than once: {repeated}")
         tag_of = dict(vertices)
+        wide = [v for v, tag in vertices if not (-(2**63) <= v < 2**63 and -(2**31) <= tag < 2**31)]
+        if wide:
+            raise ValueError(f"pattern vertices beyond 64-bit ids or 32-bit tags: {wide}")
         undeclared = sorted({v for edge in edges for v in edge} - tag_of.keys())
         if undeclared:
             raise ValueError(f"pattern edges name undeclared vertices: {undeclared}")

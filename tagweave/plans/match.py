@@ -20,7 +20,7 @@ from tagweave.operators.joins import (
     edge_slice,
     first_star,
 )
-from tagweave.operators.skew import BROADCAST_ROWS, skew_join
+from tagweave.operators.skew import BROADCAST_ROWS, SPREAD_ROWS, skew_join, spread
 from tagweave.operators.slices import edges_for, query_slice
 from tagweave.operators.stars import star_roots
 from tagweave.pattern import Pattern, column
@@ -80,6 +80,9 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
 
     few_roots = {v for v, star in selective.items() if stats.star_counts[star.star_id] <= BROADCAST_ROWS}
 
+    # A small slice comes from few files, and broadcast joins would expand it in few tasks.
+    expanding = max(stats.bindings.values()) > SPREAD_ROWS
+
     def restrict(rows: DataFrame, vertex: int) -> DataFrame:
         if vertex not in few_roots:
             return rows
@@ -91,8 +94,8 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
         rows = query_slice(graph.tagged, pattern, edge)
         if target != source:
             rows = restrict(rows, target)
-        # A broadcast slice meets sources that are pruned already.
-        few = rows if size <= BROADCAST_ROWS else None
+        # A broadcast slice meets sources that are pruned already. A hub's edges are split.
+        few = rows if size <= BROADCAST_ROWS and not graph.hubs.touch(pattern.tag_pair(edge)) else None
         if few is None:
             rows = restrict(rows, source)
         seed = rows
@@ -103,6 +106,8 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
                 seed = skew_join(rows, roots[source], [key], splits, "left_semi")
             elif few is not None:
                 seed = restrict(rows, source)
+        if few is not None and expanding:
+            seed = spread(seed)
         return EdgeSlice(edge, rows, size, few, graph.hubs, seed)
 
     return slice_of

@@ -96,10 +96,16 @@ def random_pattern(rng: random.Random) -> Pattern:
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("split_at, broadcast_rows", [(None, 250_000), (None, -1), (3, -1)],
-                         ids=["broadcast", "shuffled", "hubs"])
-def test_random_patterns_against_brute_force(make_graph, monkeypatch, seed, split_at, broadcast_rows):
+@pytest.mark.parametrize(
+    "split_at, broadcast_rows, spread_rows",
+    [(None, 250_000, 5_000_000), (None, 250_000, 0), (None, -1, 0), (3, -1, 0), (3, 250_000, 0)],
+    ids=["broadcast", "spread", "shuffled", "hubs", "hubs-and-broadcast"],
+)
+def test_random_patterns_against_brute_force(
+    make_graph, monkeypatch, seed, split_at, broadcast_rows, spread_rows
+):
     monkeypatch.setattr("tagweave.plans.match.BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr("tagweave.plans.match.SPREAD_ROWS", spread_rows)
     vertices, edges = random_graph(seed)
     graph = make_graph(
         " ".join(f"{v}:{t}" for v, t in vertices.items()), " ".join(f"{a}>{b}" for a, b in edges), split_at

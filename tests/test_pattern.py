@@ -25,6 +25,7 @@ def test_childless_vertices_have_no_star():
         ("", "", "at least one vertex"),
         ("1:1 1:2", "", "more than once"),
         ("1:1", "1>2", "undeclared"),
+        ("1:3000000000", "", "32-bit tags"),
     ],
 )
 def test_invalid_patterns(vertices, edges, message):

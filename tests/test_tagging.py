@@ -65,12 +65,12 @@ def test_stored_graph(spark, make_frames):
 
 
 def test_hubless_stored_graph(spark, make_frames):
-    v, e = make_frames("1:1 2:2", "1>2")
+    v, e = make_frames("1:-7 2:-2147483648", "1>2")
     path = new_folder(spark, "test-graph")
     tw.build_graph(v, e, store=path)
     assert not tw.load_graph(spark, path).hubs
     cached = tw.load_graph(spark, path).persist()
-    assert rows(tw.match(cached, tw.Pattern.parse("1:1 2:2", "1>2"))) == [(1, 2)]
+    assert rows(tw.match(cached, tw.Pattern.parse("1:-7 2:-2147483648", "1>2"))) == [(1, 2)]
     cached.unpersist()
 
 
