@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import fail
+from tagweave.operators.hubs import Hubs
 from tagweave.operators.skew import (
     SPLIT_ROWS,
     broadcast_if_few,
@@ -126,15 +127,13 @@ def attach_tags(
     return tagged.select("src", "dst", "src_tag", "dst_tag")
 
 
-def sorted_adjacency(tagged: DataFrame, hubs: Mapping[str, Mapping[int, int]] | None = None,
-                     split_at: int = SPLIT_ROWS) -> DataFrame:
+def sorted_adjacency(tagged: DataFrame, hubs: Hubs | None = None) -> DataFrame:
     """Edges clustered by src and ordered by (src, dst_tag, dst) in each partition.
 
     The out-edges of a hub are clustered in several partitions, by (src, share).
     """
     order = ("src", "dst_tag", "dst")
-    parts = {(v,): (parts_for(n, split_at), 1) for v, n in (hubs or {}).get("src", {}).items()}
-    splits = splits_table(tagged.sparkSession, ["src"], parts)
+    splits = hubs.end_splits(tagged.sparkSession, hubs.as_src, "src", "src") if hubs else None
     if splits is None:
         return tagged.repartition("src").sortWithinPartitions(*order)
     share = F.pmod(F.xxhash64("dst"), F.coalesce("left_parts", F.lit(1)))

@@ -3,6 +3,7 @@ from conftest import rows
 
 import tagweave as tw
 from tagweave.operators import tagging
+from tagweave.operators.hubs import hub_fan_out
 from tagweave.operators.slices import edges_for, vertices_by_tag
 from tagweave.session import new_folder
 
@@ -91,12 +92,16 @@ def test_slices(make_graph):
     assert rows(edges_for(graph.tagged, 1, 3)) == [(1, 4), (2, 4)]
 
 
-@pytest.mark.parametrize("hubs", [None, {"src": {0: 39}, "dst": {}}])
-def test_sorted_adjacency(make_frames, hubs):
+@pytest.mark.parametrize("split", [False, True])
+def test_sorted_adjacency(make_frames, split):
     v, e = hub_frames(make_frames)
     tagged = tw.tag_edges(v, e)
-    ordered = tagging.sorted_adjacency(tagged, hubs, split_at=10)
+    hubs = hub_fan_out(tagged, tagging.hub_endpoints(e, 10), 10) if split else None
+    ordered = tagging.sorted_adjacency(tagged, hubs)
     assert rows(ordered) == rows(tagged)
-    for part in ordered.rdd.glom().collect():
+    parts = [part for part in ordered.rdd.glom().collect() if part]
+    for part in parts:
         keys = [(r.src, r.dst_tag, r.dst) for r in part]
         assert keys == sorted(keys)
+    places = {src: sum(any(r.src == src for r in part) for part in parts) for src in (1, 2, 3)}
+    assert set(places.values()) == {1}
