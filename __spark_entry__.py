@@ -21,6 +21,13 @@ from tagweave.plans.match import match, match_count
 from tagweave.session import new_folder
 from tagweave.sources import text
 
+try:
+    import tagweave.llm.queries as llm
+except ModuleNotFoundError as missing:  # the subpackage is optional, what it imports is not
+    if missing.name not in ("tagweave.llm", "tagweave.llm.queries"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 PATTERNS = {
@@ -309,7 +316,7 @@ def queries() -> dict[str, Query]:
     for name in PATTERNS:
         result[name.replace("p_", "match_", 1)] = _match(name)
         result[name.replace("p_", "match_count_", 1)] = _count(name)
-    return result
+    return result | (llm.queries() if llm else {})
 
 
 _GRAPH = """
@@ -473,4 +480,4 @@ def oracle_sql() -> dict[str, str]:
     for name, sql in _MATCHES.items():
         result[name.replace("p_", "match_", 1)] = _GRAPH + sql
         result[name.replace("p_", "match_count_", 1)] = _GRAPH + f"select count(*) n from ({sql})"
-    return result
+    return result | (llm.oracle_sql() if llm else {})

@@ -14,7 +14,9 @@ COUNTS = {
 }
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+LLM = registered.llm.queries() if registered.llm else {}
+QUERIES = {name: query for name, query in registered.queries().items() if name not in LLM}
+SQL = {name: sql for name, sql in registered.oracle_sql().items() if name not in LLM}
 
 
 @pytest.fixture(scope="module")
