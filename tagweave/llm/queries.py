@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import decontamination, simhash
+from tagweave.llm import cover_tree, decontamination, language_id, quality, secret_scan, simhash, token_counts, word_table
+
+VOCABULARY = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(found)
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cover_tree.embedding_links(_table(spark, sf_dir, "embeddings"))
+    return links.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = word_table.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -28,10 +59,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_cover_tree": op2_cover_tree,
+        "op3_token_counts": op3_token_counts,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_quality": op5_quality,
+        "op6_word_table": op6_word_table,
         "op9_simhash": op9_simhash,
+        "op10_language": op10_language,
     }
 
 
@@ -63,5 +104,21 @@ from dw left join words using (doc_id) left join items using (doc_id)
 """
 
 
+_OP2 = """
+with recursive v as materialized (
+  select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link as materialized (
+  select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select reach.a, link.b from reach join link on link.a = reach.b
+), least as (select a, min(b) component_id from reach group by a)
+select vec_id, coalesce(n, 0) n_links, component_id, component_id = vec_id kept
+from embeddings join least on a = vec_id left join (select a, count(*) n from link group by a) n on n.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1}
+    return {"op1_decontaminate": _OP1, "op2_cover_tree": _OP2}
