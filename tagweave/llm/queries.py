@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import cover_tree, decontamination, language_id, quality, secret_scan, simhash, token_counts, word_table
+from tagweave.llm import (
+    byte_dedup,
+    cover_tree,
+    decontamination,
+    language_id,
+    quality,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    token_counts,
+    word_table,
+)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -52,6 +63,27 @@ def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _removed() -> Column:
+    """Units in the ranges ``[start, end, ...]`` of ``removed``."""
+    return F.expr("aggregate(transform(removed, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
+
+
+def op7_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = byte_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        _removed().alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -71,6 +103,8 @@ def queries() -> dict[str, Query]:
         "op4_secret_scan": op4_secret_scan,
         "op5_quality": op5_quality,
         "op6_word_table": op6_word_table,
+        "op7_byte_dedup": op7_byte_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
     }
@@ -120,5 +154,68 @@ from embeddings join least on a = vec_id left join (select a, count(*) n from li
 """
 
 
+#: Repeated windows that overlap or touch become one removed run, what lies between runs is kept.
+_RUNS = """
+, marked as (
+  select doc_id, s, s - lag(s) over (partition by doc_id order by s) > {length} is not false fresh from again
+), numbered as (
+  select doc_id, s, sum(fresh::int) over (partition by doc_id order by s rows unbounded preceding) g from marked
+), run as materialized (
+  select doc_id, min(s) a, max(s) + {length} b from numbered group by doc_id, g
+), gap as (
+  select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) from_ from run
+)
+"""
+
+_OP7 = (
+    """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h from documents
+), win as (
+  select doc_id, s, hash(substr(h, 2 * s + 1, 200)) w
+  from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) s from d where len(h) >= 200)
+), again as materialized (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by w order by doc_id, s) k from win) where k > 1
+)"""
+    + _RUNS.format(length=100)
+    + """
+, piece as (
+  select doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' order by a) head, max(b) b,
+         sum(b - a) n_removed, count(*) n_spans
+  from gap join d using (doc_id) group by doc_id
+)
+select doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(b, 0) + 1))) kept_sha256
+from d left join piece using (doc_id)
+"""
+)
+
+_OP8 = (
+    """
+with d as materialized (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents
+), win as (
+  select doc_id, s, hash(array_to_string(w[s + 1:s + 35], ' ')) v
+  from (select doc_id, w, unnest(range(0, len(w) - 34)) s from d where len(w) >= 35)
+), again as materialized (
+  select doc_id, s from (select doc_id, s, count(*) over (partition by v) k from win) where k > 1
+)"""
+    + _RUNS.format(length=35)
+    + """
+, piece as (
+  select doc_id, flatten(list(w[from_ + 1:a] order by a)) head, max(b) b, sum(b - a) n_removed
+  from gap join d using (doc_id) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_removed, 0) as bigint) n_removed,
+       sha256(coalesce(array_to_string(list_concat(coalesce(head, []), w[coalesce(b, 0) + 1:]), ' '), '')) kept_sha256
+from d left join piece using (doc_id)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1, "op2_cover_tree": _OP2}
+    return {
+        "op1_decontaminate": _OP1,
+        "op2_cover_tree": _OP2,
+        "op7_byte_dedup": _OP7,
+        "op8_substring_dedup": _OP8,
+    }
