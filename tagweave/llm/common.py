@@ -1,11 +1,13 @@
-"""What the operators share: Arrow mapping over texts, stored tables, document keys."""
+"""What the operators share: Arrow mapping over texts and stored tables."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.session import new_folder
@@ -25,6 +27,17 @@ ARROW = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library from where the driver has it.
+
+    On a cluster the library is installed, or given with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+
+
 def ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
 
@@ -66,6 +79,27 @@ def map_texts(
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl(out))
 
 
+def extend(
+    docs: DataFrame, prepare: Callable[[], Callable[[bytes | None], tuple]], fields: dict[str, str], text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with all its columns and those that ``work`` makes of each text, as in ``map_texts``.
+
+    The names of ``fields`` must be new.
+    """
+    names, at = [*docs.columns, *fields], docs.columns.index(text_col)
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = prepare()
+        for batch in batches:
+            if batch.num_rows:
+                done = [work(value.as_py()) for value in batch.column(at).cast(pa.binary())]
+                made = record_batch(fields, [list(column) for column in zip(*done, strict=True)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=names)
+
+    return docs.mapInArrow(run, f"{given}, {ddl(fields)}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: the lineage ends there."""
     path = new_folder(df.sparkSession, name)
@@ -73,10 +107,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(raw: Column | str) -> Column:
-    """128 bits that stand for a text; null for null."""
-    return F.md5(raw)
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

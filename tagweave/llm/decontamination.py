@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, id_and_text, record_batch, stored
+from tagweave.llm.common import ddl, extend, record_batch, stored
 
 WINDOW = 10
 #: Words in a block of the shift table.
@@ -22,7 +22,8 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-_STATE = {"doc_id": "long", "raw": "binary", "n_words": "long", "ranges": "array<int>", "items": "array<string>"}
+#: Columns that the search adds.
+FOUND = {"n_words": "long", "ranges": "array<int>", "items": "array<string>"}
 
 
 def words(raw: bytes | None) -> tuple[bytes, ...]:
@@ -92,31 +93,57 @@ def merged(ranges: list[int]) -> list[int]:
     return out
 
 
-def _search_pass(rows: DataFrame, pairs: list[tuple[bytes, str]]) -> DataFrame:
+def _search_pass(rows: DataFrame, pairs: list[tuple[bytes, str]], first: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(pairs)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
         for window, item in shared.value:
             pattern = tuple(window.split(b" "))
             by_length.setdefault(len(pattern), {}).setdefault(pattern, []).append(item)
         tables = [WuManber(patterns) for patterns in by_length.values()]
-        for batch in batches:
-            counts, ranges, items = [], [], []
-            before = zip(batch.column(1), batch.column(3), batch.column(4), strict=True)
-            for raw, old_ranges, old_items in before:
-                text = words(raw.as_py())
-                found, hit = set(old_items.as_py()), old_ranges.as_py()
-                for table in tables:
-                    for start, of in table.search(text):
-                        hit += [start, start + table.length]
-                        found.update(of)
-                counts.append(len(text))
-                ranges.append(merged(hit))
-                items.append(sorted(found))
-            yield record_batch(_STATE, [batch.column(0), batch.column(1), counts, ranges, items])
-
-    return rows.mapInArrow(search, ddl(_STATE))
+
+        def work(raw: bytes | None) -> tuple[int, list[int], list[str]]:
+            text, hit, items = words(raw), [], set()
+            for table in tables:
+                for start, of in table.search(text):
+                    hit += [start, start + table.length]
+                    items.update(of)
+            return len(text), merged(hit), sorted(items)
+
+        return work
+
+    if first:
+        return extend(rows, prepare, FOUND)
+    # A further pass adds columns of its own, which then join those of the passes before.
+    more = extend(rows, prepare, {f"more_{name}": kind for name, kind in FOUND.items()})
+    return more.withColumns(
+        {"ranges": F.concat("ranges", "more_ranges"), "items": F.array_sort(F.array_union("items", "more_items"))}
+    ).drop(*(f"more_{name}" for name in FOUND))
+
+
+def _merge_ranges(rows: DataFrame) -> DataFrame:
+    """Sorts and merges the ranges that several passes have left."""
+    pairs = "array_sort(transform(sequence(0, size(ranges) - 1, 2), i -> struct(ranges[i] as a, ranges[i + 1] as b)))"
+    step = """if(size(r) > 0 and p.a <= element_at(r, -1),
+        concat(slice(r, 1, size(r) - 1), array(greatest(element_at(r, -1), p.b))), concat(r, array(p.a, p.b)))"""
+    merge = f"aggregate({pairs}, cast(array() as array<int>), (r, p) -> {step})"
+    return rows.withColumn("ranges", F.expr(f"if(size(ranges) > 2, {merge}, ranges)"))
+
+
+def mark_benchmark(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
+    """``docs`` with the columns of ``FOUND``, in input order; see ``find_benchmark``."""
+    windows = stored(item_windows(benchmark, window), "windows")
+    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 16)).first()[0] or 0
+    passes = max(1, math.ceil(size / pass_bytes))
+    rows = docs
+    for i in range(passes):
+        part = windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(passes)) == i)
+        pairs = [(bytes(r["window"]), r["item_id"]) for r in part.select("window", "item_id").collect()]
+        rows = _search_pass(stored(rows, "searched") if i else rows, pairs, first=i == 0)
+    return _merge_ranges(rows) if passes > 1 else rows
 
 
 def find_benchmark(
@@ -135,18 +162,13 @@ def find_benchmark(
     Windows are searched in passes of at most ``pass_bytes``, so what is sent to the tasks
     is bounded whatever the size of the benchmark; between passes rows are written out.
     """
-    windows = stored(item_windows(benchmark, window), "windows")
-    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 16)).first()[0] or 0
-    passes = max(1, math.ceil(size / pass_bytes))
-    none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    rows = id_and_text(docs).select(
-        "doc_id", "raw", F.lit(0).cast("long").alias("n_words"), none[0].alias("ranges"), none[1].alias("items")
-    )
-    for i in range(passes):
-        part = windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(passes)) == i)
-        pairs = [(bytes(r["window"]), r["item_id"]) for r in part.select("window", "item_id").collect()]
-        rows = _search_pass(stored(rows, "searched") if i else rows, pairs)
-    return rows.select("doc_id", "n_words", "ranges", "items")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mark_benchmark(own, benchmark, window, pass_bytes).select("doc_id", *FOUND)
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which no item occurs, with their columns."""
+    return mark_benchmark(docs, benchmark).where(F.size("items") == 0).select(*docs.columns)
 
 
 def contamination(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, map_texts, record_batch, stored
+from tagweave.llm.common import ddl, extend, map_texts, record_batch, stored
 
 #: Share of the pooled covariance, and of its mean variance on the diagonal, in each class covariance.
 TO_POOLED = 0.2
@@ -133,26 +133,34 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def learn(features: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Discriminant | float:
+    """The model of all labelled rows outside the fold ``held_out``; ``features`` is ``document_statistics``."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    known = known.where("label in (0, 1)").where(fold("doc_id", folds) != held_out)
+    return fit(_moments(features.join(known, "doc_id").select("features", "label")))
+
+
+def _scores(model: Discriminant | float, x: np.ndarray) -> np.ndarray:
+    return model.scores(x) if isinstance(model, Discriminant) else np.full(len(x), model)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1; other rows are left out); documents whose id falls in the
     fold ``held_out`` are not learned from. Class means and covariances are sums over all other labelled
-    rows; repeated labels count as often as they stand. Only the text decides a score. With one class, or
-    none, among the labels the score is constant. Null and empty texts are scored as texts without words. A null id is not
-    held out; repeated rows are kept.
+    rows; repeated labels count as often as they stand. Only the text decides a score. With one class
+    among the labels the score is that class, with none it is 0.5. Null and empty texts are scored as texts without words. A
+    null id is not held out; repeated rows are kept.
     """
     features = stored(document_statistics(docs), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    known = known.where("label in (0, 1)").where(fold("doc_id", folds) != held_out)
-    model = fit(_moments(features.join(known, "doc_id").select("features", "label")))
+    model = learn(features, labels, folds, held_out)
     fields = {"doc_id": "long", "score": "double"}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            scores = model.scores(x) if isinstance(model, Discriminant) else np.full(len(x), model)
-            yield record_batch(fields, [batch.column(0), pa.array(scores)])
+            yield record_batch(fields, [batch.column(0), pa.array(_scores(model, x))])
 
     scored = features.mapInArrow(score, ddl(fields))
     return scored.select(
@@ -161,3 +169,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
+    """The documents with a score of at least 0.5, with their columns."""
+    model = learn(stored(document_statistics(docs), "statistics"), labels, folds, held_out)
+
+    def prepare():
+        return lambda raw: (float(_scores(model, np.array([statistics(raw)]))[0]),)
+
+    return extend(docs, prepare, {"quality_score": "double"}).where("quality_score >= 0.5").select(*docs.columns)

@@ -20,6 +20,7 @@ from tagweave.llm import (
     token_counts,
     word_table,
 )
+from tagweave.llm.common import importable
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +65,12 @@ def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _removed() -> Column:
     """Units in the ranges ``[start, end, ...]`` of ``removed``."""
     return F.expr("aggregate(transform(removed, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
@@ -107,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
+        "pipeline": pipeline,
     }
 
 

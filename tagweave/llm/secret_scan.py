@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_texts
+from tagweave.llm.common import extend, map_texts
 
 # The patterns of the three base kinds, in the order kinds are listed.
 ASSIGN = re.compile(
@@ -160,3 +160,23 @@ def redacted(raw: bytes, found: list[Span], mark: str = "[secret]") -> str:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
+    """``docs`` with secrets replaced in ``text``, and ``n_chars`` counted anew where that happened."""
+
+    def prepare():
+        def work(raw):
+            found = spans(raw, min_bits)
+            text = redacted(raw, found) if found else None
+            return text, None if text is None else len(text)
+
+        return work
+
+    rows = extend(docs, prepare, {"new_text": "string", "new_chars": "long"})
+    return rows.withColumns(
+        {
+            "text": F.coalesce("new_text", "text"),
+            "n_chars": F.coalesce(F.col("new_chars").cast(docs.schema["n_chars"].dataType), "n_chars"),
+        }
+    ).select(*docs.columns)

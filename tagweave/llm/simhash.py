@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, map_texts, record_batch, stored
+from tagweave.llm.common import ddl, extend, map_texts, record_batch, stored
 from tagweave.llm.components import connected_components
 
 SHINGLE = 3
@@ -55,10 +55,11 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
 
-    def prepare():
-        return lambda raw: ((f := fingerprint(raw, shingle)) - (f >> 63 << 64),)
+    return map_texts(docs, _signed(shingle), {"fp": "long"})
 
-    return map_texts(docs, prepare, {"fp": "long"})
+
+def _signed(shingle: int):
+    return lambda: lambda raw: ((f := fingerprint(raw, shingle)) - (f >> 63 << 64),)
 
 
 @cache
@@ -155,3 +156,17 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = labelled.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The document with the least id of each group, with its columns.
+
+    Of several rows with that id and fingerprint the one with the least text stays.
+    """
+    kept = simhash_groups(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    marked = extend(docs, _signed(shingle), {"fp": "long"})
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    rows = marked.join(kept, same, "left_semi").groupBy("doc_id", "fp").agg(F.min(F.struct("text", *others)).alias("row"))
+    return rows.select("doc_id", "row.*").select(*docs.columns)

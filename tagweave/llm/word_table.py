@@ -4,25 +4,18 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm import packs as pk
 from tagweave.llm.common import ddl, id_and_text, record_batch, shuffle_partitions
 
-#: Bytes of text that share one list of distinct words; a longer text is a pack of its own.
-PACK_BYTES = 8 << 20
 #: Words encoded in one call.
 _CALL = 4096
 
-_REQUEST = {"bucket": "int", "pack": "binary", "words": "binary"}
-_ANSWER = {"pack": "binary", "words": "binary", "ids": "binary"}
-_PACK = {"pack": "binary", "doc_ids": "array<long>", "sizes": "array<int>", "texts": "binary"}
 _OUT = {"doc_id": "long", "n_tokens": "long", "ids": "string", "decoded": "string"}
 
 _tokenizers: dict[str, object] = {}
@@ -40,111 +33,76 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list, list]]:
-    """Packs of documents: a name made of their content, ids, and texts."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = raw.as_py()
-            if ids and size + len(raw or b"") > PACK_BYTES:
-                yield _named(ids, texts)
-                ids, texts, size = [], [], 0
-            ids.append(doc_id)
-            texts.append(raw)
-            size += len(raw or b"")
-        if ids:
-            yield _named(ids, texts)
-
-
-def _named(ids: list, texts: list) -> tuple[bytes, list, list]:
-    name = xxhash.xxh3_128(repr(ids).encode())
-    for raw in texts:
-        name.update(b"-" if raw is None else b"%d:" % len(raw))
-        name.update(raw or b"")
-    return name.digest(), ids, texts
-
-
-def _bytes_column(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
-def _requests(docs: DataFrame, buckets: int) -> DataFrame:
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for name, _, texts in _packs(batches):
-            distinct: set[bytes] = set()
-            for raw in texts:
-                distinct.update((raw or b"").split())
-            lists: dict[int, list[bytes]] = {}
-            for word in sorted(distinct):
-                lists.setdefault(zlib.crc32(word) % buckets, []).append(word)
-            if lists:
-                words = [squeeze.compress(b"\n".join(own)) for own in lists.values()]
-                yield record_batch(_REQUEST, [list(lists), [name] * len(lists), _bytes_column(words)])
-
-    return docs.mapInArrow(ask, ddl(_REQUEST))
-
-
-def _encode_bucket(path: str):
-    def encode(group: pa.Table) -> pa.Table:
-        """Encodes each distinct word of the bucket once, then answers all packs that asked for it."""
-        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        table: dict[bytes, np.ndarray] = {}
+def word_lists(docs: list[pk.Document], buckets: int) -> dict[int, list[bytes]]:
+    """The distinct words of some documents, sorted, by bucket."""
+    distinct: set[bytes] = set()
+    for _, raw in docs:
+        distinct.update((raw or b"").split())
+    lists: dict[int, list[bytes]] = {}
+    for word in sorted(distinct):
+        lists.setdefault(zlib.crc32(word) % buckets, []).append(word)
+    return lists
+
+
+def planes(ids: np.ndarray) -> bytes:
+    """Numbers as four rows of bytes, the lowest first: the upper rows compress to nothing."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _encode_words(path: str):
+    def encode(asked: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
+        """Encodes each distinct word of the bucket once; for each list, how many ids its words have, and the ids."""
+        table: dict[bytes, list[int]] = {}
         answers = []
-        for words in group.column("words"):
-            asked = expand.decompress(words.as_py()).split(b"\n")
-            fresh = [word for word in asked if word not in table]
+        for words in asked:
+            fresh = [word for word in words if word not in table]
             for i in range(0, len(fresh), _CALL):
                 part = fresh[i : i + _CALL]
                 done = tokenizer(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                table.update((w, np.array(e.ids, dtype="<u4")) for w, e in zip(part, done, strict=True))
-            found = [table[word] for word in asked]
-            sizes = np.fromiter(map(len, found), dtype="<u4", count=len(found))
-            answers.append(squeeze.compress(np.concatenate([sizes, *found]).tobytes()))
-        columns = [group.column("pack"), group.column("words"), pa.chunked_array([_bytes_column(answers)])]
-        return pa.table(columns, names=list(_ANSWER))
+                table.update(zip(part, (np.array(e.ids, dtype="<u4") for e in done), strict=True))
+            found = [table[word] for word in words]
+            answers.append((planes(np.array([len(ids) for ids in found])), planes(np.concatenate(found))))
+        return answers
 
     return encode
 
 
-def _join_pack(path: str):
-    def join(packs: pa.Table, answers: pa.Table) -> pa.Table:
+def _join_pack(path: str, buckets: int):
+    def join(group: pa.Table, known: pa.Table) -> pa.Table:
         """Puts ids, and the pieces they stand for, in the places of the words."""
-        expand = zstandard.ZstdDecompressor()
+        answers = pk.read_answers(known)
         piece = tokenizer(path).id_to_token
-        pieces: dict[int, str] = {}
-        ids_of: dict[bytes, str] = {}
-        text_of: dict[bytes, str] = {}
-        for words, ids in zip(answers.column("words"), answers.column("ids"), strict=True):
-            asked = expand.decompress(words.as_py()).split(b"\n")
-            if asked[0] in ids_of:  # a pack that is in the table twice
-                continue
-            flat = np.frombuffer(expand.decompress(ids.as_py()), dtype="<u4")
-            ends = np.cumsum(flat[: len(asked)].astype(np.int64)).tolist()
-            flat, start = flat[len(asked) :].tolist(), 0
-            for i in set(flat).difference(pieces):
-                pieces[i] = piece(i)
-            for word, end in zip(asked, ends, strict=True):
-                own = flat[start:end]
-                ids_of[word] = " ".join(map(str, own))
-                text_of[word] = " ".join(map(pieces.__getitem__, own))
-                start = end
-        silent = {word for word, own in ids_of.items() if not own}
-        out: list[pa.RecordBatch] = []
-        for doc_ids, sizes, texts in zip(*(packs.column(n) for n in ("doc_ids", "sizes", "texts")), strict=True):
-            data, at, columns = expand.decompress(texts.as_py()), 0, ([], [], [])
-            for size in sizes.as_py():
-                words = data[at : at + size].split()
-                at += size
+        out = [record_batch(_OUT, [[] for _ in _OUT])]
+        for docs in pk.unpacked(group):
+            pieces: dict[int, str] = {}
+            ids_of: dict[bytes, str] = {}
+            text_of: dict[bytes, str] = {}
+            for bucket, words in word_lists(docs, buckets).items():
+                sizes, flat = map(from_planes, answers[bucket])
+                flat, start = flat.tolist(), 0
+                for i in set(flat).difference(pieces):
+                    pieces[i] = piece(i)
+                for word, size in zip(words, sizes.tolist(), strict=True):
+                    own = flat[start : start + size]
+                    ids_of[word] = " ".join(map(str, own))
+                    text_of[word] = " ".join(map(pieces.__getitem__, own))
+                    start += size
+            silent = {word for word, own in ids_of.items() if not own}
+            columns = ([], [], [], [])
+            for doc_id, raw in docs:
+                words = (raw or b"").split()
                 if silent:
                     words = [word for word in words if word not in silent]
-                columns[0].append(len(words) and 1)
-                columns[1].append(" ".join(map(ids_of.__getitem__, words)))
-                columns[2].append(" ".join(map(text_of.__getitem__, words)))
-                columns[0][-1] += columns[1][-1].count(" ")
-            out.append(record_batch(_OUT, [doc_ids.as_py(), *columns]))
-        if not out:
-            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.string())] * 2, names=list(_OUT))
+                ids = " ".join(map(ids_of.__getitem__, words))
+                columns[0].append(doc_id)
+                columns[1].append(ids.count(" ") + 1 if ids else 0)
+                columns[2].append(ids)
+                columns[3].append(" ".join(map(text_of.__getitem__, words)))
+            out.append(record_batch(_OUT, list(columns)))
         return pa.Table.from_batches(out)
 
     return join
@@ -168,17 +126,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     source = id_and_text(docs)
     buckets = 4 * shuffle_partitions(docs)
-    answers = _requests(source, buckets).groupBy("bucket").applyInArrow(_encode_bucket(path), ddl(_ANSWER))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for name, ids, texts in _packs(batches):
-            sizes = [len(raw or b"") for raw in texts]
-            data = squeeze.compress(b"".join(raw or b"" for raw in texts))
-            yield record_batch(_PACK, [_bytes_column([name]), [ids], [sizes], _bytes_column([data])])
-
-    packs = source.mapInArrow(pack, ddl(_PACK))
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_join_pack(path), ddl(_OUT))
+    asked = pk.requests(source, lambda own: word_lists(own, buckets))
+    answers = pk.answers(asked, _encode_words(path))
+    packed = pk.packed(source)
+    return packed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_join_pack(path, buckets), ddl(_OUT))
 
 
 def id_arrays(encoded: DataFrame) -> DataFrame:
