@@ -22,9 +22,9 @@ _CHUNK = re.compile(rb"[^\x20\x09-\x0D]+")
 class PrefixCounter:
     """Exact token counts for a byte-level BPE vocabulary file that drops white space.
 
-    A word is a row of symbols, one per byte. For each of its prefixes one table entry holds the last token and the number of tokens of that prefix.
+    A word is a row of symbols, one per byte. For each prefix a table entry holds its last token and its number of tokens.
     A token ends the encoding of a prefix exactly if the encoding of what lies before it ends in a token that BPE leaves
-    apart from it, so entry ``k`` follows from one entry before it, without merging the prefix again.
+    apart from it, so an entry follows from a shorter one, without merging the prefix again.
     """
 
     def __init__(self, path: str):
@@ -33,7 +33,7 @@ class PrefixCounter:
             spec = json.load(file)
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.specials = tuple(token["content"].encode() for token in spec["added_tokens"])
+        self.specials = tuple(token["content"] for token in spec["added_tokens"])
         merges = [tuple(pair) for pair in model["merges"]]
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.split = {left + right: (left, right) for left, right in merges}
@@ -42,7 +42,14 @@ class PrefixCounter:
         self.ended = {token[: -len(self.suffix)] for token in ended} if self.suffix else self.plain
         self.longest = max(map(len, self.plain | self.ended))
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Last token and number of tokens by prefix, number of tokens by piece and by word.
+        self.prefixes: dict[str, tuple[str, int]] = {"": ("", 0)}
+        self.pieces: dict[str, int] = {}
         self.words: dict[bytes, int] = {}
+        # The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes follow from 256.
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = (b for b in range(256) if b not in visible)
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _symbols(self, token: str) -> list[str]:
         if token not in self.split:
@@ -53,6 +60,8 @@ class PrefixCounter:
     def _stay_apart(self, left: str, right: str) -> bool:
         """Whether BPE, given the symbols of both tokens, ends with these two tokens (``left`` may be empty)."""
         known = self.pairs.get((left, right))
+        if known is None and (left, right) in self.rank:
+            return False
         if known is None:
             row = (self._symbols(left) if left else []) + self._symbols(right)
             while len(row) > 1:
@@ -67,44 +76,67 @@ class PrefixCounter:
             self.pairs[left, right] = known
         return known
 
-    def piece_counts(self, piece: str, every: bool = True) -> list[int]:
-        """Tokens of each prefix of a piece, as if the prefix were the whole word.
+    def _prefix(self, stem: str) -> tuple[str, int]:
+        """Last token and number of tokens of a prefix that does not end its word.
 
-        With ``every=False`` only the last entry, that of the whole piece, is filled in.
+        Entries are filled from shorter to longer, only those that some entry asks for, and are shared by all words.
         """
-        last, count = [""], [0]
-        out = [0] * len(piece)
-        for k in range(1, len(piece) + 1):
-            for tokens, suffix in ((self.plain, ""), (self.ended, self.suffix)):
-                if suffix and not every and k < len(piece):
-                    continue
-                for j in range(max(0, k - self.longest), k):
-                    stem = piece[j:k]
-                    if stem in tokens and last[j] is not None and self._stay_apart(last[j], stem + suffix):
-                        if suffix or not self.suffix:
-                            out[k - 1] = count[j] + 1
-                        if not suffix:
-                            last.append(stem)
-                            count.append(count[j] + 1)
+        waiting = [stem]
+        while waiting:
+            own = waiting[-1]
+            if own in self.prefixes:
+                waiting.pop()
+                continue
+            for j in range(max(0, len(own) - self.longest), len(own)):
+                token = own[j:]
+                if token in self.plain:
+                    before = self.prefixes.get(own[:j])
+                    if before is None:
+                        waiting.append(own[:j])
                         break
-                else:
-                    if not suffix:
-                        last.append(None)
-                        count.append(0)
-        return out
+                    if self._stay_apart(before[0], token):
+                        self.prefixes[own] = (token, before[1] + 1)
+                        break
+        return self.prefixes[stem]
+
+    def _count_piece(self, piece: str) -> int:
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.prefixes) >= CACHE_ENTRIES:
+                self.prefixes = {"": ("", 0)}
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            known = self.pieces[piece] = self._count_whole(piece)
+        return known
+
+    def _count_whole(self, piece: str) -> int:
+        for j in range(max(0, len(piece) - self.longest), len(piece)):
+            if piece[j:] in self.ended:
+                last, count = self._prefix(piece[:j])
+                if self._stay_apart(last, piece[j:] + self.suffix):
+                    return count + 1
+        raise ValueError("a symbol is not in the vocabulary")
+
+    def piece_counts(self, piece: str) -> list[int]:
+        """Tokens of each prefix of a piece, as if the prefix were the whole word."""
+        return [self._count_piece(piece[:k]) for k in range(1, len(piece) + 1)]
 
     def _count_word(self, word: bytes) -> int:
-        if word.isalpha() and word.isascii():
-            return self.piece_counts(word.lower().decode(), every=False)[-1]
-        extra, parts = 0, [word]
+        text = word.decode()
+        body = text[:-1] if text[-1] in ".,;:!?" else text
+        if body.isalpha() and max(body) < "\u0100":
+            # Letters that are composed and have one small form: one piece, and perhaps one of punctuation.
+            piece = body.lower().encode().decode("latin-1").translate(self.alphabet)
+            return self._count_piece(piece) + (self._count_piece(text[-1]) if body is not text else 0)
+        extra, parts = 0, [text]
         for special in self.specials:
             cut = [part.split(special) for part in parts]
             extra += sum(len(rest) - 1 for rest in cut)
             parts = [part for rest in cut for part in rest]
         for part in filter(None, parts):
-            text = self.tokenizer.normalizer.normalize_str(part.decode())
-            for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                extra += self.piece_counts(piece, every=False)[-1]
+            normal = self.tokenizer.normalizer.normalize_str(part)
+            for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+                extra += self._count_piece(piece)
         return extra
 
     def word_counts(self, words: list[bytes]) -> list[int]:
