@@ -21,6 +21,8 @@ from tagweave.llm.common import ddl, id_and_text, record_batch, shuffle_partitio
 
 #: Anchors that occur more often are hot: their windows are dealt out one by one, by their own hash.
 HOT = 1000
+#: Stands for a null id, which comes before all others.
+_FIRST_ID = -(1 << 63)
 #: Windows hashed at once.
 _CHUNK = 1 << 18
 
@@ -119,8 +121,7 @@ def _text_tie(raw: bytes) -> int:
 
 def _ordered(docs: list[pk.Document]) -> list[tuple[int, int, bytes]]:
     """Documents with text in the order in which places count as earlier; null ids come first."""
-    least = -(1 << 63)
-    return sorted((least if doc_id is None else doc_id, _text_tie(raw), raw) for doc_id, raw in docs if raw)
+    return sorted((_FIRST_ID if doc_id is None else doc_id, _text_tie(raw), raw) for doc_id, raw in docs if raw)
 
 
 def _ask_anchors(units: Units, buckets: int):
@@ -161,6 +162,13 @@ class PackPlan:
     requests: dict[int, Strings]
     #: For each text (by id and tie): first window, windows, bucket, entry, entry's kind, and whether the place is the asked one.
     runs: dict[tuple[int, int], list[tuple[int, int, int, int, bool, bool]]]
+    _ends: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def ends(self, bucket: int) -> np.ndarray:
+        """Where the flags of each string of a bucket end."""
+        if bucket not in self._ends:
+            self._ends[bucket] = np.cumsum(self.requests[bucket].n)
+        return self._ends[bucket]
 
 
 def plan_pack(docs: list[pk.Document], known: dict[int, tuple[np.ndarray, np.ndarray]], units: Units, buckets: int) -> PackPlan:
@@ -216,6 +224,22 @@ def plan_pack(docs: list[pk.Document], known: dict[int, tuple[np.ndarray, np.nda
     return plan
 
 
+def repeated_starts(plan: PackPlan, flags: dict, doc_id: int | None, raw: bytes | None, later: bool) -> np.ndarray:
+    """Windows of a document that are repeated, from the flags of all buckets; ``later`` as in ``find_repeats``."""
+    key = (_FIRST_ID if doc_id is None else doc_id, _text_tie(raw or b""))
+    starts = [np.zeros(0, dtype=np.int64)]
+    for start, n, bucket, entry, single, asked_here in plan.runs.get(key, ()):
+        if later and not asked_here:
+            starts.append(np.arange(start, start + n))
+        elif single:
+            if flags[bucket][1][entry]:
+                starts.append(np.array([start]))
+        else:
+            end = plan.ends(bucket)[entry]
+            starts.append(start + np.nonzero(flags[bucket][0][end - n : end])[0])
+    return np.concatenate(starts)
+
+
 #: For the payloads of a bucket: for each, the flags of all windows of its strings, one after another, and of its keys.
 Decide = Callable[[list[Strings]], list[tuple[np.ndarray, np.ndarray]]]
 
@@ -249,21 +273,10 @@ def find_repeats(
         made = [record_batch(out, [[] for _ in out])]
         for own in pk.unpacked(group):
             plan = plan_pack(own, first, units, buckets)
-            ends = {b: np.cumsum([0, *asked.n]) for b, asked in plan.requests.items()}
             rows = []
             for doc_id, raw in own:
-                key = (-(1 << 63) if doc_id is None else doc_id, _text_tie(raw or b""))
-                starts = []
-                for start, n, bucket, entry, single, asked_here in plan.runs.get(key, ()):
-                    if later and not asked_here:
-                        starts.append(np.arange(start, start + n))
-                    elif single:
-                        if flags[bucket][1][entry]:
-                            starts.append(np.array([start]))
-                    else:
-                        a, b = ends[bucket][entry : entry + 2]
-                        starts.append(start + np.nonzero(flags[bucket][0][a:b])[0])
-                rows.append(finish(raw, np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)))
+                starts = repeated_starts(plan, flags, doc_id, raw, later)
+                rows.append(finish(raw, starts))
             if rows:
                 columns = (list(column) for column in zip(*rows, strict=True))
                 made.append(record_batch(out, [[doc_id for doc_id, _ in own], *columns]))
