@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.operators.hubs import Hubs, hub_fan_out, hub_table, hubs_from_rows
+from tagweave.operators.hubs import HUB_SCHEMA, Hubs, hub_rows, hubs_from_table
 from tagweave.operators.skew import SPLIT_ROWS
 from tagweave.operators.tagging import (
     attach_tags,
@@ -19,7 +18,6 @@ from tagweave.operators.tagging import (
 from tagweave.session import new_folder
 
 
-
 @dataclass(frozen=True)
 class TaggedGraph:
     """Vertices (id, tag), tagged edges (src, dst, src_tag, dst_tag), and the hubs."""
@@ -60,25 +58,26 @@ def build_graph(
     """
     spark = vertices.sparkSession
     path = store or new_folder(spark, "graph")
-    unique_vertices(vertices).write.mode("error").parquet(f"{path}/vertices")
+    # By tag, so that the vertices of one tag are few row groups.
+    unique_vertices(vertices).repartitionByRange("tag", "id").sortWithinPartitions("tag", "id").write.mode(
+        "error"
+    ).parquet(f"{path}/vertices")
     known = _stored_vertices(spark, path)
     endpoints = hub_endpoints(edges, split_at)
     store_tagged(attach_tags(known, edges, on_dangling, endpoints, split_at), f"{path}/edges")
     tagged = load_tagged(spark, f"{path}/edges")
-    hubs = hub_fan_out(tagged, endpoints, split_at)
-    if hubs:
-        hub_table(spark, hubs).write.mode("error").parquet(f"{path}/hubs")
-    return TaggedGraph(known, tagged, hubs)
+    hub_rows(tagged, endpoints, split_at).write.mode("error").parquet(f"{path}/hubs")
+    return TaggedGraph(known, tagged, _stored_hubs(spark, path, split_at))
 
 
 def load_graph(spark: SparkSession, path: str, split_at: int = SPLIT_ROWS) -> TaggedGraph:
     """A graph written by ``build_graph(store=path)``."""
     tagged = load_tagged(spark, f"{path}/edges")
-    try:
-        rows = [tuple(row) for row in spark.read.parquet(f"{path}/hubs").collect()]
-    except AnalysisException:  # no such table: a graph without hubs
-        rows = []
-    return TaggedGraph(_stored_vertices(spark, path), tagged, hubs_from_rows(rows, split_at))
+    return TaggedGraph(_stored_vertices(spark, path), tagged, _stored_hubs(spark, path, split_at))
+
+
+def _stored_hubs(spark: SparkSession, path: str, split_at: int) -> Hubs:
+    return hubs_from_table(spark.read.schema(HUB_SCHEMA).parquet(f"{path}/hubs"), split_at)
 
 
 def _stored_vertices(spark: SparkSession, path: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 import sys
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
 from tagweave.graph import build_graph
 from tagweave.plans.match import match
 from tagweave.report import match_summary
-from tagweave.session import create_session, ensure_checkpoint_dir
+from tagweave.session import create_session, ensure_checkpoint_dir, remove_folder
 from tagweave.sources.text import read_edges, read_match_lines, read_pattern, read_vertices, write_matches
 
 USAGE = (
@@ -31,19 +32,25 @@ def run(
 ):
     """Match, write the result lines, and return the summary (one row per star).
 
-    ``work_folder`` holds stored tables and checkpoints where the session does not name
-    a ``spark.checkpoint.dir``; it must be reachable from all executors.
+    The tagged graph is stored in a new folder below ``work_folder``, which must be reachable from all executors, and removed
+    at the end. Checkpoints go to ``spark.checkpoint.dir``, or below ``work_folder`` where no folder has been set.
     """
-    ensure_checkpoint_dir(spark, work_folder)
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder)
+    ensure_checkpoint_dir(spark)
+    store = f"{work_folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     started = time.monotonic()
     pattern = read_pattern(spark, query_vertices, query_edges)
-    graph = build_graph(read_vertices(spark, data_vertices), read_edges(spark, data_edges))
-    tagged = time.monotonic()
-    write_matches(match(graph, pattern), output)
-    written = time.monotonic()
-    log.info("tagging %.1f s, matching %.1f s", tagged - started, written - tagged)
-    # Counted from the written lines, so the matches are not computed twice.
-    return match_summary(graph, pattern, read_match_lines(spark, output).count())
+    try:
+        graph = build_graph(read_vertices(spark, data_vertices), read_edges(spark, data_edges), store=store)
+        tagged = time.monotonic()
+        write_matches(match(graph, pattern), output)
+        written = time.monotonic()
+        log.info("tagging %.1f s, matching %.1f s", tagged - started, written - tagged)
+        # Counted from the written lines, so the matches are not computed twice.
+        return match_summary(graph, pattern, read_match_lines(spark, output).count())
+    finally:
+        remove_folder(spark, store)
 
 
 def main(arguments: list[str]) -> int:

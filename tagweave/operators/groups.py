@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from math import perm
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.expressions import keep_injective
-from tagweave.operators.skew import SPLIT_ROWS, hot_keys, parts_for, skew_join, splits_table
+from tagweave.functions.expressions import keep_injective, quoted
+from tagweave.operators.skew import RESULT_FACTOR, SPLIT_ROWS, few_or_stored, skew_join, splits_from
 
 
 def group_permutations(
@@ -17,11 +16,10 @@ def group_permutations(
 ) -> DataFrame:
     """All ordered k-tuples of distinct members of each group: (group, m1, ..., mk).
 
-    ``members`` holds each (group, member) once, both LONG. Large groups are counted
-    first and each step of the self-join is split over a grid of shares of bounded size.
+    ``members`` holds each (group, member) once, both LONG. Groups with many members or many
+    tuples are counted first, and each step of the self-join is split over a grid of shares of bounded size.
     """
-    large = dict(hot_keys(members, [group], split_at)) if k > 1 else {}
-    return _arrangements(members, group, member, k, large, "m", split_at)
+    return _arrangements(members, group, member, k, "m", split_at)
 
 
 def cross_tags(
@@ -33,48 +31,46 @@ def cross_tags(
     tag and the number of children to place. Columns: root, then ``t<i>m<j>`` for the
     j-th child of the i-th tag. Roots that lack candidates of some tag have none.
     """
-    spark = by_tag[0][0].sparkSession
-    result, rows_so_far = None, {}
+    result, ways = None, None
     for i, (members, k) in enumerate(by_tag, start=1):
-        large = dict(hot_keys(members, [root], split_at))
-        ways = {vertex: perm(n, k) for vertex, n in large.items()}
-        arranged = _arrangements(members, root, member, k, large, f"t{i}m", split_at)
+        arranged = _arrangements(members, root, member, k, f"t{i}m", split_at)
+        own = _sizes(members, root).select(root, F.expr(_ways(k)).alias("own"))
         if result is None:
-            result, rows_so_far = arranged, ways
+            result, ways = arranged, own.withColumnRenamed("own", "ways")
             continue
-        hot = rows_so_far.keys() | ways.keys()
-        parts = {
-            (v,): (parts_for(rows_so_far.get(v, 1), split_at), parts_for(ways.get(v, 1), split_at))
-            for v in hot
-        }
-        result = skew_join(result, arranged, [root], splits_table(spark, [root], parts))
-        rows_so_far = {v: rows_so_far.get(v, 1) * ways.get(v, 1) for v in hot}
+        both = ways.join(own, root)
+        large = both.where(f"ways * own > {RESULT_FACTOR * split_at} or greatest(ways, own) > {split_at}")
+        result = skew_join(result, arranged, [root], splits_from(few_or_stored(large), [root], "ways", "own", split_at))
+        ways = both.selectExpr(quoted(root), "ways * own AS ways")
     return result
 
 
+def _sizes(members: DataFrame, group: str) -> DataFrame:
+    return members.groupBy(group).agg(F.count("*").alias("n"))
+
+
+def _ways(k: int) -> str:
+    """Arrangements of k of n members, as a double: only their magnitude matters."""
+    return " * ".join(["1D", *(f"greatest(0, n - {i})" for i in range(k))])
+
+
 def _arrangements(
-    members: DataFrame,
-    group: str,
-    member: str,
-    k: int,
-    large: Mapping[int, int],
-    prefix: str,
-    split_at: int,
+    members: DataFrame, group: str, member: str, k: int, prefix: str, split_at: int
 ) -> DataFrame:
     if k < 1:
         raise ValueError("k must be at least 1")
     result = members.select(F.col(group), F.col(member).alias(f"{prefix}1"))
+    if k == 1:
+        return result
+    many = f"n > {split_at} or {_ways(k)} > {RESULT_FACTOR * split_at}"
+    large = few_or_stored(_sizes(members, group).where(many))
     for i in range(2, k + 1):
-        parts = {
-            (vertex,): (parts_for(perm(n, i - 1), split_at), parts_for(n, split_at))
-            for vertex, n in large.items()
-        }
         new = f"{prefix}{i}"
         result = skew_join(
             result,
             members.select(F.col(group), F.col(member).alias(new)),
             [group],
-            splits_table(members.sparkSession, [group], parts),
+            splits_from(large, [group], _ways(i - 1), "n", split_at),
         )
         result = keep_injective(result, new, [f"{prefix}{j}" for j in range(1, i)])
     return result

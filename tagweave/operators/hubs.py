@@ -3,150 +3,113 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.operators.skew import SPLIT_ROWS, hot_keys, parts_for, splits_table
+from tagweave.functions.expressions import quoted
+from tagweave.operators.skew import SPLIT_ROWS, few_or_stored, hot_keys, splits_from
 
 Pair = tuple[int, int]
+#: Columns of the table of hubs: one row per hub, direction and tag pair with more than ``split_at`` edges.
+HUB_SCHEMA = "side string, src_tag int, dst_tag int, id long, n long"
 
 
 @dataclass(frozen=True)
 class Hubs:
-    """Edges of each hub per tag pair: the hub as source, and as target.
+    """Edges of each hub per tag pair, the hub as source and as target, as a table of any size.
 
-    At most ``HOT_KEY_LIMIT`` entries in all, whatever the size of the graph. Empty for
-    a graph without hubs; then no join is split and the plans are the plain ones.
+    The driver knows only which tag pairs have hubs. Empty for a graph without hubs;
+    then no join is split for one and the plans are the plain ones.
     """
 
-    as_src: dict[Pair, dict[int, int]] = field(default_factory=dict)
-    as_dst: dict[Pair, dict[int, int]] = field(default_factory=dict)
+    table: DataFrame | None = None
+    touched: frozenset[tuple[str, Pair]] = frozenset()
     split_at: int = SPLIT_ROWS
 
     def __bool__(self) -> bool:
-        return bool(self.as_src or self.as_dst)
+        return bool(self.touched)
 
     def touch(self, pair: Pair) -> bool:
         """Whether a hub has edges of this tag pair beyond the limit."""
-        return bool(self.as_src.get(pair) or self.as_dst.get(pair))
-
-    def rows(self) -> list[tuple[str, int, int, int, int]]:
-        return [
-            (side, a, b, vertex, n)
-            for side, table in (("src", self.as_src), ("dst", self.as_dst))
-            for (a, b), fan_out in table.items()
-            for vertex, n in fan_out.items()
-        ]
-
-    def with_tag(self, tag: int) -> dict[int, int]:
-        """Hubs carrying a tag, with their largest fan-out over all tag pairs."""
-        found: dict[int, int] = {}
-        for table, own in ((self.as_src, 0), (self.as_dst, 1)):
-            for pair, fan_out in table.items():
-                if pair[own] == tag:
-                    for vertex, n in fan_out.items():
-                        found[vertex] = max(n, found.get(vertex, 0))
-        return found
-
-    def end_splits(
-        self, spark: SparkSession, pairs: Iterable[Pair], side: str, key: str
-    ) -> DataFrame | None:
+        return ("src", pair) in self.touched or ("dst", pair) in self.touched
+
+    def _edges(self, side: str, pairs: Iterable[Pair]) -> DataFrame | None:
+        wanted = [pair for pair in set(pairs) if (side, pair) in self.touched]
+        if not wanted:
+            return None
+        of_pair = " OR ".join(f"(src_tag = {a} AND dst_tag = {b})" for a, b in sorted(wanted))
+        return self.table.where(f"side = '{side}' AND ({of_pair})").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def with_tag(self, tag: int) -> DataFrame | None:
+        """Hubs carrying a tag, with their largest fan-out over all tag pairs: (id, most)."""
+        if not any(pair[side == "dst"] == tag for side, pair in self.touched):
+            return None
+        own = f"(side = 'src' AND src_tag = {tag}) OR (side = 'dst' AND dst_tag = {tag})"
+        return self.table.where(own).groupBy("id").agg(F.max("n").alias("most"))
+
+    def end_splits(self, pairs: Iterable[Pair], side: str, key: str) -> DataFrame | None:
         """Splits for edges (left) joined by one end with at most a few rows per vertex."""
-        table = self.as_src if side == "src" else self.as_dst
-        fan_out: dict[int, int] = {}
-        for pair in pairs:
-            for vertex, n in table.get(pair, {}).items():
-                fan_out[vertex] = n + fan_out.get(vertex, 0)
-        return splits_table(
-            spark, [key], {(v,): (parts_for(n, self.split_at), 1) for v, n in fan_out.items()}
-        )
-
-    def extend_splits(
-        self, spark: SparkSession, pair: Pair, bound_is_src: bool, key: str
-    ) -> DataFrame | None:
+        counts = self._edges(side, pairs)
+        return splits_from(counts and counts.withColumnRenamed("id", key), [key], "n", "1", self.split_at)
+
+    def extend_splits(self, pair: Pair, bound_is_src: bool, key: str) -> DataFrame | None:
         """Splits for partial matches (left) against a slice (right) joined on one end.
 
-        A hub with many edges in the slice: the slice is split and the few partial
-        matches of the hub are copied. A hub with few edges in the slice but many
-        elsewhere tends to be in many partial matches: these are split and the few
-        edges are copied, never more often than the hub has edges.
+        A hub's partial matches are taken to be as many as its largest fan-out, its rows in the slice are
+        known. Both sides are split, as far as their product asks for.
         """
-        in_slice = (self.as_src if bound_is_src else self.as_dst).get(pair, {})
-        bound_tag = pair[0] if bound_is_src else pair[1]
-        parts = {}
-        for vertex, most in self.with_tag(bound_tag).items():
-            right = parts_for(in_slice.get(vertex, 0), self.split_at)
-            left = 1 if right > 1 else parts_for(most, self.split_at)
-            parts[(vertex,)] = (left, right)
-        return splits_table(spark, [key], parts)
-
-    def sibling_splits(
-        self, spark: SparkSession, joined: list[Pair], pair: Pair, key: str
-    ) -> DataFrame | None:
-        """Splits for the children of a star: slices already joined on the root, and one more."""
-        parts = {}
-        for vertex in self.with_tag(pair[0]):
-            left = 1
-            for earlier in joined:
-                left *= max(1, self.as_src.get(earlier, {}).get(vertex, 1))
-            right = self.as_src.get(pair, {}).get(vertex, 1)
-            parts[(vertex,)] = (parts_for(left, self.split_at), parts_for(right, self.split_at))
-        return splits_table(spark, [key], parts)
-
-    def close_splits(self, spark: SparkSession, pair: Pair, keys: list[str]) -> tuple[DataFrame, DataFrame] | None:
+        bound = self.with_tag(pair[0] if bound_is_src else pair[1])
+        if bound is None:
+            return None
+        in_slice = self._edges("src" if bound_is_src else "dst", [pair])
+        if in_slice is None:
+            counts = bound.withColumn("n", F.lit(1))
+        else:
+            counts = bound.join(in_slice, "id", "left")
+        return splits_from(counts.withColumnRenamed("id", key), [key], "most", "coalesce(n, 1)", self.split_at)
+
+    def close_splits(self, pair: Pair, keys: list[str]) -> tuple[DataFrame, DataFrame] | None:
         """Shares per hub for both ends of a closing edge; only hub to hub edges are split."""
         tables = []
         for tag, key in zip(pair, keys):
             hubs = self.with_tag(tag)
-            if not hubs:
+            counts = hubs and hubs.withColumnRenamed("id", key)
+            splits = splits_from(counts, [key], "most", "1", self.split_at)
+            if splits is None:
                 return None
-            tables.append(
-                spark.createDataFrame(
-                    pa.table(
-                        {
-                            key: pa.array(hubs, type=pa.int64()),
-                            f"{key}_parts": pa.array(
-                                [parts_for(n, self.split_at) for n in hubs.values()], type=pa.int64()
-                            ),
-                        }
-                    )
-                )
-            )
+            tables.append(splits.selectExpr(quoted(key), f"left_parts AS {quoted(key + '_parts')}"))
         return tables[0], tables[1]
 
 
-def hubs_from_rows(rows: Iterable[tuple[str, int, int, int, int]], split_at: int = SPLIT_ROWS) -> Hubs:
-    hubs = Hubs(split_at=split_at)
-    for side, a, b, vertex, n in rows:
-        table = hubs.as_src if side == "src" else hubs.as_dst
-        table.setdefault((a, b), {})[vertex] = n
-    return hubs
-
-
-def hub_table(spark: SparkSession, hubs: Hubs) -> DataFrame:
-    """The hubs as rows (side, src_tag, dst_tag, id, n)."""
-    names = ("side", "src_tag", "dst_tag", "id", "n")
-    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*hubs.rows()))))))
+def hubs_from_table(table: DataFrame, split_at: int = SPLIT_ROWS) -> Hubs:
+    """Hubs from a stored table; one row per tag pair and direction comes to the driver."""
+    touched = frozenset(
+        (row["side"], (row["src_tag"], row["dst_tag"]))
+        for row in table.select("side", "src_tag", "dst_tag").distinct().collect()
+    )
+    return Hubs(table if touched else None, touched, split_at)
 
 
-def hub_fan_out(
-    tagged: DataFrame, endpoints: dict[str, dict[int, int]], split_at: int = SPLIT_ROWS
-) -> Hubs:
-    """Fan-out per tag pair of the vertices that ``hub_endpoints`` found.
+def hub_rows(tagged: DataFrame, endpoints: DataFrame | None, split_at: int = SPLIT_ROWS) -> DataFrame:
+    """Fan-out per tag pair of the vertices that ``hub_endpoints`` found, as rows of ``HUB_SCHEMA``.
 
-    Only edges at a hub are aggregated, the others are dropped by a broadcast semi
-    join with the bounded list of hubs.
+    Only edges at such a vertex are aggregated, a semi join drops the others.
     """
-    spark = tagged.sparkSession
-    rows: list[tuple[str, int, int, int, int]] = []
+    spark: SparkSession = tagged.sparkSession
+    result = spark.createDataFrame([], HUB_SCHEMA)
+    if endpoints is None:
+        return result
     for side in ("src", "dst"):
-        if not endpoints[side]:
-            continue
-        ids = spark.createDataFrame(pa.table({side: pa.array(endpoints[side], type=pa.int64())}))
-        at_hub = tagged.join(F.broadcast(ids), side, "left_semi")
-        for a, b, vertex, n in hot_keys(at_hub, ["src_tag", "dst_tag", side], split_at):
-            rows.append((side, a, b, vertex, n))
-    return hubs_from_rows(rows, split_at)
+        ids = endpoints.where(F.col("side") == side).select(F.col("id").alias(side))
+        at_hub = tagged.join(ids, side, "left_semi")
+        counted = hot_keys(at_hub, ["src_tag", "dst_tag", side], split_at)
+        result = result.union(counted.select(F.lit(side), "src_tag", "dst_tag", side, "n"))
+    return result
+
+
+def hub_fan_out(tagged: DataFrame, endpoints: DataFrame | None, split_at: int = SPLIT_ROWS) -> Hubs:
+    """The hubs of tagged edges that are not stored with a graph."""
+    table = few_or_stored(hub_rows(tagged, endpoints, split_at))
+    return Hubs(split_at=split_at) if table is None else hubs_from_table(table, split_at)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import all_different, keep_injective, named
 from tagweave.operators.hubs import Hubs
-from tagweave.operators.skew import grid_product, skew_join
+from tagweave.operators.skew import RESULT_FACTOR, SPLIT_ROWS, few_or_stored, grid_product, skew_join, splits_from
 from tagweave.operators.slices import query_slice
 from tagweave.pattern import Pattern, Star, column
 
@@ -28,7 +28,8 @@ class EdgeSlice:
     ``rows`` are what a join shuffles. ``few`` is set for a slice that was counted and is
     within the broadcast bound: it is broadcast instead, and its join has no hot key. Any
     other join is split by ``hubs``. ``seed`` are the rows to start from, where these are
-    pruned further than it would pay for in a later join.
+    pruned further than it would pay for in a later join. ``widest`` is the largest number of bindings of
+    the edge's whole star at one root, where it has been counted.
     """
 
     edge: Edge
@@ -37,6 +38,7 @@ class EdgeSlice:
     few: DataFrame | None = None
     hubs: Hubs | None = None
     seed: DataFrame | None = None
+    widest: float | None = None
 
     @property
     def bindings(self) -> DataFrame:
@@ -65,28 +67,47 @@ def _must_differ(pattern: Pattern, new: int, bound: Sequence[int]) -> list[str]:
 
 
 def first_star(pattern: Pattern, star: Star, slices: Slices) -> DataFrame:
-    """All bindings of a star's root and children, children pairwise distinct."""
+    """All bindings of a star's root and children, children pairwise distinct.
+
+    Roots with very many bindings, by the product of their children's candidates, are split.
+    """
     root = column(star.root)
     # A self-loop only filters the root, so it goes first.
     children = sorted(star.child_ids, key=lambda child: child != star.root)
-    matches, joined = None, []
-    for child in children:
-        edge = (star.root, child)
-        bindings = slices(edge)
+    bindings_of = [slices((star.root, child)) for child in children]
+    large = _many_bindings(bindings_of, root) if len(children) > 1 else None
+    matches = None
+    for i, (child, bindings) in enumerate(zip(children, bindings_of)):
         if matches is None:
             bound, matches = [star.root], bindings.rows if bindings.seed is None else bindings.seed
         else:
-            hubs = bindings.splitting
-            splits = hubs and hubs.sibling_splits(
-                matches.sparkSession, joined, pattern.tag_pair(edge), root
-            )
+            splits = None
+            if bindings.few is None:
+                joined = " * ".join(f"double(n{j})" for j in range(i))
+                splits = splits_from(large, [root], joined, f"n{i}", bindings.hubs.split_at if bindings.hubs is not None else SPLIT_ROWS)
             bound = bound_vertices(matches, pattern)
             matches = skew_join(matches, bindings.bindings, [root], splits)
         matches = keep_injective(matches, column(child), _must_differ(pattern, child, bound))
-        joined.append(pattern.tag_pair(edge))
     return matches
 
 
+def _many_bindings(bindings_of: Sequence[EdgeSlice], root: str) -> DataFrame | None:
+    """Roots one task should not bind alone: (root, n0, n1, ...), candidates per child."""
+    hubs, widest = bindings_of[0].hubs, bindings_of[0].widest
+    split_at = hubs.split_at if hubs is not None else SPLIT_ROWS
+    if all(b.few is not None for b in bindings_of[1:]) or (not hubs and widest is None):
+        return None
+    if widest is not None and widest <= RESULT_FACTOR * split_at and not hubs:
+        return None
+    counts = None
+    for i, bindings in enumerate(bindings_of):
+        own = bindings.rows.groupBy(named(root)).agg(F.count("*").alias(f"n{i}"))
+        counts = own if counts is None else counts.join(own, root)
+    names = [f"n{i}" for i in range(len(bindings_of))]
+    product = " * ".join(f"double({n})" for n in names)
+    return few_or_stored(counts.where(f"{product} > {RESULT_FACTOR * split_at} OR greatest({', '.join(names)}) > {split_at}"))
+
+
 def extend(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice) -> DataFrame:
     """Root bound, child free: add the child's column."""
     root, child = bindings.edge
@@ -102,9 +123,7 @@ def attach_root(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice) -> Da
 def _attach(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice, bound: int, new: int) -> DataFrame:
     key = column(bound)
     hubs = bindings.splitting
-    splits = hubs and hubs.extend_splits(
-        matches.sparkSession, pattern.tag_pair(bindings.edge), bound == bindings.edge[0], key
-    )
+    splits = hubs and hubs.extend_splits(pattern.tag_pair(bindings.edge), bound == bindings.edge[0], key)
     others = bound_vertices(matches, pattern)
     joined = skew_join(matches, bindings.bindings, [key], splits)
     return keep_injective(joined, column(new), _must_differ(pattern, new, others))
@@ -119,7 +138,7 @@ def close(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice) -> DataFram
     keys = list(dict.fromkeys(column(v) for v in bindings.edge))
     hubs = bindings.splitting
     tables = (
-        hubs.close_splits(matches.sparkSession, pattern.tag_pair(bindings.edge), keys)
+        hubs.close_splits(pattern.tag_pair(bindings.edge), keys)
         if hubs and len(keys) == 2
         else None
     )
@@ -128,7 +147,7 @@ def close(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice) -> DataFram
 
     def with_parts(df: DataFrame) -> DataFrame:
         for key, table in zip(keys, tables):
-            df = df.join(F.broadcast(table), key, "left")
+            df = df.join(table, key, "left")
         parts = F.least(*[F.coalesce(named(f"{key}_parts"), F.lit(1)) for key in keys])
         return df.withColumn("parts", parts)
 

@@ -1,55 +1,80 @@
 """Joins that split hot keys.
 
-One vertex may hold a third of all edges. Such keys are found by a pre-aggregated
-count, kept as a bounded table of at most ``HOT_KEY_LIMIT`` rows, and spread over
-several join partitions: one side's rows are dealt out by a hash, the other side's
-are copied to every share. The result is the plain join's, row for row.
+One vertex may hold a third of all edges, or make most of a join's result. Such keys are found by pre-aggregated
+counts and kept as a table, and are spread over several join partitions: the rows of each side are dealt out by a hash and
+copied to every share of the other side. The result is the plain join's, row for row.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import named
+from tagweave.session import new_folder
 
 # Rows of one key on one side of a join beyond which the key is split.
 SPLIT_ROWS = 16_384
-# Most hot keys kept, the largest first. A key outside this list has less than one
-# part in HOT_KEY_LIMIT of the rows, so it is no hot spot.
-HOT_KEY_LIMIT = 100_000
-# Most shares one side of a key is split into.
-MAX_PARTS = 65_536
+# Result rows of one key beyond which it is split, for each row of the limit above.
+RESULT_FACTOR = 64
+# Cells of a key for each shuffle partition: more would not spread it any further.
+CELLS_PER_PARTITION = 16
 # Rows of (long, long) up to which a side, once counted, is broadcast.
 BROADCAST_ROWS = 250_000
 # Expected result rows beyond which a small input is spread over all tasks first.
 SPREAD_ROWS = 5_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], split_at: int = SPLIT_ROWS) -> list[tuple]:
-    """The keys with more than ``split_at`` rows, as (key..., n), largest first."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > split_at)
-    return [tuple(row) for row in counts.orderBy(F.desc("n")).limit(HOT_KEY_LIMIT).collect()]
+def hot_keys(df: DataFrame, keys: Sequence[str], split_at: int = SPLIT_ROWS) -> DataFrame:
+    """The keys with more than ``split_at`` rows: (key..., n)."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > split_at)
 
 
-def parts_for(rows: float, split_at: int = SPLIT_ROWS) -> int:
-    return max(1, min(MAX_PARTS, math.ceil(rows / split_at)))
+def few_or_stored(df: DataFrame, rows: int | None = None) -> DataFrame | None:
+    """A table that is used several times; None if it has no rows.
+
+    Up to ``rows`` rows are counted on the driver and broadcast. A larger table is written to the shared folder whole, and joined
+    as any other. The limit only decides between the two.
+    """
+    rows = BROADCAST_ROWS if rows is None else rows
+    table = df.limit(rows + 1).toArrow()
+    if not table.num_rows:
+        return None
+    spark = df.sparkSession
+    if table.num_rows <= rows:
+        return F.broadcast(spark.createDataFrame(table))
+    path = new_folder(spark, "keys")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def splits_table(
-    spark: SparkSession, keys: Sequence[str], parts: Mapping[tuple, tuple[int, int]]
+def splits_from(
+    counts: DataFrame | None, keys: Sequence[str], left: str, right: str, split_at: int = SPLIT_ROWS
 ) -> DataFrame | None:
-    """key... -> (left_parts, right_parts) as a table; None when no key is split."""
-    rows = [(*key, *counts) for key, counts in parts.items() if max(counts) > 1]
-    if not rows:
+    """Shares of the keys that one task should not join alone: (key..., left_parts, right_parts), or None.
+
+    ``counts`` has the keys, ``left`` and ``right`` are SQL expressions for the expected rows of a key on either side. Cells hold at most
+    ``split_at`` rows of a side and ``RESULT_FACTOR`` times as many result rows; the grid has the shape that copies least.
+    """
+    if counts is None:
         return None
-    names = [*keys, "left_parts", "right_parts"]
-    arrays = [pa.array(values, type=pa.int64()) for values in zip(*rows)]
-    return spark.createDataFrame(pa.table(dict(zip(names, arrays))))
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = CELLS_PER_PARTITION * max(partitions, 8)
+    rows = counts.select(
+        *[named(k) for k in keys],
+        F.expr(f"greatest(1D, double({left}))").alias("l"),
+        F.expr(f"greatest(1D, double({right}))").alias("r"),
+    )
+    cells = f"least({most}D, ceil(greatest(l * r / {RESULT_FACTOR * split_at}D, greatest(l, r) / {split_at}D)))"
+    shaped = rows.withColumn("cells", F.expr(cells)).where("cells > 1")
+    shaped = shaped.withColumn("left_parts", F.expr("bigint(ceil(greatest(1D, least(cells, l, sqrt(cells * l / r)))))"))
+    return few_or_stored(
+        shaped.select(
+            *[named(k) for k in keys], "left_parts", F.expr("bigint(ceil(cells / left_parts))").alias("right_parts")
+        )
+    )
 
 
 def _deal(df: DataFrame, keys: Sequence[str], splits: DataFrame, own: str, other: str) -> DataFrame:
@@ -57,7 +82,7 @@ def _deal(df: DataFrame, keys: Sequence[str], splits: DataFrame, own: str, other
     columns = df.columns
     own_parts = F.coalesce(F.col(f"{own}_parts"), F.lit(1))
     other_parts = F.coalesce(F.col(f"{other}_parts"), F.lit(1))
-    return df.join(F.broadcast(splits), list(keys), "left").select(
+    return df.join(splits, list(keys), "left").select(
         *[named(c) for c in columns],
         F.pmod(F.xxhash64(*[named(c) for c in columns]), own_parts).alias(f"{own}_share"),
         F.explode(F.sequence(F.lit(0).cast("long"), other_parts - 1)).alias(f"{other}_share"),
@@ -85,17 +110,6 @@ def skew_join(
     ).drop(*shares)
 
 
-def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows as a broadcast table if there are at most ``rows``, else ``df`` as it is.
-
-    At most ``rows + 1`` rows come to the driver, so they are computed once.
-    """
-    table = df.limit(rows + 1).toArrow()
-    if table.num_rows > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly to all shuffle partitions; their number is kept by the planner."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,19 +119,30 @@ def spread(df: DataFrame) -> DataFrame:
 def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> DataFrame:
     """Every pair of rows of two tables, computed as an equi-join on a grid of cells.
 
-    The rows of each side are dealt to the grid's rows or columns by a hash and copied
-    along the other axis, so all cells hold equal shares whatever the data. The copies
-    are few compared with the pairs that are asked for.
+    The rows of each side are dealt to the grid's rows or columns by a hash and copied along the other axis. A side
+    that is counted and small is copied to all cells, and the other one is not copied at all; otherwise the grid is square. There are
+    several cells for each partition, so that partitions get even shares.
     """
-    cells = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = max(1, math.isqrt(cells))
-
-    def place(df: DataFrame, own: str, other: str) -> DataFrame:
-        every = F.array(*[F.lit(i) for i in range(side)])
-        share = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(side)).cast("int")
+    cells = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, round(cells**0.5))
+    shape = (side, side)
+    if few(right):
+        shape = (cells, 1)
+    elif few(left):
+        shape = (1, cells)
+
+    def place(df: DataFrame, own: str, size: int, other: str, copies: int) -> DataFrame:
+        share = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(size)).cast("int")
+        every = F.sequence(F.lit(0), F.lit(copies - 1))
         return df.select("*", share.alias(own), F.explode(every).alias(other))
 
-    pairs = place(left, "cell_row", "cell_col").join(
-        place(right, "cell_col", "cell_row"), ["cell_row", "cell_col"]
+    pairs = place(left, "cell_row", shape[0], "cell_col", shape[1]).join(
+        place(right, "cell_col", shape[1], "cell_row", shape[0]), ["cell_row", "cell_col"]
     ).drop("cell_row", "cell_col")
     return pairs.where(condition) if condition else pairs
+
+
+def few(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table has at most ``rows`` rows."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.hubs import Hubs
-from tagweave.operators.skew import broadcast_if_few, skew_join
+from tagweave.operators.skew import skew_join
 from tagweave.operators.slices import EDGE_COLUMNS, has_tag_pair, with_tag_pairs
 from tagweave.pattern import Star
 
-# Most children in one row of the array form of a star.
+# Ids in the range of one row of the array form of a star.
 BLOCK = 65_536
 
 
@@ -28,22 +28,12 @@ def neighbour_tag_counts(tagged: DataFrame) -> DataFrame:
 def stars(tagged: DataFrame, block: int = BLOCK) -> DataFrame:
     """One star per vertex with out-edges: (root, root_tag, block, children).
 
-    ``children`` is an array of (id, tag) in id order, all of them in block 0. Only a
-    root with more than ``block`` children has several rows, one per range of ``block``
-    ids and named by the range's first id, so that no row holds more than ``block``
-    children however large a hub is.
+    ``children`` is an array of (id, tag) in id order. Every star is cut in the same way, into one row for each range of
+    ``block`` ids that holds children, named by the first id of the range. So no row holds
+    more than ``block`` children, however large a hub is.
     """
-    wide = broadcast_if_few(
-        tagged.groupBy("src")
-        .agg(F.count("*").alias("out_degree"))
-        .where(F.col("out_degree") > block)
-        .select("src", F.lit(True).alias("wide"))
-    )
-    first_id = F.col("dst") - F.pmod("dst", F.lit(block))
-    child_block = F.when(F.col("wide"), first_id).otherwise(F.lit(0))
-    rows = tagged.join(wide, "src", "left")
     return (
-        rows.withColumn("block", child_block.cast("long"))
+        tagged.withColumn("block", (F.col("dst") - F.pmod("dst", F.lit(block))).cast("long"))
         .groupBy(F.col("src").alias("root"), F.col("src_tag").alias("root_tag"), "block")
         .agg(
             F.sort_array(
@@ -112,7 +102,7 @@ def star_roots(tagged: DataFrame, star: Star) -> DataFrame:
 def prune_by_star(tagged: DataFrame, star: Star, hubs: Hubs | None = None) -> DataFrame:
     """Edges of a star's tags whose source can be the root of the star."""
     pairs = star_tag_pairs([star])
-    splits = hubs.end_splits(tagged.sparkSession, pairs, "src", "src") if hubs else None
+    splits = hubs.end_splits(pairs, "src", "src") if hubs else None
     return skew_join(
         with_tag_pairs(tagged, pairs).select(*EDGE_COLUMNS),
         star_roots(tagged, star),
@@ -125,7 +115,7 @@ def prune_by_star(tagged: DataFrame, star: Star, hubs: Hubs | None = None) -> Da
 def star_matches(tagged: DataFrame, pattern_stars: Sequence[Star], hubs: Hubs | None = None) -> DataFrame:
     """Candidate neighbours of each star's candidate roots: (star_id, root, dst_tag, dst)."""
     pairs = star_tag_pairs(pattern_stars)
-    splits = hubs.end_splits(tagged.sparkSession, pairs, "src", "root") if hubs else None
+    splits = hubs.end_splits(pairs, "src", "root") if hubs else None
     child_of_star = " OR ".join(
         f"(star_id = {s.star_id} AND dst_tag IN ({', '.join(map(str, s.required))}))"
         for s in pattern_stars

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import fail
 from tagweave.operators.hubs import Hubs
-from tagweave.operators.skew import (
-    SPLIT_ROWS,
-    broadcast_if_few,
-    hot_keys,
-    parts_for,
-    skew_join,
-    splits_table,
-)
+from tagweave.operators.skew import SPLIT_ROWS, few_or_stored, hot_keys, skew_join, splits_from
 from tagweave.operators.slices import tag_bucket
 
+
 def conflicting_tags(vertices: DataFrame) -> DataFrame:
     """Ids listed with more than one tag: (id, n_tags)."""
     return (
@@ -40,19 +32,22 @@ def unique_vertices(vertices: DataFrame) -> DataFrame:
     )
 
 
-def dangling_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def dangling_edges(vertices: DataFrame, edges: DataFrame, split_at: int = SPLIT_ROWS) -> DataFrame:
     """Distinct edges with an endpoint that is not a vertex.
 
-    Endpoints are reduced to distinct ids before the anti join, so a hub's edges are
-    not shuffled to one task. The missing ids are counted before they are broadcast.
+    Endpoints are reduced to distinct ids, with the number of their edges, before the anti join. The missing ids are
+    kept as a table and those with very many edges are split.
     """
-    endpoints = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    missing = broadcast_if_few(endpoints.join(vertices.select("id"), "id", "left_anti"))
-    parts = [
-        edges.join(missing.withColumnRenamed("id", end), end, "left_semi").select("src", "dst")
-        for end in ("src", "dst")
-    ]
-    return parts[0].union(parts[1]).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    missing = few_or_stored(ends.join(vertices.select("id"), "id", "left_anti"))
+    if missing is None:
+        return edges.select("src", "dst").limit(0)
+    parts = []
+    for end in ("src", "dst"):
+        own = missing.withColumnRenamed("id", end)
+        splits = splits_from(own.where(F.col("n") > split_at), [end], "n", "1", split_at)
+        parts.append(skew_join(edges.select("src", "dst"), own.select(end), [end], splits, "left_semi"))
+    return parts[0].select("src", "dst").union(parts[1].select("src", "dst")).distinct()
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -60,8 +55,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
-def hub_endpoints(edges: DataFrame, split_at: int = SPLIT_ROWS) -> dict[str, dict[int, int]]:
-    """Vertices with about ``split_at`` edges or more in one direction: 'src'/'dst' -> id -> edges.
+def hub_endpoints(edges: DataFrame, split_at: int = SPLIT_ROWS) -> DataFrame | None:
+    """Vertices with about ``split_at`` edges or more in one direction: (side, id, n), side 'src' or 'dst'; None without any.
 
     Counted on a fixed-seed sample that shows some 256 edges of the smallest hub. The
     counts only decide how far a join key is split, never which rows are joined.
@@ -69,26 +64,18 @@ def hub_endpoints(edges: DataFrame, split_at: int = SPLIT_ROWS) -> dict[str, dic
     fraction = min(1.0, 256 / split_at)
     if fraction < 1:
         edges = edges.sample(fraction, seed=1)
-    ends = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.col("src").alias("id")),
-                F.struct(F.lit(1).alias("side"), F.col("dst").alias("id")),
-            )
-        )
-    )
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("id"))
+    ends = edges.select(F.inline(F.array(end("src"), end("dst"))))
     # Half the expected count, so that a hub is not missed by chance.
-    found: dict[str, dict[int, int]] = {"src": {}, "dst": {}}
-    for side, vertex, n in hot_keys(ends, ["side", "id"], int(split_at * fraction / 2)):
-        found["dst" if side else "src"][vertex] = int(n / fraction)
-    return found
+    found = hot_keys(ends, ["side", "id"], int(split_at * fraction / 2))
+    return few_or_stored(found.withColumn("n", (F.col("n") / fraction).cast("long")))
 
 
 def tag_edges(
     vertices: DataFrame,
     edges: DataFrame,
     on_dangling: str = "error",
-    hubs: Mapping[str, Mapping[int, int]] | None = None,
+    hubs: DataFrame | None = None,
     split_at: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Edges with both tags: (src, dst, src_tag, dst_tag), each edge once.
@@ -104,7 +91,7 @@ def attach_tags(
     unique: DataFrame,
     edges: DataFrame,
     on_dangling: str = "error",
-    hubs: Mapping[str, Mapping[int, int]] | None = None,
+    hubs: DataFrame | None = None,
     split_at: int = SPLIT_ROWS,
 ) -> DataFrame:
     """``tag_edges`` for vertices that are known to be listed once."""
@@ -115,8 +102,8 @@ def attach_tags(
     for end in ("dst", "src"):
         tag = f"{end}_tag"
         lookup = unique.select(F.col("id").alias(end), F.col("tag").alias(tag))
-        parts = {(v,): (parts_for(n, split_at), 1) for v, n in (hubs or {}).get(end, {}).items()}
-        splits = splits_table(edges.sparkSession, [end], parts)
+        own = hubs and hubs.where(F.col("side") == end).select(F.col("id").alias(end), "n")
+        splits = splits_from(own, [end], "n", "1", split_at)
         tagged = skew_join(tagged, lookup, [end], splits, how)
         if on_dangling == "error":
             tagged = tagged.where(
@@ -133,12 +120,13 @@ def sorted_adjacency(tagged: DataFrame, hubs: Hubs | None = None) -> DataFrame:
     The out-edges of a hub are clustered in several partitions, by (src, share).
     """
     order = ("src", "dst_tag", "dst")
-    splits = hubs.end_splits(tagged.sparkSession, hubs.as_src, "src", "src") if hubs else None
+    pairs = [pair for side, pair in hubs.touched if side == "src"] if hubs else []
+    splits = hubs.end_splits(pairs, "src", "src") if hubs else None
     if splits is None:
         return tagged.repartition("src").sortWithinPartitions(*order)
     share = F.pmod(F.xxhash64("dst"), F.coalesce("left_parts", F.lit(1)))
     return (
-        tagged.join(F.broadcast(splits), "src", "left")
+        tagged.join(splits, "src", "left")
         .select(*tagged.columns, share.alias("share"))
         .repartition("src", "share")
         .sortWithinPartitions(*order)

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import named, quoted
@@ -25,7 +25,7 @@ from tagweave.operators.slices import edges_for, query_slice
 from tagweave.operators.stars import star_roots
 from tagweave.pattern import Pattern, column
 from tagweave.plans.order import PatternStats, pattern_stats, star_order
-from tagweave.session import ensure_checkpoint_dir
+from tagweave.session import ensure_checkpoint_dir, new_folder
 
 CHECKPOINT_EVERY = 4
 
@@ -88,6 +88,8 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
             return rows
         return rows.join(F.broadcast(roots[vertex]), column(vertex), "left_semi")
 
+    widest = {s.root: stats.widest[s.star_id] for s in pattern.stars}
+
     def slice_of(edge: Edge) -> EdgeSlice:
         source, target = edge
         size = stats.edges[pattern.tag_pair(edge)]
@@ -102,39 +104,66 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
         if source in selective and (few is None or selective[source].out_degree > 2):
             if source not in few_roots:
                 key = column(source)
-                splits = graph.hubs.end_splits(graph.spark, [pattern.tag_pair(edge)], "src", key)
+                splits = graph.hubs.end_splits([pattern.tag_pair(edge)], "src", key)
                 seed = skew_join(rows, roots[source], [key], splits, "left_semi")
             elif few is not None:
                 seed = restrict(rows, source)
         if few is not None and expanding:
             seed = spread(seed)
-        return EdgeSlice(edge, rows, size, few, graph.hubs, seed)
+        return EdgeSlice(edge, rows, size, few, graph.hubs, seed, widest[source])
 
     return slice_of
 
 
 def match_count(graph: TaggedGraph, pattern: Pattern) -> int:
-    """Number of embeddings, without listing them where that can be avoided.
+    """Number of embeddings, of any size up to 38 digits; see ``match_count_row``."""
+    n = match_count_row(graph, pattern).first()["n"]
+    if n is None:
+        raise OverflowError("the pattern has more than 10^38 embeddings")
+    return int(n)
+
+
+def match_count_row(graph: TaggedGraph, pattern: Pattern) -> DataFrame:
+    """Number of embeddings as one row ``n``, a decimal, without listing them where that can be avoided.
 
     Parts of the pattern without a common tag cannot share a data vertex, so their
     counts are multiplied. Within a connected part, end vertices are replaced by counts
-    per neighbour, see ``component_count``.
+    per neighbour, see ``component_count``. A number beyond 38 digits stops the job or, without ANSI mode, gives null.
     """
-    total = 1
+    counts = []
     for parts in tag_disjoint_groups(pattern.components()):
         if len(parts) == 1:
-            total *= component_count(graph, parts[0])
+            counts.append(component_count(graph, parts[0]))
         elif len(parts) == 2:
-            total *= pair_count(graph, *parts)
+            counts.append(pair_count(graph, *parts))
         else:
             merged = Pattern(
                 tuple(v for part in parts for v in part.vertices),
                 tuple(e for part in parts for e in part.edges),
             )
-            total *= match(graph, merged).count()
-        if total == 0:
-            break
-    return total
+            counts.append(_row_count(match(graph, merged)))
+    if len(counts) == 1:
+        return counts[0]
+    # One row per group of parts, brought side by side.
+    rows = reduce(DataFrame.union, [c.select("n", F.lit(i).alias("i")) for i, c in enumerate(counts)])
+    product = reduce(_times, [F.max(F.when(F.col("i") == i, F.col("n"))) for i in range(len(counts))])
+    return rows.agg(product.alias("n"))
+
+
+def _wide(value: Column) -> Column:
+    return value.cast("decimal(38,0)")
+
+
+def _times(left: Column, right: Column) -> Column:
+    return _wide(left * right)
+
+
+def _row_count(rows: DataFrame) -> DataFrame:
+    return rows.agg(_wide(F.count("*")).alias("n"))
+
+
+def _total(rows: DataFrame, value: Column) -> DataFrame:
+    return rows.agg(_wide(F.coalesce(F.sum(value), F.lit(0))).alias("n"))
 
 
 def tag_disjoint_groups(parts: list[Pattern]) -> list[list[Pattern]]:
@@ -148,8 +177,8 @@ def tag_disjoint_groups(parts: list[Pattern]) -> list[list[Pattern]]:
     return groups
 
 
-def component_count(graph: TaggedGraph, pattern: Pattern) -> int:
-    """Embeddings of a connected pattern.
+def component_count(graph: TaggedGraph, pattern: Pattern) -> DataFrame:
+    """Embeddings of a connected pattern, as one row ``n``.
 
     An end vertex whose tag occurs nowhere else can take any of its neighbour's edges,
     so it is replaced by the number of these edges per neighbour; k such twins by
@@ -170,21 +199,21 @@ def component_count(graph: TaggedGraph, pattern: Pattern) -> int:
 
     if not edges and weights:
         (weight,) = weights.values()
-        return weight.agg(F.sum("w")).first()[0] or 0
+        return _total(weight, F.col("w"))
     core = component_matches(graph, pattern.restricted_to(vertices))
     if not weights:
-        return core.count()
+        return _row_count(core)
     # Pre-aggregated on the weighted vertices, so a vertex in many matches is one row.
     keys = [column(v) for v in weights]
-    counted = core.groupBy(*[named(k) for k in keys]).agg(F.count("*").alias("matches"))
+    counted = core.groupBy(*[named(k) for k in keys]).agg(_wide(F.count("*")).alias("matches"))
     product = F.col("matches")
     for vertex, weight in weights.items():
         w = f"w{vertex}"
         counted = counted.join(
             weight.select(F.col("id").alias(column(vertex)), F.col("w").alias(w)), column(vertex)
         )
-        product = product * named(w)
-    return counted.agg(F.sum(product)).first()[0] or 0
+        product = _times(product, named(w))
+    return _total(counted, product)
 
 
 def _peelable(
@@ -214,47 +243,49 @@ def _leaf_weight(
     inner_end, leaf_end = ("src", "dst") if inner == edge[0] else ("dst", "src")
     rows = edges_for(graph.tagged, *pair)
     if leaf_weight is not None:
-        splits = graph.hubs.end_splits(graph.spark, [pair], leaf_end, leaf_end)
+        splits = graph.hubs.end_splits([pair], leaf_end, leaf_end)
         rows = skew_join(rows, leaf_weight.withColumnRenamed("id", leaf_end), [leaf_end], splits)
-        return rows.groupBy(F.col(inner_end).alias("id")).agg(F.sum("w").alias("w"))
+        return rows.groupBy(F.col(inner_end).alias("id")).agg(_wide(F.sum("w")).alias("w"))
     counts = rows.groupBy(F.col(inner_end).alias("id")).agg(F.count("*").alias("n"))
-    ways = reduce(lambda w, i: w * (F.col("n") - i), range(1, k), F.col("n"))
+    ways = reduce(lambda w, i: _times(w, _wide(F.col("n") - i)), range(1, k), _wide(F.col("n")))
     return counts.where(F.col("n") >= k).select("id", ways.alias("w"))
 
 
 def _multiply(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("w", "w_other"), "id").select(
-        "id", (F.col("w") * F.col("w_other")).alias("w")
+        "id", _times(F.col("w"), F.col("w_other")).alias("w")
     )
 
 
-def pair_count(graph: TaggedGraph, left: Pattern, right: Pattern) -> int:
-    """Pairs of embeddings of two parts without a common data vertex.
+def pair_count(graph: TaggedGraph, left: Pattern, right: Pattern) -> DataFrame:
+    """Pairs of embeddings of two parts without a common data vertex, as one row ``n``.
 
     All pairs, minus those that agree on some same-tag vertices, by inclusion and
-    exclusion: each term joins counts per vertex, the pairs are never listed.
+    exclusion: each term joins counts per vertex, the pairs are never listed. Both sides are counted once by all
+    their vertices with a common tag, the terms add these counts up further, and all terms are one job.
     """
-    sides = [component_matches(graph, part).persist() for part in (left, right)]
     same_tag = [
         (a, b) for a, tag in left.vertices for b, other in right.vertices if tag == other
     ]
-    total = 0
+    sides = []
+    for i, part in enumerate((left, right)):
+        keys = [named(column(v)) for v in dict.fromkeys(pair[i] for pair in same_tag)]
+        path = new_folder(graph.spark, "pair-counts")
+        component_matches(graph, part).groupBy(*keys).agg(_wide(F.count("*")).alias("m")).write.parquet(path)
+        sides.append(graph.spark.read.parquet(path))
+    terms = []
     for agreed in _partial_matchings(same_tag):
-        if not agreed:
-            total += sides[0].count() * sides[1].count()
-            continue
         counts = [
             side.groupBy(
-                *[named(column(pair[i])).alias(f"k{j}") for j, pair in enumerate(agreed)]
-            ).agg(F.count("*").alias(f"n{i}"))
+                F.lit(0).alias("k"), *[named(column(pair[i])).alias(f"k{j}") for j, pair in enumerate(agreed)]
+            ).agg(_wide(F.sum("m")).alias(f"n{i}"))
             for i, side in enumerate(sides)
         ]
-        keys = [f"k{j}" for j in range(len(agreed))]
-        term = counts[0].join(counts[1], keys).agg(F.sum(F.col("n0") * F.col("n1"))).first()[0] or 0
-        total += (-1) ** len(agreed) * term
-    for side in sides:
-        side.unpersist()
-    return total
+        keys = ["k", *(f"k{j}" for j in range(len(agreed)))]
+        sign = F.lit((-1) ** len(agreed))
+        joined = counts[0].join(counts[1], keys).select(_times(_times(F.col("n0"), F.col("n1")), _wide(sign)).alias("term"))
+        terms.append(joined)
+    return _total(reduce(DataFrame.union, terms), F.col("term"))
 
 
 def _partial_matchings(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:

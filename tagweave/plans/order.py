@@ -13,13 +13,14 @@ from tagweave.pattern import Pattern, Star
 
 @dataclass(frozen=True)
 class PatternStats:
-    """Candidate roots and bindings per star; edges and distinct sources per tag pair.
+    """Candidate roots, bindings and the bindings of one root at most per star; edges and distinct sources per tag pair.
 
     The bindings are an upper bound, children of one tag are not kept apart.
     """
 
     star_counts: Mapping[int, int]
     bindings: Mapping[int, float]
+    widest: Mapping[int, float]
     edges: Mapping[tuple[int, int], int]
     sources: Mapping[tuple[int, int], int]
 
@@ -36,13 +37,17 @@ def pattern_stats(tagged: DataFrame, pattern: Pattern) -> PatternStats:
     measures = [f"count_if({satisfies(s, pairs)}) AS star{s.star_id}" for s in stars]
     for s in stars:
         ways = [f"pow(n{pairs.index((s.root_tag, tag))}, {k})" for tag, k in s.required.items()]
-        measures.append(f"sum(if({satisfies(s, pairs)}, {' * '.join(ways)}, 0)) AS bindings{s.star_id}")
+        measures += [
+            f"{total}(if({satisfies(s, pairs)}, {' * '.join(ways)}, 0)) AS {name}{s.star_id}"
+            for total, name in (("sum", "bindings"), ("max", "widest"))
+        ]
     for i in range(len(pairs)):
         measures += [f"sum(n{i}) AS edges{i}", f"count_if(n{i} > 0) AS sources{i}"]
     row = signatures(tagged, pairs).selectExpr(*measures).first()
     return PatternStats(
         {s.star_id: row[f"star{s.star_id}"] for s in stars},
         {s.star_id: row[f"bindings{s.star_id}"] or 0.0 for s in stars},
+        {s.star_id: row[f"widest{s.star_id}"] or 0.0 for s in stars},
         {pair: row[f"edges{i}"] or 0 for i, pair in enumerate(pairs)},
         {pair: row[f"sources{i}"] for i, pair in enumerate(pairs)},
     )

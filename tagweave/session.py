@@ -31,22 +31,22 @@ def create_session(app_name: str = "tagweave", master: str | None = None, **conf
 _fallbacks: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or else the one that the application has set for its checkpoints.
 
-    Where it is unset: the folder named first for this application as ``fallback``, or a
-    temporary one on a local master only, since executors of a cluster could not read it.
+    Where there is neither: a temporary one, on a local master only, since executors of a cluster could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     application = spark.sparkContext.applicationId
     if application not in _fallbacks:
-        if fallback is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            fallback = tempfile.mkdtemp(prefix="tagweave-")
-        _fallbacks[application] = fallback.rstrip("/")
+        given = spark.sparkContext.getCheckpointDir()
+        if given:
+            return given.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        _fallbacks[application] = tempfile.mkdtemp(prefix="tagweave-")
     return _fallbacks[application]
 
 
@@ -55,6 +55,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table, on whatever file system it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, fallback))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.operators.skew import SPLIT_ROWS, hot_keys, splits_table
+from tagweave.operators.skew import SPLIT_ROWS, few_or_stored, hot_keys
 
 # Id offset of each kind of entity.
 CUSTOMER, ORDER, PART, SUPPLIER, NATION, REGION = (
@@ -103,37 +103,55 @@ def event_graph(
     return vertices, next_event_edges(timed, split_at)
 
 
+#: Bits by which the position of an event is shortened from level to level: 16 ms, 4 minutes, 50 days.
+LEVELS = (14, 28, 42)
+
+
 def next_event_edges(events: DataFrame, split_at: int = SPLIT_ROWS) -> DataFrame:
     """(src, dst): each event (user_id, ts, id) and the same user's next one by (ts, id).
 
-    A user may hold a large part of all events. The events of such users are ordered in
-    two levels: inside each second, then over one row per second, which links a second's
-    last event to the first event of the user's next active second.
+    Events without a time come before all others, in the order of their ids. A user may hold a large part of all
+    events. The events of such users are ordered in levels: inside short ranges of time (of ids, where there is no
+    time), then over one row per range inside longer ranges, and so on; each step links the last event of a range with the first one
+    of the next. The result is the same for either way.
     """
-    spark = events.sparkSession
-    busy = {(user,): (2, 1) for user, _ in hot_keys(events, ["user_id"], split_at)}
+    events = events.select("user_id", "ts", "id")
+    busy = few_or_stored(hot_keys(events, ["user_id"], split_at).select(F.col("user_id").alias("busy_id")))
+    if busy is None:
+        return _next_in_order(events)
+    same = F.col("user_id").eqNullSafe(F.col("busy_id"))
+    return _next_in_order(events.join(busy, same, "left_anti")).union(
+        _next_in_levels(events.join(busy, same, "left_semi"))
+    )
+
+
+def _next_in_order(events: DataFrame) -> DataFrame:
     by_time = Window.partitionBy("user_id").orderBy("ts", "id")
-    if not busy:
-        edges = events.select(F.col("id").alias("src"), F.lead("id").over(by_time).alias("dst"))
-        return edges.where(F.col("dst").isNotNull())
+    edges = events.select(F.col("id").alias("src"), F.lead("id").over(by_time).alias("dst"))
+    return edges.where(F.col("dst").isNotNull())
+
 
-    # A second as an ordered value: of the instant, or of the wall clock without a zone.
+def _next_in_levels(events: DataFrame) -> DataFrame:
     if dict(events.dtypes)["ts"] == "timestamp":
-        second = F.unix_seconds("ts")
-    else:
-        second = F.struct(F.to_date("ts"), F.hour("ts"), F.minute("ts"), F.floor(F.second("ts")))
-    busy_table = F.broadcast(splits_table(spark, ["user_id"], busy))
-    timed = events.join(busy_table, "user_id", "left").select(
-        "user_id", "ts", "id", F.when(F.col("left_parts").isNotNull(), second).alias("second")
-    )
-    in_second = Window.partitionBy("user_id", "second").orderBy("ts", "id")
-    inside = timed.select(F.col("id").alias("src"), F.lead("id").over(in_second).alias("dst"))
-    at = F.struct("ts", "id")
-    seconds = (
-        timed.where(F.col("second").isNotNull())
-        .groupBy("user_id", "second")
-        .agg(F.min(at)["id"].alias("first"), F.max(at)["id"].alias("last"))
-    )
-    by_second = Window.partitionBy("user_id").orderBy("second")
-    between = seconds.select(F.col("last").alias("src"), F.lead("first").over(by_second).alias("dst"))
-    return inside.unionByName(between).where(F.col("dst").isNotNull())
+        micros = F.unix_micros("ts")
+    else:  # the wall clock, counted as if each day had 24 hours
+        days = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
+        seconds = F.expr("extract(SECOND FROM ts)").cast("decimal(20, 6)")
+        clock = (days * 24 + F.hour("ts")) * 60 + F.minute("ts")
+        micros = (clock * 60_000_000 + (seconds * 1_000_000).cast("long")).cast("long")
+    # Each row stands for a range of events of which it keeps the first and the last.
+    at = F.struct(F.col("ts").isNotNull().alias("timed"), F.coalesce(micros, F.col("id")).alias("place"), F.col("id"))
+    rows = events.select("user_id", at.alias("first"), at.alias("last"))
+    edges = []
+    for bits in (*LEVELS, None):
+        keys = ["user_id"]
+        if bits is not None:
+            rows = rows.withColumns({"timed": F.col("first.timed"), "range": F.shiftright("first.place", bits)})
+            keys += ["timed", "range"]
+        inside = Window.partitionBy(*keys).orderBy("first")
+        follow = F.lead("first.id").over(inside)
+        edges.append(rows.select(F.col("last.id").alias("src"), follow.alias("dst")))
+        if bits is not None:
+            rows = rows.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            rows = rows.select("user_id", "first", "last")
+    return reduce(DataFrame.union, edges).where(F.col("dst").isNotNull())

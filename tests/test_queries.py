@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+import tagweave as tw
 
 SF_DIR = "/root/testdata/sf0.001"
 COUNTS = {
@@ -46,7 +47,7 @@ def test_query_equals_sql(spark, tables, name):
 @pytest.mark.parametrize("name", COUNTS)
 def test_known_counts(spark, name):
     graph = registered._graph(spark, SF_DIR)
-    assert registered.match_count(graph, registered.PATTERNS[name]) == COUNTS[name]
+    assert tw.match_count(graph, registered.PATTERNS[name]) == COUNTS[name]
 
 
 def test_entry(spark):
@@ -60,3 +61,10 @@ def test_plans_have_no_unkeyed_join_and_read_few_columns(spark, name):
     plan = registered.match(graph, registered.PATTERNS[name])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_hub_queries_split_joins(spark):
+    graph = registered._graph(spark, SF_DIR, "hubs")
+    assert graph.hubs.table.count() > 100
+    plan = registered.queries()["match_hub_shared_part"](spark, SF_DIR)._jdf.queryExecution().toString()
+    assert "left_share" in plan and "right_share" in plan

@@ -2,7 +2,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tagweave.operators.skew import grid_product, hot_keys, parts_for, skew_join, splits_table
+from tagweave.operators import skew
+from tagweave.operators.skew import few_or_stored, grid_product, hot_keys, skew_join, splits_from
 
 
 @pytest.fixture(scope="module")
@@ -13,13 +14,46 @@ def sides(spark):
 
 
 def test_hot_keys(sides):
-    assert hot_keys(sides[0], ["k"], 2) == [(1, 30), (2, 3)]
-    assert parts_for(30, 4) == 8 and parts_for(0, 4) == 1
+    assert rows(hot_keys(sides[0], ["k"], 2)) == [(1, 30), (2, 3)]
+
+
+def shares(spark, left, right, split_at):
+    counts = spark.createDataFrame([(7, left, right)], "k long, l long, r long")
+    found = splits_from(counts, ["k"], "l", "r", split_at)
+    return None if found is None else tuple(found.first())[1:]
+
+
+def test_shares_follow_both_sides_and_the_result(spark):
+    assert shares(spark, 10, 10, 100) is None
+    assert shares(spark, 1000, 1, 100) == (10, 1)
+    assert shares(spark, 1, 1000, 100) == (1, 10)
+    left, right = shares(spark, 4000, 4000, 100)  # 16,000,000 result rows, 6,400 in a cell
+    assert left == right and 4000 / left * 4000 / right <= 6400 * 20
+    # Fewer rows than the limit on each side, but a large product: three children of 10,000 each.
+    left, right = shares(spark, 10_000 * 10_000, 10_000, 16_384)
+    assert left * right >= 100
+
+
+def test_more_keys_than_a_broadcast_takes(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    table = spark.range(10).selectExpr("id AS k")
+    kept = few_or_stored(table)
+    assert rows(kept) == [(i,) for i in range(10)] and "/keys-" in kept.inputFiles()[0]
+    left = spark.range(400).selectExpr("id % 20 AS k", "id AS a")
+    right = spark.range(100).selectExpr("id % 10 AS k", "-id AS b")
+    splits = splits_from(hot_keys(left, ["k"], 2), ["k"], "n", "10", 2)
+    assert splits.count() == 20
+    assert rows(skew_join(left, right, ["k"], splits)) == rows(left.join(right, "k"))
+
+
+def table_of(spark, parts):
+    rows = [(*key, *counts) for key, counts in parts.items()]
+    return F.broadcast(spark.createDataFrame(rows, "k long, left_parts long, right_parts long"))
 
 
 @pytest.mark.parametrize("parts", [{(1,): (4, 3)}, {(1,): (1, 7), (2,): (2, 1)}, {(9,): (5, 5)}])
 def test_split_join_equals_plain_join(spark, sides, parts):
-    splits = splits_table(spark, ["k"], parts)
+    splits = table_of(spark, parts)
     assert rows(skew_join(*sides, ["k"], splits)) == rows(sides[0].join(sides[1], "k"))
 
 
@@ -27,12 +61,12 @@ def test_split_join_equals_plain_join(spark, sides, parts):
 def test_split_outer_and_semi_join(spark, sides, how):
     left, right = sides
     once = right.select("k").distinct()
-    splits = splits_table(spark, ["k"], {(1,): (6, 1)})
+    splits = table_of(spark, {(1,): (6, 1)})
     assert rows(skew_join(left, once, ["k"], splits, how)) == rows(left.join(once, "k", how))
 
 
-def test_no_splits_table_without_hot_keys(spark):
-    assert splits_table(spark, ["k"], {(1,): (1, 1)}) is None
+def test_no_splits_without_hot_keys(spark):
+    assert splits_from(None, ["k"], "1", "1") is None
 
 
 @pytest.fixture
@@ -59,18 +93,22 @@ def largest_share(df) -> float:
 def test_split_spreads_a_hot_key(spark, plain_shuffles):
     left = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS a")
     right = spark.range(9000).selectExpr("id AS k", "-id AS b")
-    splits = splits_table(spark, ["k"], {(0,): (64, 1)})
+    splits = table_of(spark, {(0,): (64, 1)})
     assert largest_share(skew_join(left, right, ["k"])) > 0.33
     assert largest_share(skew_join(left, right, ["k"], splits)) < 0.25
     assert skew_join(left, right, ["k"], splits).count() == 9000
 
 
-def test_grid_cells_are_even(spark, plain_shuffles):
-    left = spark.range(300).selectExpr("id AS a")
+def test_grid_cells_are_even(spark, plain_shuffles, monkeypatch):
+    left = spark.range(3000).selectExpr("id AS a")
     right = spark.range(200).selectExpr("id AS b")
-    product = grid_product(left, right)
-    assert product.count() == 60_000
-    assert largest_share(product) < 0.6  # 4 cells on 8 partitions
+    for product in (grid_product(left, right), grid_product(right, left)):
+        assert product.count() == 600_000
+        assert largest_share(product) < 0.3  # 32 cells on 8 partitions
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    square = grid_product(left, right)
+    assert square.count() == 600_000
+    assert largest_share(square) < 0.3
 
 
 def test_grid_product(sides):

@@ -77,11 +77,14 @@ def test_wide_stars_come_in_blocks(make_graph):
         (0, 16, list(range(16, 20))),
         (1, 0, [2]),
     ]
+    # The same rule whatever the number of children.
+    assert [len(c) for _, _, c in found if len(c)] and stars.stars(graph.tagged).count() == 3
 
 
 def test_pattern_stats_in_one_row(graph):
     stats = pattern_stats(graph.tagged, PATTERN)
     assert stats.star_counts == {0: 2, 1: 1, 2: 1}
     assert stats.bindings == {0: 3.0, 1: 1.0, 2: 1.0}
+    assert stats.widest == {0: 2.0, 1: 1.0, 2: 1.0}
     assert stats.edges == {(1, 2): 3, (1, 3): 2, (2, 4): 1, (3, 2): 1}
     assert stats.sources == {(1, 2): 2, (1, 3): 2, (2, 4): 1, (3, 2): 1}
