@@ -95,19 +95,22 @@ def skew_join(
     keys: Sequence[str],
     splits: DataFrame | None = None,
     how: str = "inner",
+    distinct: bool = False,
 ) -> DataFrame:
     """Equi-join in which the keys of ``splits`` are spread over a grid of shares.
 
     ``splits`` has the key columns, ``left_parts`` and ``right_parts``. For left outer
-    and semi joins ``right_parts`` must be 1, otherwise left rows would be repeated.
+    and semi joins ``right_parts`` must be 1, otherwise left rows would be repeated. With ``distinct`` the left
+    rows are first made a set, in the exchange that the join needs anyway.
     """
-    if splits is None:
-        return left.join(right, list(keys), how)
-    dealt = _deal(left, keys, splits, "left", "right")
-    shares = ["left_share", "right_share"]
-    return dealt.join(
-        _deal(right, keys, splits, "right", "left"), [*keys, *shares], how
-    ).drop(*shares)
+    shares: list[str] = []
+    if splits is not None:
+        shares = ["left_share", "right_share"]
+        left = _deal(left, keys, splits, "left", "right")
+        right = _deal(right, keys, splits, "right", "left")
+    if distinct:
+        left = left.repartition(*[named(c) for c in (*keys, *shares)]).distinct()
+    return left.join(right, [*keys, *shares], how).drop(*shares)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -94,17 +94,20 @@ def attach_tags(
     hubs: DataFrame | None = None,
     split_at: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """``tag_edges`` for vertices that are known to be listed once."""
+    """``tag_edges`` for vertices that are known to be listed once.
+
+    The edges are shuffled once by source, where repeated ones are dropped and the source's tag is attached, and once by target.
+    """
     if on_dangling not in ("error", "drop"):
         raise ValueError("on_dangling must be 'error' or 'drop'")
     how = "left" if on_dangling == "error" else "inner"
-    tagged = distinct_edges(edges)
-    for end in ("dst", "src"):
+    tagged = edges.select("src", "dst")
+    for end in ("src", "dst"):
         tag = f"{end}_tag"
         lookup = unique.select(F.col("id").alias(end), F.col("tag").alias(tag))
         own = hubs and hubs.where(F.col("side") == end).select(F.col("id").alias(end), "n")
         splits = splits_from(own, [end], "n", "1", split_at)
-        tagged = skew_join(tagged, lookup, [end], splits, how)
+        tagged = skew_join(tagged, lookup, [end], splits, how, distinct=end == "src")
         if on_dangling == "error":
             tagged = tagged.where(
                 F.when(F.col(tag).isNotNull(), F.lit(True)).otherwise(

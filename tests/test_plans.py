@@ -51,3 +51,13 @@ def test_slices_read_ids_and_tags_only(graph):
     roots = plan(stars.star_roots(graph.tagged, registered.PATTERNS["p_star_mixed"].stars[0]))
     assert "dst#" not in roots.replace("dst_tag#", "")
     assert roots.count("Exchange") == 1
+
+
+def test_tagging_shuffles_edges_twice(spark, graph):
+    """By source, with the removal of repeated edges, and by target; the vertices once for each end."""
+    vertices, edges = registered.tw.graph_from_tables(spark, SF_DIR)
+    from tagweave.operators.tagging import attach_tags
+
+    text = plan(attach_tags(graph.vertices, edges))
+    assert text.count("Exchange hashpartitioning") == 4
+    assert text.count("Exchange") == 4
