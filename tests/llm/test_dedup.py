@@ -88,9 +88,10 @@ def in_process(docs, units, decide, later, buckets=5):
 
     known = round_of([repeats._ask_anchors(units, buckets)(p) for p in split], repeats._decide_anchors)
     plans = [repeats.plan_pack(p, k, units, buckets) for p, k in zip(split, known, strict=True)]
-    flags = round_of([plan.requests for plan in plans], decide)
+    decided = round_of([plan.requests for plan in plans], decide)
+    flags = [{b: repeats.Flags(*answer) for b, answer in own.items()} for own in decided]
     return {
-        doc_id: repeats.repeated_starts(plan, answer, doc_id, raw, later)
+        doc_id: repeats.repeated_ranges(plan, answer, doc_id, raw, later)
         for own, plan, answer in zip(split, plans, flags, strict=True)
         for doc_id, raw in own
     }
