@@ -28,10 +28,14 @@ _MARKS = np.frombuffer(b"!#$%&*+/<=>@^_`{}~\\", dtype=np.uint8)
 _ENDS = np.frombuffer(b".,;:?", dtype=np.uint8)
 
 
-def _logit(part: float, whole: float) -> float:
-    """Log odds of a share, with half a case added to either side."""
+#: Cases of the usual share that are added to each share, so that a text of few words looks usual rather than extreme.
+_PRIOR_CASES = 20
+
+
+def _logit(part: float, whole: float, usual: float) -> float:
+    """Log odds of a share, smoothed towards the usual share."""
     part = min(part, whole)
-    return float(np.log((part + 0.5) / (whole - part + 0.5)))
+    return float(np.log((part + _PRIOR_CASES * usual) / (whole - part + _PRIOR_CASES * (1 - usual))))
 
 
 def statistics(raw: bytes | None) -> list[float]:
@@ -44,17 +48,17 @@ def statistics(raw: bytes | None) -> list[float]:
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=n) if n else np.zeros(1, dtype=np.int64)
     return [
         float(np.log1p(n)),
-        float(np.log1p(sizes.mean())),
-        float(np.log1p(sizes.std())),
-        _logit(int(count[_UPPER].sum()), letters),
-        _logit(int(count[_DIGITS].sum()), len(raw)),
-        _logit(int(count[_MARKS].sum()), len(raw)),
-        _logit(int(count[124]), n),
-        _logit(int(count[_ENDS].sum()), n),
-        _logit(len(set(words)), n),
+        float(np.log1p((sizes.sum() + 5 * _PRIOR_CASES) / (n + _PRIOR_CASES))),
+        float(np.log1p(np.sqrt(((sizes - sizes.mean()) ** 2).sum() / (n + _PRIOR_CASES)))),
+        _logit(int(count[_UPPER].sum()), letters, 0.03),
+        _logit(int(count[_DIGITS].sum()), len(raw), 0.01),
+        _logit(int(count[_MARKS].sum()), len(raw), 0.01),
+        _logit(int(count[124]), n, 0.02),
+        _logit(int(count[_ENDS].sum()), n, 0.15),
+        _logit(len(set(words)), n, 0.75),
         float(np.log1p(n / max(1, len(lines)))),
-        _logit(len(lines) - len(set(lines)), len(lines)),
-        _logit(int(count[128:].sum()), len(raw)),
+        _logit(len(lines) - len(set(lines)), len(lines), 0.05),
+        _logit(int(count[128:].sum()), len(raw), 0.03),
     ]
 
 
