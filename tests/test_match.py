@@ -1,4 +1,5 @@
 import random
+from math import perm
 
 import pytest
 from brute import brute_force
@@ -177,3 +178,38 @@ def test_every_match_is_injective(make_graph):
 def test_non_injective_rows(spark):
     lines = spark.createDataFrame([("1,2,3",), ("1,2,1",), ("11,1",), ("5,5",)], "value string")
     assert rows(tw.non_injective_rows(lines)) == [("1,2,1",), ("5,5",)]
+
+
+def test_a_hub_on_both_sides_is_split_on_both(spark, make_graph):
+    """Vertex 0 has 60 in-edges of each of two tags: 3,600 pairs of one key."""
+    vertices = "0:3 " + " ".join(f"{i}:1 {100 + i}:2" for i in range(1, 61))
+    edges = " ".join(f"{i}>0 {100 + i}>0" for i in range(1, 61))
+    graph, pattern = make_graph(vertices, edges, 4), Pattern.parse("1:1 2:3 3:2", "1>2 3>2")
+    splits = graph.hubs.extend_splits((2, 3), False, "v2").first()
+    left, right = splits["left_parts"], splits["right_parts"]
+    assert left > 1 and right > 1
+    assert 60 / left * 60 / right <= 64 * 4  # result rows in a cell
+    of = lambda edge: joins.edge_slice(graph.tagged, pattern, edge, graph.hubs)
+    found = joins.attach_root(of((1, 2)).rows, pattern, of((3, 2)))
+    assert rows(found.select("v1", "v2", "v3")) == sorted((a, 0, 100 + b) for a in range(1, 61) for b in range(1, 61))
+
+
+def test_children_with_a_large_product_are_split(make_graph, monkeypatch):
+    """No vertex is a hub, but one root has 12 * 12 * 12 bindings."""
+    vertices = "0:1 " + " ".join(f"{i}:2 {100 + i}:3 {200 + i}:4" for i in range(1, 13))
+    edges = " ".join(f"0>{i} 0>{100 + i} 0>{200 + i}" for i in range(1, 13))
+    graph, pattern = make_graph(vertices, edges), Pattern.parse("1:1 2:2 3:3 4:4", "1>2 1>3 1>4")
+    assert not graph.hubs
+    monkeypatch.setattr(joins, "SPLIT_ROWS", 16)
+    of = lambda edge: joins.EdgeSlice(
+        edge, joins.query_slice(graph.tagged, pattern, edge), widest=1728.0
+    )
+    matches = joins.first_star(pattern, pattern.stars[0], of)
+    assert "left_share" in matches._jdf.queryExecution().toString()
+    assert matches.count() == 1728 == matches.distinct().count()
+
+
+def test_counts_beyond_64_bits(make_graph):
+    graph = make_graph("0:1 " + " ".join(f"{i}:2" for i in range(1, 5001)), " ".join(f"0>{i}" for i in range(1, 5001)))
+    pattern = Pattern.parse("1:1 " + " ".join(f"{i}:2" for i in range(2, 8)), " ".join(f"1>{i}" for i in range(2, 8)))
+    assert match_count(graph, pattern) == perm(5000, 6) > 2**63
