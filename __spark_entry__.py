@@ -331,7 +331,7 @@ def queries() -> dict[str, Query]:
 
 
 _GRAPH = """
-with gv as (
+with gv as materialized (
   select cast(100000000 + c_custkey as bigint) id,
          cast(10 + array_position(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'], c_mktsegment) as int) tag from customer
   union all select cast(200000000 + o_orderkey as bigint), cast(20 + cast(substr(o_orderpriority,1,1) as int) as int) from orders
@@ -339,7 +339,7 @@ with gv as (
   union all select cast(400000000 + s_suppkey as bigint), cast(40 as int) from supplier
   union all select cast(500000000 + n_nationkey as bigint), cast(50 as int) from nation
   union all select cast(600000000 + r_regionkey as bigint), cast(60 as int) from region
-), ge as (
+), ge as materialized (
   select cast(100000000 + o_custkey as bigint) src, cast(200000000 + o_orderkey as bigint) dst from orders
   union select 200000000 + l_orderkey, 300000000 + l_partkey from lineitem
   union select 200000000 + l_orderkey, 400000000 + l_suppkey from lineitem
@@ -347,7 +347,7 @@ with gv as (
   union select 400000000 + s_suppkey, 500000000 + s_nationkey from supplier
   union select 100000000 + c_custkey, 500000000 + c_nationkey from customer
   union select 500000000 + n_nationkey, 600000000 + n_regionkey from nation
-), t as (
+), t as materialized (
   select src, dst, a.tag src_tag, b.tag dst_tag
   from ge join gv a on a.id = src join gv b on b.id = dst
 )
