@@ -179,9 +179,12 @@ _RUNS = """
 _OP7 = (
     """
 with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h from documents
+), part as (
+  select doc_id, b, substr(h, 2000 * b + 1, 2198) p
+  from (select doc_id, h, unnest(range(0, (len(h) // 2 + 999) // 1000)) b from d)
 ), win as (
-  select doc_id, s, hash(substr(h, 2 * s + 1, 200)) w
-  from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) s from d where len(h) >= 200)
+  select doc_id, 1000 * b + s s, hash(substr(p, 2 * s + 1, 200)) w
+  from (select doc_id, b, p, unnest(range(0, least(1000, len(p) // 2 - 99))) s from part where len(p) >= 200)
 ), again as materialized (
   select doc_id, s from (select doc_id, s, row_number() over (partition by w order by doc_id, s) k from win) where k > 1
 )"""
