@@ -100,7 +100,7 @@ def hub_rows(tagged: DataFrame, endpoints: DataFrame | None, split_at: int = SPL
     spark: SparkSession = tagged.sparkSession
     result = spark.createDataFrame([], HUB_SCHEMA)
     if endpoints is None:
-        return result
+        return result.coalesce(1)
     for side in ("src", "dst"):
         ids = endpoints.where(F.col("side") == side).select(F.col("id").alias(side))
         at_hub = tagged.join(ids, side, "left_semi")
