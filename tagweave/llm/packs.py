@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from tagweave.llm.common import ddl, record_batch
 
 #: Bytes of text in a pack; a longer text is a pack of its own.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 
 Document = tuple[int | None, bytes | None]
 #: From the documents of a pack: a payload for each bucket.
