@@ -112,11 +112,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < 16:
         raise ValueError("length must be at least 16")
 
-    def finish(raw: bytes | None, starts: np.ndarray) -> tuple:
+    def finish(raw: bytes | None, ranges: np.ndarray) -> tuple:
         raw = raw or b""
-        if not len(starts):
+        if not len(ranges):
             return len(raw), [], raw
-        gone = covered(starts, length, len(raw))
+        gone = covered(ranges, length, len(raw))
         edges = np.nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))[0]
         return len(raw), edges.tolist(), np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
 

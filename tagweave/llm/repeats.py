@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -162,12 +163,12 @@ class PackPlan:
     requests: dict[int, Strings]
     #: For each text (by id and tie): first window, windows, bucket, entry, entry's kind, and whether the place is the asked one.
     runs: dict[tuple[int, int], list[tuple[int, int, int, int, bool, bool]]]
-    _ends: dict[int, np.ndarray] = field(default_factory=dict)
+    _ends: dict[int, list[int]] = field(default_factory=dict)
 
-    def ends(self, bucket: int) -> np.ndarray:
+    def ends(self, bucket: int) -> list[int]:
         """Where the flags of each string of a bucket end."""
         if bucket not in self._ends:
-            self._ends[bucket] = np.cumsum(self.requests[bucket].n)
+            self._ends[bucket] = list(accumulate(self.requests[bucket].n))
         return self._ends[bucket]
 
 
@@ -224,20 +225,34 @@ def plan_pack(docs: list[pk.Document], known: dict[int, tuple[np.ndarray, np.nda
     return plan
 
 
-def repeated_starts(plan: PackPlan, flags: dict, doc_id: int | None, raw: bytes | None, later: bool) -> np.ndarray:
-    """Windows of a document that are repeated, from the flags of all buckets; ``later`` as in ``find_repeats``."""
+def repeated_ranges(plan: PackPlan, flags: dict[int, Flags], doc_id: int | None, raw: bytes | None, later: bool) -> np.ndarray:
+    """Ranges ``[first, end)`` of repeated windows of a document, from the flags of all buckets; ``later`` as in ``find_repeats``."""
     key = (_FIRST_ID if doc_id is None else doc_id, _text_tie(raw or b""))
-    starts = [np.zeros(0, dtype=np.int64)]
+    ranges: list[tuple[int, int]] = []
     for start, n, bucket, entry, single, asked_here in plan.runs.get(key, ()):
         if later and not asked_here:
-            starts.append(np.arange(start, start + n))
+            ranges.append((start, start + n))
         elif single:
-            if flags[bucket][1][entry]:
-                starts.append(np.array([start]))
+            if flags[bucket].keys[entry]:
+                ranges.append((start, start + 1))
         else:
             end = plan.ends(bucket)[entry]
-            starts.append(start + np.nonzero(flags[bucket][0][end - n : end])[0])
-    return np.concatenate(starts)
+            repeated = flags[bucket].before[end] - flags[bucket].before[end - n]
+            if repeated == n:
+                ranges.append((start, start + n))
+            elif repeated:
+                own = np.nonzero(flags[bucket].windows[end - n : end])[0] + start
+                ranges += zip(own.tolist(), (own + 1).tolist(), strict=True)
+    return np.array(ranges, dtype=np.int64).reshape(-1, 2)
+
+
+class Flags:
+    """A bucket's answer: flags of windows, how many are set before each place, and flags of keys."""
+
+    def __init__(self, windows: np.ndarray, keys: np.ndarray):
+        self.windows = windows
+        self.before = [0, *np.cumsum(windows, dtype=np.int64).tolist()]
+        self.keys = keys.tolist()
 
 
 #: For the payloads of a bucket: for each, the flags of all windows of its strings, one after another, and of its keys.
@@ -247,7 +262,7 @@ Decide = Callable[[list[Strings]], list[tuple[np.ndarray, np.ndarray]]]
 def find_repeats(
     docs: DataFrame, units: Units, decide: Decide, finish: Callable, fields: dict[str, str], later: bool
 ) -> DataFrame:
-    """``finish(raw, starts)`` for each document, where ``starts`` are the windows found to be repeated.
+    """``finish(raw, ranges)`` for each document, where ``ranges`` are those of its repeated windows.
 
     ``later`` says that a window in a further place of its pack is repeated whatever the answer is.
     """
@@ -269,14 +284,13 @@ def find_repeats(
     def run(group: pa.Table, known: pa.Table) -> pa.Table:
         read = pk.read_answers(known)
         first = {bucket: reply for bucket, reply in read.items() if bucket >= 0}
-        flags = {-1 - bucket: (np.unpackbits(a), np.unpackbits(b)) for bucket, (a, b) in read.items() if bucket < 0}
+        flags = {-1 - bucket: Flags(np.unpackbits(a), np.unpackbits(b)) for bucket, (a, b) in read.items() if bucket < 0}
         made = [record_batch(out, [[] for _ in out])]
         for own in pk.unpacked(group):
             plan = plan_pack(own, first, units, buckets)
             rows = []
             for doc_id, raw in own:
-                starts = repeated_starts(plan, flags, doc_id, raw, later)
-                rows.append(finish(raw, starts))
+                rows.append(finish(raw, repeated_ranges(plan, flags, doc_id, raw, later)))
             if rows:
                 columns = (list(column) for column in zip(*rows, strict=True))
                 made.append(record_batch(out, [[doc_id for doc_id, _ in own], *columns]))
@@ -286,9 +300,9 @@ def find_repeats(
     return packed.groupBy("pack").cogroup(both.groupBy("pack")).applyInArrow(run, ddl(out))
 
 
-def covered(starts: np.ndarray, window: int, size: int) -> np.ndarray:
-    """Which of ``size`` units lie in a window that begins at one of ``starts``."""
-    change = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
+def covered(ranges: np.ndarray, window: int, size: int) -> np.ndarray:
+    """Which of ``size`` units lie in a window of one of the ranges."""
+    change = np.zeros(size + 1, dtype=np.int32)
+    np.add.at(change, ranges[:, 0], 1)
+    np.add.at(change, ranges[:, 1] - 1 + window, -1)
     return np.cumsum(change[:size]) > 0

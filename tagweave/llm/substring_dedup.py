@@ -93,11 +93,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     null ids are kept. Windows are judged on the input.
     """
 
-    def finish(raw: bytes | None, starts: np.ndarray) -> tuple:
+    def finish(raw: bytes | None, ranges: np.ndarray) -> tuple:
         words = (raw or b"").split()
-        if not len(starts):
+        if not len(ranges):
             return len(words), [], b" ".join(words).decode()
-        gone = covered(starts, window, len(words))
+        gone = covered(ranges, window, len(words))
         edges = np.nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))[0]
         kept = [words[i] for i in np.nonzero(~gone)[0].tolist()]
         return len(words), edges.tolist(), b" ".join(kept).decode()
