@@ -100,10 +100,10 @@ def extend(
     return docs.mapInArrow(run, f"{given}, {ddl(fields)}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back: the lineage ends there."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: the lineage ends there. ``options`` are the writer's."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,8 @@ from tagweave.llm.common import ddl, record_batch
 
 #: Bytes of text in a pack; a longer text is a pack of its own.
 PACK_BYTES = 4 << 20
+#: How packs are stored: a few in a row group, since a reader holds a row group's packs at once.
+STORE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 
 Document = tuple[int | None, bytes | None]
 #: From the documents of a pack: a payload for each bucket.
@@ -105,6 +107,18 @@ def requests(source: DataFrame, ask: Ask) -> DataFrame:
     return source.mapInArrow(run, ddl(_REQUEST))
 
 
+def packed_requests(packed_docs: DataFrame, ask: Ask) -> DataFrame:
+    """What packs ask that are already cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, docs in zip(batch.column("pack"), unpacked(pa.Table.from_batches([batch])), strict=True):
+                if payloads := ask(docs):
+                    yield _request_rows(name.as_py(), payloads)
+
+    return packed_docs.mapInArrow(run, ddl(_REQUEST))
+
+
 def later_requests(packed_docs: DataFrame, answers: DataFrame, ask: Callable) -> DataFrame:
     """What packs ask once they know earlier answers: ``ask(docs, {bucket: answer})``."""
 

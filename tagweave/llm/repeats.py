@@ -175,6 +175,8 @@ class PackPlan:
 def plan_pack(docs: list[pk.Document], known: dict[int, tuple[np.ndarray, np.ndarray]], units: Units, buckets: int) -> PackPlan:
     plan = PackPlan({}, {})
     if not known:
+        if _ask_anchors(units, buckets)(docs):
+            raise RuntimeError("a pack has asked about its anchors and found no answers")
         return plan
     repeated = np.concatenate([anchors for anchors, _ in known.values()])
     hot = np.concatenate([flags for _, flags in known.values()])
@@ -266,11 +268,11 @@ def find_repeats(
 
     ``later`` says that a window in a further place of its pack is repeated whatever the answer is.
     """
-    source = id_and_text(docs)
     buckets = 4 * shuffle_partitions(docs)
-    asked = pk.requests(source, _ask_anchors(units, buckets))
+    # Cut once: a second reading of the source may begin its packs elsewhere, where executors have come or gone.
+    packed = stored(pk.packed(id_and_text(docs)), "packs", **pk.STORE)
+    asked = pk.packed_requests(packed, _ask_anchors(units, buckets))
     anchors = stored(pk.answers(asked, _decide_anchors), "anchors")
-    packed = pk.packed(source)
     second = pk.later_requests(packed, anchors, lambda own, known: plan_pack(own, known, units, buckets).requests)
 
     def answer(payloads: list[Strings]) -> list[tuple[np.ndarray, np.ndarray]]:

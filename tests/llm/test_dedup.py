@@ -112,6 +112,37 @@ def test_spark_form_of_words(spark, make_docs, corpus):
     assert {r["doc_id"]: r["kept"].encode() for r in rows} == expected
 
 
+@pytest.mark.parametrize("remove", [byte_dedup.remove_repeated_bytes, substring_dedup.remove_repeated_passages])
+def test_splits_that_change_between_two_actions(spark, make_docs, corpus, tmp_path, monkeypatch, remove):
+    def files(n):
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+
+    def stored_then_split(*args, stored=repeats.stored, **options):
+        out = stored(*args, **options)
+        files(1000)
+        return out
+
+    make_docs(corpus).repartition(6).write.parquet(f"{tmp_path}/docs")
+    expected = {r["doc_id"]: r["kept"] for r in remove(make_docs(corpus)).collect()}
+    monkeypatch.setattr(repeats, "stored", stored_then_split)
+    try:
+        files(1)
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        assert docs.rdd.getNumPartitions() == 1
+        assert {r["doc_id"]: r["kept"] for r in remove(docs).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_missing_answers_are_an_error():
+    units = byte_dedup.byte_units(100)
+    assert repeats.plan_pack([(1, b"short"), (2, None)], {}, units, 5).requests == {}
+    with pytest.raises(RuntimeError):
+        repeats.plan_pack([(1, b"long enough " * 20)], {}, units, 5)
+
+
 @pytest.mark.parametrize("remove", [byte_dedup.remove_repeated_bytes, substring_dedup.remove_repeated_passages])
 def test_odd_rows(odd_docs, remove):
     rows = remove(odd_docs).collect()
