@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
 from itertools import accumulate, islice
 
@@ -15,6 +16,8 @@ from tagweave.llm.common import map_texts
 LIMIT = 2048
 #: Entries a task keeps of counts by word and of checked token pairs; full tables start anew.
 CACHE_ENTRIES = 300_000
+#: Longer pieces and words are in none of these tables, so entries are small; their prefixes are kept by position while they are counted.
+SHARED = 64
 
 _CHUNK = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -99,7 +102,29 @@ class PrefixCounter:
                         break
         return self.prefixes[stem]
 
+    def _fill(self, stem: str) -> tuple[array, array]:
+        """Length of the last token, and number of tokens, of each prefix that does not end its word, by position."""
+        last, count = array("i", [0]), array("q", [0])
+        for end in range(1, len(stem) + 1):
+            for j in range(max(0, end - self.longest), end):
+                if stem[j:end] in self.plain and self._stay_apart(stem[j - last[j] : j], stem[j:end]):
+                    last.append(end - j)
+                    count.append(count[j] + 1)
+                    break
+            else:
+                raise ValueError("a symbol is not in the vocabulary")
+        return last, count
+
+    def _close(self, piece: str, end: int, last: array, count: array) -> int:
+        """Tokens of the first ``end`` symbols as a whole word, from the entries of ``_fill``."""
+        for j in range(max(0, end - self.longest), end):
+            if piece[j:end] in self.ended and self._stay_apart(piece[j - last[j] : j], piece[j:end] + self.suffix):
+                return count[j] + 1
+        raise ValueError("a symbol is not in the vocabulary")
+
     def _count_piece(self, piece: str) -> int:
+        if len(piece) > SHARED:
+            return self._close(piece, len(piece), *self._fill(piece[:-1]))
         known = self.pieces.get(piece)
         if known is None:
             if len(self.prefixes) >= CACHE_ENTRIES:
@@ -119,7 +144,8 @@ class PrefixCounter:
 
     def piece_counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of a piece, as if the prefix were the whole word."""
-        return [self._count_piece(piece[:k]) for k in range(1, len(piece) + 1)]
+        entries = self._fill(piece[:-1])
+        return [self._close(piece, k, *entries) for k in range(1, len(piece) + 1)]
 
     def _count_word(self, word: bytes) -> int:
         text = word.decode()
@@ -147,12 +173,11 @@ class PrefixCounter:
         except KeyError:
             fresh = {word: self._count_word(word) for word in set(words).difference(known)}
             if len(known) + len(fresh) > CACHE_ENTRIES:
-                own = {word: fresh[word] if word in fresh else known[word] for word in set(words)}
+                fresh = {word: fresh[word] if word in fresh else known[word] for word in set(words)}
                 known.clear()
-                known.update(islice(own.items(), CACHE_ENTRIES))
-                return list(map(own.__getitem__, words))
-            known.update(fresh)
-            return list(map(known.__getitem__, words))
+            short = (entry for entry in fresh.items() if len(entry[0]) <= SHARED)
+            known.update(islice(short, CACHE_ENTRIES))
+            return [fresh[word] if word in fresh else known[word] for word in words]
 
     def measure(self, raw: bytes | None, limit: int) -> tuple[int, int, int]:
         """Bytes, tokens, and bytes of the longest prefix that ends with a word and has at most ``limit`` tokens."""
@@ -184,7 +209,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     white space. Counts are those of the library for the whole text, without added special
     tokens. ``fit_bytes`` is the length of the longest prefix that ends with a word and has at most ``limit``
     tokens, the whole text if that fits. Null and empty texts have 0 of all;
-    repeated rows and null ids are kept; a very long word costs time in proportion to its length.
+    repeated rows and null ids are kept; a very long word costs time and memory in proportion to its length.
     """
 
     def prepare():

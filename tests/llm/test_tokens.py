@@ -1,6 +1,7 @@
 """Token counts, encoding and decoding against the tokenizers library."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -42,6 +43,28 @@ def test_full_tables_start_anew(monkeypatch):
         assert own.measure(text.encode(), 10)[1] == len(ids(text))
 
 
+@pytest.mark.parametrize("unit", ["a", "!", "漢", "thequickbrownfox"])
+def test_a_very_long_piece_takes_memory_in_proportion(unit):
+    own = token_counts.PrefixCounter(PATH)
+    for n in (60, 70, 1500):
+        text = (unit * n)[:n]
+        assert own.measure(text.encode(), 10)[1] == len(ids(text))
+    own = token_counts.PrefixCounter(PATH)
+    tracemalloc.start()
+    text = (unit * 30_000)[:30_000]
+    assert own.measure(text.encode(), 10)[1] == len(ids(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert sum(map(len, own.prefixes)) + sum(map(len, own.words)) < 100_000
+
+
+@pytest.mark.parametrize("unit", ["a", "!"])
+def test_a_million_characters(unit):
+    text = unit * 1_000_000
+    assert token_counts.PrefixCounter(PATH).measure(text.encode(), 10)[:2] == (len(text), len(ids(text)))
+
+
 def test_longest_fitting_prefix():
     own = token_counts.PrefixCounter(PATH)
     text = "one two  three\nfour five"
