@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,11 @@ IDENTIFIERS = (
 
 #: What makes a place sensitive, how far before a candidate it may stand, and what a candidate is.
 SENSITIVE = re.compile(r"secret|token|passw|pwd|credential|auth|bearer|private|api_?key|access_?key|signature", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate ends after ``=``: what stands before is its padding, or the name of what follows.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+=*|=+")
+LEAST = 16
+#: A candidate that holds a sensitive word, has no digit and stands before one of these is the name of what follows.
+NAMES = re.compile(r"""["']?\x20*[:=]""")
 REACH = 40
 #: Characters before and after a candidate that the compressor knows, and the marginal bits a character from which a candidate is novel.
 SURROUNDING = 256
@@ -80,8 +85,19 @@ def marginal_bits(candidate: str, surrounding: str) -> float:
     return 8 * (len(squeeze.compress(candidate.encode())) - frame) / len(candidate)
 
 
+def _left(start: int, end: int, taken: list[tuple[int, int]], first: int) -> Iterator[tuple[int, int]]:
+    """What the spans of ``taken``, sorted, from the one at ``first`` on leave of a candidate, where it is long enough."""
+    while first < len(taken) and taken[first][0] < end:
+        if taken[first][0] - start >= LEAST:
+            yield start, taken[first][0]
+        start = max(start, taken[first][1])
+        first += 1
+    if end - start >= LEAST:
+        yield start, end
+
+
 def novel_spans(raw: bytes, known: list[Span], min_bits: float = MIN_BITS) -> list[Span]:
-    """Candidates in sensitive places that do not compress and lie in no span of ``known``."""
+    """Candidates in sensitive places, or what spans of ``known`` leave of them, that do not compress."""
     folded = raw.lower()
     if not any(gate in folded for gate in _SENSITIVE_GATES):
         return []
@@ -93,19 +109,22 @@ def novel_spans(raw: bytes, known: list[Span], min_bits: float = MIN_BITS) -> li
     taken = sorted((start, end) for _, start, end in known)
     s = t = 0
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        while s + 1 < len(sensitive) and sensitive[s + 1] <= start:
-            s += 1
-        if not start - REACH <= sensitive[s] <= start:
+        if m.end() - m.start() < LEAST:
             continue
-        while t < len(taken) and taken[t][1] <= start:
+        while t < len(taken) and taken[t][1] <= m.start():
             t += 1
-        if t < len(taken) and taken[t][0] < end or not (re.search(r"\d", m[0]) and re.search(r"[A-Za-z]", m[0])):
-            continue
-        around = text[max(0, start - SURROUNDING) : start] + " " + text[end : end + SURROUNDING]
-        pieces = (m[0][i : i + PIECE] for i in range(0, len(m[0]), PIECE))
-        if any(len(piece) >= 16 and marginal_bits(piece, around) >= min_bits for piece in pieces):
-            found.append(("novel", start, end))
+        for start, end in _left(*m.span(), taken, t):
+            while s + 1 < len(sensitive) and sensitive[s + 1] <= start:
+                s += 1
+            if not start - REACH <= sensitive[s] <= start:
+                continue
+            own = text[start:end]
+            if (own[-1] == "=" or NAMES.match(text, end)) and SENSITIVE.search(own) and not re.search(r"\d", own):
+                continue
+            around = text[max(0, start - SURROUNDING) : start] + " " + text[end : end + SURROUNDING]
+            pieces = (own[i : i + PIECE] for i in range(0, len(own), PIECE))
+            if any(len(piece) >= LEAST and marginal_bits(piece, around) >= min_bits for piece in pieces):
+                found.append(("novel", start, end))
     return found
 
 
