@@ -27,7 +27,10 @@ def tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        own = Tokenizer.from_file(path)
+        if own.decoder is not None:
+            raise ValueError(f"{path} has a decoder, which joining pieces by a space does not apply")
+        _tokenizers[path] = own
         _tokenizers[path].no_truncation()
         _tokenizers[path].no_padding()
     return _tokenizers[path]
@@ -112,7 +115,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of each document.
 
     ``ids`` are decimal ids joined by one space, ``decoded`` is the text the library decodes from them with
-    special tokens kept (for a file without a decoder: the pieces, joined by a space). ``path`` names a vocabulary file of the
+    special tokens kept: the pieces, joined by a space. A file with a decoder is refused. ``path`` names a vocabulary file of the
     tokenizers library, on every executor, whose pre-tokenizer drops white space; special strings in a text
     are handled as the library does.
 

@@ -105,3 +105,14 @@ def test_planes():
     values = np.array([0, 1, 255, 256, 70_000, 2**32 - 1])
     assert word_table.from_planes(word_table.planes(values)).tolist() == values.tolist()
     assert word_table.from_planes(word_table.planes(values[:0])).tolist() == []
+
+
+def test_a_file_with_a_decoder_is_refused(tmp_path):
+    from tokenizers import decoders
+
+    other = Tokenizer.from_file(PATH)
+    other.decoder = decoders.ByteLevel()
+    other.save(f"{tmp_path}/other.json")
+    with pytest.raises(ValueError):
+        word_table.tokenizer(f"{tmp_path}/other.json")
+    assert word_table.tokenizer(PATH).decoder is None
