@@ -24,6 +24,7 @@ ARROW = {
     "array<int>": pa.list_(pa.int32()),
     "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 
 

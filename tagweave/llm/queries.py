@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,17 +13,21 @@ from tagweave.llm import (
     byte_dedup,
     cover_tree,
     decontamination,
+    fill_in_middle,
     language_id,
+    merkle,
     quality,
     secret_scan,
     simhash,
     substring_dedup,
     token_counts,
+    wavelet,
     word_table,
 )
 from tagweave.llm.common import importable
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +108,47 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document, by a checksum of its id, is presented with another text than the one in the manifest."""
+    docs = _table(spark, sf_dir, "documents")
+    text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    others = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaf = merkle.row_digest([*others, F.col("text")])
+    rows = docs.select(
+        "doc_id", "source", leaf.alias("leaf"), F.when(tampered, merkle.row_digest([*others, text])).otherwise(leaf).alias("presented")
+    )
+    proofs = merkle.manifest(rows, "source", "doc_id", "leaf", carry=["presented"])
+    proofs = proofs.withColumn("folded_root", merkle.folded("presented"))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest().alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return wavelet.checksums(wavelet.token_files(docs, public_tokenizers.path(BYTE_VOCABULARY)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return examples.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -115,6 +161,9 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
+        "op11_merkle": op11_merkle,
+        "op12_wavelet": op12_wavelet,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": pipeline,
     }
 
@@ -224,10 +273,110 @@ from d left join piece using (doc_id)
 )
 
 
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256({' || '.join(_FIELD.format(field) for field in fields)})"
+
+
+def _tree_sql(name: str, base: str, starts: str) -> str:
+    """All nodes over ``base`` (tree, place, digest, n), and the digests that the ``starts`` (r, tree, place, digest) lead to level by level."""
+    return f"""
+, {name} as materialized (
+  with recursive up(tree, level, place, digest, n) as (
+    select tree, 0, place, digest, n from {base}
+    union all
+    select tree, level + 1, place // 16, sha256(string_agg(digest, '' order by place)), count(*) over (partition by tree)
+    from up where n > 1 group by tree, level, place // 16
+  ) select * from up
+), {name}_fold as materialized (
+  with recursive fold(r, tree, level, place, digest) as (
+    select r, tree, 0, place, digest from {starts}
+    union all
+    select f.r, f.tree, f.level + 1, f.place // 16,
+           sha256(string_agg(case when u.place = f.place then f.digest else u.digest end, '' order by u.place))
+    from fold f join {name} u on u.tree = f.tree and u.level = f.level and u.place // 16 = f.place // 16 and u.n > 1
+    group by f.r, f.tree, f.level, f.place
+  ) select * from fold
+), {name}_end as materialized (
+  select r, arg_max(digest, level) digest from {name}_fold group by r
+), {name}_proof as materialized (
+  select f.r, string_agg(u.digest, '' order by u.level, u.place) siblings
+  from {name}_fold f join {name} u on u.tree = f.tree and u.level = f.level and u.place // 16 = f.place // 16 and u.place <> f.place
+  group by f.r
+)"""
+
+
+#: The checksum of the decimal id, bit by bit: each digit is followed by seven empty steps.
+_STEP = "xor(xor(crc, x) >> 1, 3988292384::ubigint * (xor(crc, x) & 1))"
+_CRC32 = f"""xor(4294967295::ubigint, list_reduce(
+    flatten(list_transform(split(doc_id::varchar, ''), lambda c: [ascii(c)::ubigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda crc, x: {_STEP}, 4294967295::ubigint))"""
+
+_OP11 = (
+    f"""
+with doc as materialized (
+  select row_number() over () r, doc_id, dense_rank() over (order by source nulls first) tree, {_leaf_sql('text')} leaf,
+         case when {_CRC32} % 5 = 0 then {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end other
+  from documents
+), placed as materialized (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 place, count(*) over (partition by tree) n,
+         coalesce(other, leaf) presented from doc
+)"""
+    + _tree_sql(
+        "low",
+        "(select tree, place, leaf digest, n from placed)",
+        "(select r, tree, place, presented digest from placed)",
+    )
+    + """
+, sub as materialized (select tree, digest, count(*) over () n from low where n = 1
+)"""
+    + _tree_sql(
+        "high",
+        "(select 0 tree, tree - 1 place, digest, n from sub)",
+        "(select r, 0 tree, tree - 1 place, low_end.digest from placed join low_end using (r))",
+    )
+    + """
+select doc_id, leaf, sub.digest subroot, root.digest root,
+       sha256(coalesce(a.siblings, '') || coalesce(b.siblings, '')) proof_sha256, high_end.digest folded_root,
+       high_end.digest = root.digest verified
+from placed join sub using (tree) join high_end using (r) left join low_proof a using (r) left join high_proof b using (r),
+     (select digest from high where n = 1) root
+"""
+)
+
+_OP13 = """
+with d as (
+  select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(doc_id::varchar, '')) s from documents
+), h as (
+  select doc_id, t, n, ('0x' || s[1:8])::bigint % (n + 1) h1, ('0x' || s[9:16])::bigint % (n + 1) h2,
+         ('0x' || s[17:24])::bigint % 100 h3, ('0x' || s[25:32])::bigint % 100 h4
+  from d
+), f as (
+  select doc_id, t, n, least(h1, h2) a, greatest(h1, h2) b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain'
+              when h4 < 20 then 'spm' else 'psm' end form
+  from h
+), p as (
+  select doc_id, t, n, form, a, b - a m, substring(t, 1, a) pre, substring(t, a + 1, b - a) mid, substring(t, b + 1) suf from f
+)
+select doc_id, n::bigint n, form, case when form <> 'plain' then a end::bigint prefix_chars,
+       case when form <> 'plain' then m end::bigint middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+       sha256(case form when 'plain' then t else pre || mid || suf end) restored_sha256
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": _OP1,
         "op2_cover_tree": _OP2,
         "op7_byte_dedup": _OP7,
         "op8_substring_dedup": _OP8,
+        "op11_merkle": _OP11,
+        "op13_fill_in_middle": _OP13,
     }

@@ -22,6 +22,9 @@ COLUMNS = {
     "op8": "doc_id n_words n_removed kept_sha256",
     "op9": "doc_id fingerprint component_id",
     "op10": "doc_id held_out lang_pred score",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "doc_id start n_tokens ids_crc32",
+    "op13": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
