@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Callable
 
@@ -362,35 +363,34 @@ with ev as (
 )
 """
 
-# The matches of each pattern, written out as joins of edges.
+# The matches of each pattern, written out as joins of edges. ``e<a>_<b>`` are the edges from tag a to tag b, see ``_over_graph``.
 _MATCHES = {
-    "p_edge": "select src v1, dst v2 from t where src_tag = 12 and dst_tag = 21",
-    "p_star_same_tag": """select a.src v1, a.dst v2, b.dst v3 from t a join t b on b.src = a.src and b.dst <> a.dst
-        where a.src_tag = 21 and a.dst_tag = 111 and b.dst_tag = 111""",
+    "p_edge": "select src v1, dst v2 from e12_21",
+    "p_star_same_tag": "select a.src v1, a.dst v2, b.dst v3 from e21_111 a join e21_111 b on b.src = a.src and b.dst <> a.dst",
     "p_star_mixed": """select a.src v1, a.dst v2, b.dst v3, c.dst v4
-        from t a join t b on b.src = a.src join t c on c.src = a.src
-        where a.src_tag = 21 and a.dst_tag = 111 and b.dst_tag = 112 and c.dst_tag = 40""",
+        from e21_111 a join e21_112 b on b.src = a.src join e21_40 c on c.src = a.src""",
     "p_triangle": """select a.src v1, a.dst v2, b.dst v3
-        from t a join t b on b.src = a.dst join t c on c.src = a.src and c.dst = b.dst
-        where a.src_tag = 21 and a.dst_tag = 111 and b.dst_tag = 40""",
+        from e21_111 a join e111_40 b on b.src = a.dst join e21_40 c on c.src = a.src and c.dst = b.dst""",
     "p_cycle_local_supplier": """select a.src v1, a.dst v2, b.dst v3, c.dst v4
-        from t a join t b on b.src = a.dst join t c on c.src = b.dst join t d on d.src = a.src and d.dst = c.dst
-        where a.src_tag = 12 and a.dst_tag = 21 and b.dst_tag = 40 and c.dst_tag = 50""",
+        from e12_21 a join e21_40 b on b.src = a.dst join e40_50 c on c.src = b.dst
+             join e12_50 d on d.src = a.src and d.dst = c.dst""",
     "p_path4": """select a.dst v1, a.src v2, b.src v3, c.dst v4, d.dst v5
-        from t a join t b on b.dst = a.src join t c on c.src = b.src join t d on d.src = c.dst
-        where a.dst_tag = 60 and a.src_tag = 50 and b.src_tag = 12 and c.dst_tag = 21 and d.dst_tag = 111""",
+        from e50_60 a join e12_50 b on b.dst = a.src join e12_21 c on c.src = b.src join e21_111 d on d.src = c.dst""",
     "p_shared_part": """select a.src v1, a.dst v2, b.dst v3, c.src v4
-        from t a join t b on b.src = a.src and b.dst <> a.dst join t c on c.dst = b.dst
-        where a.src_tag = 21 and a.dst_tag = 111 and b.dst_tag = 111 and c.src_tag = 22""",
-    "p_two_regions": """select a.src v1, a.dst v2, b.src v3, b.dst v4 from t a, t b
-        where a.src_tag = 50 and a.dst_tag = 60 and b.src_tag = 50 and b.dst_tag = 60
-          and a.src <> b.src and a.dst <> b.dst""",
-    "p_isolated_region": """select a.src v1, a.dst v2, r.id v3, n.id v4 from t a, gv r, gv n
-        where a.src_tag = 40 and a.dst_tag = 50 and r.tag = 60 and n.tag = 50 and n.id <> a.dst""",
-    "p_no_match": "select src v1, dst v2 from t where src_tag = 60 and dst_tag = 50",
+        from e21_111 a join e21_111 b on b.src = a.src and b.dst <> a.dst join e22_111 c on c.dst = b.dst""",
+    "p_two_regions": """select a.src v1, a.dst v2, b.src v3, b.dst v4
+        from e50_60 a, e50_60 b where a.src <> b.src and a.dst <> b.dst""",
+    "p_isolated_region": """select a.src v1, a.dst v2, r.id v3, n.id v4
+        from e40_50 a, (select id from gv where tag = 60) r, (select id from gv where tag = 50) n where n.id <> a.dst""",
+    "p_no_match": "select src v1, dst v2 from e60_50",
     "p_region_only": "select id v7 from gv where tag = 60",
 }
 
+# Parts of tags 111 and 112 of the orders.
+_ORDER_PARTS = "".join(
+    f", parts{tag} as materialized (select src, dst from t where src_tag between 21 and 25 and dst_tag = {tag})" for tag in (111, 112)
+)
+
 # Stars of p_shared_part: star 0 needs two parts of tag 111, star 1 needs one.
 _SHARED_PART_STARS = """, signature as (
   select src, src_tag, count(*) n from t where dst_tag = 111 and src_tag in (21, 22) group by src, src_tag
@@ -409,6 +409,16 @@ _SHARED_PART_STARS = """, signature as (
 )
 """
 
+
+def _over_graph(sql: str, tables: str = "") -> str:
+    """SQL over the graph, other ``tables`` and slices: each slice in use is made once, so no order of joins meets other edges."""
+    pairs = sorted(set(re.findall(r"\be(\d+)_(\d+)\b", sql)))
+    slices_used = "".join(
+        f", e{a}_{b} as materialized (select src, dst from t where src_tag = {a} and dst_tag = {b})" for a, b in pairs
+    )
+    return f"{_GRAPH}{tables}{slices_used} {sql}"
+
+
 _LINES = "select v1 || ',' || v2 || ',' || v3 || ',' || v4 as value from ({})"
 
 
@@ -422,12 +432,14 @@ def oracle_sql() -> dict[str, str]:
         "event_edges": _EVENTS + "select id src, next_id dst from ev where next_id is not null",
         "read_vertices_text": _GRAPH + "select id, tag from gv",
         "read_edges_text": _GRAPH + "select src, dst from ge",
-        "write_matches_text": _GRAPH + f"select v1 || ',' || v2 || ',' || v3 as value from ({triangle})",
-        "write_matches_parquet": _GRAPH + triangle,
-        "match_summary": with_stars
-        + f"""select star_id, root, root_tag, children, n, weight,
+        "write_matches_text": _over_graph(f"select v1 || ',' || v2 || ',' || v3 as value from ({triangle})"),
+        "write_matches_parquet": _over_graph(triangle),
+        "match_summary": _over_graph(
+            f"""select star_id, root, root_tag, children, n, weight,
             cast(row_number() over (order by weight, star_id) - 1 as int) join_position,
             cast((select count(*) from ({shared})) as bigint) result_count from weighted""",
+            _SHARED_PART_STARS,
+        ),
         "vertices_by_tag": _GRAPH + "select distinct src from t where src_tag = 21",
         "edges_for": _GRAPH + "select src, dst from t where src_tag = 21 and dst_tag = 111",
         "tag_edges": _GRAPH + "select src, dst, src_tag, dst_tag from t",
@@ -455,37 +467,34 @@ def oracle_sql() -> dict[str, str]:
         "star_selectivity": with_stars
         + """select star_id, out_degree, n, weight,
             cast(row_number() over (order by weight, star_id) as int) as rank from weighted""",
-        "first_star_same_tag": _GRAPH + _MATCHES["p_star_same_tag"],
-        "first_star_mixed": _GRAPH + _MATCHES["p_star_mixed"],
-        "extend_path": _GRAPH
-        + """select a.src v1, a.dst v2, b.dst v3 from t a join t b on b.src = a.dst
-            where a.src_tag = 12 and a.dst_tag = 21 and b.dst_tag = 111""",
-        "close_triangle": _GRAPH + triangle,
-        "attach_root": _GRAPH
-        + """select a.src v1, a.dst v2, b.src v3 from t a join t b on b.dst = a.dst
-            where a.src_tag = 21 and a.dst_tag = 111 and b.src_tag = 22""",
-        "attach_mixed": _GRAPH + shared,
-        "cross_components": _GRAPH + _MATCHES["p_two_regions"],
-        "group_permutations": _GRAPH
-        + """select a.src, a.dst m1, b.dst m2 from t a join t b on b.src = a.src and b.dst <> a.dst
-            where a.src_tag between 21 and 25 and a.dst_tag = 111 and b.dst_tag = 111""",
-        "cross_tags": _GRAPH
-        + """select a.src, a.dst t1m1, b.dst t1m2, c.dst t2m1
-            from t a join t b on b.src = a.src and b.dst <> a.dst join t c on c.src = a.src
-            where a.src_tag between 21 and 25 and a.dst_tag = 111 and b.dst_tag = 111 and c.dst_tag = 112""",
-        "non_injective_rows": _GRAPH
-        + _LINES.format(
-            """select a.src v1, a.dst v2, b.dst v3, c.src v4
-            from t a join t b on b.src = a.src join t c on c.dst = b.dst
-            where a.src_tag = 21 and a.dst_tag = 111 and b.dst_tag = 111 and c.src_tag = 22 and a.dst = b.dst"""
+        "first_star_same_tag": _over_graph(_MATCHES["p_star_same_tag"]),
+        "first_star_mixed": _over_graph(_MATCHES["p_star_mixed"]),
+        "extend_path": _over_graph("select a.src v1, a.dst v2, b.dst v3 from e12_21 a join e21_111 b on b.src = a.dst"),
+        "close_triangle": _over_graph(triangle),
+        "attach_root": _over_graph("select a.src v1, a.dst v2, b.src v3 from e21_111 a join e22_111 b on b.dst = a.dst"),
+        "attach_mixed": _over_graph(shared),
+        "cross_components": _over_graph(_MATCHES["p_two_regions"]),
+        "group_permutations": _over_graph(
+            "select a.src, a.dst m1, b.dst m2 from parts111 a join parts111 b on b.src = a.src and b.dst <> a.dst", _ORDER_PARTS
+        ),
+        "cross_tags": _over_graph(
+            """select a.src, a.dst t1m1, b.dst t1m2, c.dst t2m1
+            from parts111 a join parts111 b on b.src = a.src and b.dst <> a.dst join parts112 c on c.src = a.src""",
+            _ORDER_PARTS,
+        ),
+        "non_injective_rows": _over_graph(
+            _LINES.format(
+                """select a.src v1, a.dst v2, b.dst v3, c.src v4
+                from e21_111 a join e21_111 b on b.src = a.src and a.dst = b.dst join e22_111 c on c.dst = b.dst"""
+            )
         ),
-        "match_checkpointed": _GRAPH + _MATCHES["p_path4"],
-        "match_cached_graph": _GRAPH + _MATCHES["p_cycle_local_supplier"],
-        "match_stored_graph": _GRAPH + triangle,
+        "match_checkpointed": _over_graph(_MATCHES["p_path4"]),
+        "match_cached_graph": _over_graph(_MATCHES["p_cycle_local_supplier"]),
+        "match_stored_graph": _over_graph(triangle),
         "match_event_path": _EVENTS
         + """select a.id v1, b.id v2, c.id v3 from ev a join ev b on b.id = a.next_id join ev c on c.id = b.next_id
             where a.tag = 5 and b.tag = 1 and c.tag = 3""",
-        "job": _GRAPH + _LINES.format(shared),
+        "job": _over_graph(_LINES.format(shared)),
     }
     for name, plain in (
         ("event_edges_busy", "event_edges"),
@@ -496,8 +505,8 @@ def oracle_sql() -> dict[str, str]:
         ("group_permutations_hub", "group_permutations"),
     ):
         result[name] = result[plain]
-    result["match_hub_shared_part"] = _GRAPH + _MATCHES["p_shared_part"]
+    result["match_hub_shared_part"] = _over_graph(_MATCHES["p_shared_part"])
     for name, sql in _MATCHES.items():
-        result[name.replace("p_", "match_", 1)] = _GRAPH + sql
-        result[name.replace("p_", "match_count_", 1)] = _GRAPH + f"select count(*) n from ({sql})"
+        result[name.replace("p_", "match_", 1)] = _over_graph(sql)
+        result[name.replace("p_", "match_count_", 1)] = _over_graph(f"select count(*) n from ({sql})")
     return result | (llm.oracle_sql() if llm else {})

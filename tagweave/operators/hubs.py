@@ -70,6 +70,11 @@ class Hubs:
             counts = bound.join(in_slice, "id", "left")
         return splits_from(counts.withColumnRenamed("id", key), [key], "most", "coalesce(n, 1)", self.split_at)
 
+    def vertex_splits(self, tag: int, key: str) -> DataFrame | None:
+        """Splits for partial matches (left) joined on a vertex with a table of one row per vertex."""
+        bound = self.with_tag(tag)
+        return splits_from(bound and bound.withColumnRenamed("id", key), [key], "most", "1", self.split_at)
+
     def close_splits(self, pair: Pair, keys: list[str]) -> tuple[DataFrame, DataFrame] | None:
         """Shares per hub for both ends of a closing edge; only hub to hub edges are split."""
         tables = []
@@ -79,7 +84,7 @@ class Hubs:
             splits = splits_from(counts, [key], "most", "1", self.split_at)
             if splits is None:
                 return None
-            tables.append(splits.selectExpr(quoted(key), f"left_parts AS {quoted(key + '_parts')}"))
+            tables.append(splits.selectExpr(quoted(key), "left_parts AS parts"))
         return tables[0], tables[1]
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,23 +138,25 @@ def close(matches: DataFrame, pattern: Pattern, bindings: EdgeSlice) -> DataFram
     """
     keys = list(dict.fromkeys(column(v) for v in bindings.edge))
     hubs = bindings.splitting
-    tables = (
-        hubs.close_splits(pattern.tag_pair(bindings.edge), keys)
-        if hubs and len(keys) == 2
-        else None
-    )
+    tables = hubs.close_splits(pattern.tag_pair(bindings.edge), keys) if hubs and len(keys) == 2 else None
     if tables is None:
         return matches.join(bindings.bindings, keys, "left_semi")
+    return _split_semi(matches, bindings.rows, keys, [([key], table) for key, table in zip(keys, tables)])
+
+
+def _split_semi(
+    matches: DataFrame, rows: DataFrame, keys: Sequence[str], tables: Sequence[tuple[list[str], DataFrame]]
+) -> DataFrame:
+    """Semi join on ``keys`` whose hot keys are split by the least of the ``parts`` that the tables give for some of the keys."""
 
     def with_parts(df: DataFrame) -> DataFrame:
-        for key, table in zip(keys, tables):
-            df = df.join(table, key, "left")
-        parts = F.least(*[F.coalesce(named(f"{key}_parts"), F.lit(1)) for key in keys])
-        return df.withColumn("parts", parts)
+        for i, (on, table) in enumerate(tables):
+            df = df.join(table.withColumnRenamed("parts", f"parts{i}"), on, "left")
+        return df.withColumn("parts", F.least(*[F.coalesce(F.col(f"parts{i}"), F.lit(1)) for i in range(len(tables))]))
 
     columns = [named(c) for c in matches.columns]
     dealt = with_parts(matches).select(*columns, F.pmod(F.xxhash64(*columns), "parts").alias("share"))
-    copied = with_parts(bindings.rows).select(
+    copied = with_parts(rows).select(
         *[named(k) for k in keys],
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("share"),
     )
@@ -180,11 +183,77 @@ def attach_mixed(matches: DataFrame, pattern: Pattern, star: Star, slices: Slice
     return matches
 
 
-def cross_components(left: DataFrame, right: DataFrame, pattern: Pattern) -> DataFrame:
-    """Matches of two parts that share no vertex: every pair with all vertices distinct."""
+def cross_components(
+    left: DataFrame, right: DataFrame, pattern: Pattern, left_rows: int | None = None, right_rows: int | None = None
+) -> DataFrame:
+    """Matches of two parts that share no vertex: every pair with all vertices distinct.
+
+    The numbers of rows, where they are known, decide which side is copied.
+    """
     bound = bound_vertices(left, pattern)
     differ = [
         all_different(column(new), _must_differ(pattern, new, bound))
         for new in bound_vertices(right, pattern)
     ]
-    return grid_product(left, right, " AND ".join(filter(None, differ)))
+    return grid_product(left, right, " AND ".join(filter(None, differ)), left_rows, right_rows)
+
+
+def intersect(matches: DataFrame, pattern: Pattern, vertex: int, bindings: Sequence[EdgeSlice]) -> DataFrame:
+    """Bind a free vertex from all its bound neighbours at once.
+
+    ``bindings`` are the slices of the edges between the vertex and bound vertices. Each match is extended along the one
+    of these edges that has the fewest candidates for it, and kept if all others have the candidate, too. So a match makes at most as many rows as its
+    least neighbour has edges, and a hub is expanded only where all neighbours are hubs. Matches without a candidate on some edge are dropped first.
+
+    The slices are one table, keyed by the number of the edge and its bound end, so the matches are joined once and not once for each choice.
+    """
+    if len(bindings) == 1:
+        extending = extend if bindings[0].edge[1] == vertex else attach_root
+        return extending(matches, pattern, bindings[0])
+    columns, new, n = matches.columns, column(vertex), len(bindings)
+    ends = [b.edge[1] if b.edge[0] == vertex else b.edge[0] for b in bindings]
+    hubs = next((b.hubs for b in bindings if b.hubs), None)
+    candidates = reduce(
+        DataFrame.union,
+        [b.rows.select(F.lit(i).alias("which"), named(column(end)).alias("end"), named(new)) for i, (b, end) in enumerate(zip(bindings, ends))],
+    )
+    degree_of = candidates.groupBy("which", "end").agg(F.count("*").alias("degree"))
+    for i, end in enumerate(ends):
+        key = column(end)
+        degrees = degree_of.where(F.col("which") == i).select(F.col("end").alias(key), F.col("degree").alias(f"degree{i}"))
+        matches = skew_join(matches, degrees, [key], hubs and hubs.vertex_splits(pattern.tag_of[end], key))
+    degrees = [F.col(f"degree{i}") for i in range(n)]
+    fewest = (F.array_position(F.array(*degrees), F.least(*degrees)) - 1).cast("int")
+    matches = matches.select(*[named(c) for c in columns], fewest.alias("chosen"))
+
+    def toward(step: int) -> DataFrame:
+        """The matches with the edge that is ``step`` after the chosen one, and its bound end."""
+        which = F.pmod(F.col("chosen") + step, F.lit(n))
+        end = F.get(F.array(*[named(column(end)) for end in ends]), which)
+        return matches.withColumns({"which": which, "end": end})
+
+    matches = skew_join(toward(0), candidates, ["which", "end"], hubs and _by_edge(
+        [hubs.extend_splits(pattern.tag_pair(b.edge), end == b.edge[0], "end") for b, end in zip(bindings, ends)]
+    )).drop("which", "end")
+    matches = keep_injective(matches, new, _must_differ(pattern, vertex, bound_vertices(matches.select(*map(named, columns)), pattern)))
+    keys = ["which", "end", new]
+    own = hubs and hubs.vertex_splits(pattern.tag_of[vertex], new)
+    others = own and _by_edge([hubs.vertex_splits(pattern.tag_of[end], "end") for end in ends])
+    for step in range(1, n):
+        if others is None:
+            matches = toward(step).join(candidates, keys, "left_semi")
+        else:
+            tables = [(["which", "end"], _parts(others)), ([new], _parts(own))]
+            matches = _split_semi(toward(step), candidates, keys, tables)
+        matches = matches.drop("which", "end")
+    return matches.drop("chosen")
+
+
+def _by_edge(splits: Sequence[DataFrame | None]) -> DataFrame | None:
+    """Splits of several edges as one table, by the number of the edge."""
+    known = [table.withColumn("which", F.lit(i)) for i, table in enumerate(splits) if table is not None]
+    return reduce(DataFrame.unionByName, known) if known else None
+
+
+def _parts(splits: DataFrame) -> DataFrame:
+    return splits.drop("right_parts").withColumnRenamed("left_parts", "parts")

@@ -8,8 +8,9 @@ copied to every share of the other side. The result is the plain join's, row for
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import named
@@ -32,22 +33,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], split_at: int = SPLIT_ROWS) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > split_at)
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same rows, written to the shared folder and read back, and their number, which is observed while they are written."""
+    spark, path, seen = df.sparkSession, new_folder(df.sparkSession, name), Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
 def few_or_stored(df: DataFrame, rows: int | None = None) -> DataFrame | None:
-    """A table that is used several times; None if it has no rows.
+    """A table that is used several times, computed and written once; None if it has no rows.
 
-    Up to ``rows`` rows are counted on the driver and broadcast. A larger table is written to the shared folder whole, and joined
-    as any other. The limit only decides between the two.
+    Up to ``rows`` rows it is marked for a broadcast. A larger table is joined as any other. The limit only decides between the two.
     """
     rows = BROADCAST_ROWS if rows is None else rows
-    table = df.limit(rows + 1).toArrow()
-    if not table.num_rows:
+    table, n = kept(df, "keys")
+    if not n:
         return None
-    spark = df.sparkSession
-    if table.num_rows <= rows:
-        return F.broadcast(spark.createDataFrame(table))
-    path = new_folder(spark, "keys")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(table) if n <= rows else table
 
 
 def splits_from(
@@ -119,19 +121,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(partitions, *[named(c) for c in df.columns])
 
 
-def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> DataFrame:
+def grid_product(
+    left: DataFrame, right: DataFrame, condition: str = "", left_rows: int | None = None, right_rows: int | None = None
+) -> DataFrame:
     """Every pair of rows of two tables, computed as an equi-join on a grid of cells.
 
     The rows of each side are dealt to the grid's rows or columns by a hash and copied along the other axis. A side
-    that is counted and small is copied to all cells, and the other one is not copied at all; otherwise the grid is square. There are
+    that is known to be small by its number of rows is copied to all cells, and the other one is not copied at all; otherwise the grid is square. There are
     several cells for each partition, so that partitions get even shares.
     """
     cells = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = max(1, round(cells**0.5))
     shape = (side, side)
-    if few(right):
+    if right_rows is not None and right_rows <= BROADCAST_ROWS:
         shape = (cells, 1)
-    elif few(left):
+    elif left_rows is not None and left_rows <= BROADCAST_ROWS:
         shape = (1, cells)
 
     def place(df: DataFrame, own: str, size: int, other: str, copies: int) -> DataFrame:
@@ -145,7 +149,9 @@ def grid_product(left: DataFrame, right: DataFrame, condition: str = "") -> Data
     return pairs.where(condition) if condition else pairs
 
 
-def few(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether a table has at most ``rows`` rows."""
+def rows_up_to(tables: Sequence[DataFrame], rows: int | None = None) -> list[int]:
+    """The number of rows of each table, or ``rows + 1`` where there are more; one job for all."""
     rows = BROADCAST_ROWS if rows is None else rows
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    marks = [df.select(F.lit(i).alias("i")).limit(rows + 1) for i, df in enumerate(tables)]
+    counted = dict(reduce(DataFrame.union, marks).groupBy("i").count().collect())
+    return [counted.get(i, 0) for i in range(len(tables))]

@@ -3,64 +3,156 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.expressions import named, quoted
+from tagweave.functions.expressions import keep_injective, named, quoted
 from tagweave.graph import TaggedGraph
 from tagweave.operators.joins import (
     Edge,
     EdgeSlice,
     Slices,
     attach_mixed,
+    close,
     cross_components,
     edge_slice,
     first_star,
+    intersect,
 )
-from tagweave.operators.skew import BROADCAST_ROWS, SPREAD_ROWS, skew_join, spread
+from tagweave.operators.skew import BROADCAST_ROWS, SPREAD_ROWS, kept, rows_up_to, skew_join, spread
 from tagweave.operators.slices import edges_for, query_slice
 from tagweave.operators.stars import star_roots
-from tagweave.pattern import Pattern, column
+from tagweave.pattern import Pattern, Star, column
+from tagweave.plans.counting import embedding_count, times, wide
 from tagweave.plans.order import PatternStats, pattern_stats, star_order
-from tagweave.session import ensure_checkpoint_dir, new_folder
+from tagweave.plans.reduce import is_tree, reduced_slices, slices_from
+from tagweave.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
+STRATEGIES = ("auto", "stars", "reduce", "intersect")
 
 
 def match(
-    graph: TaggedGraph, pattern: Pattern, checkpoint_every: int = CHECKPOINT_EVERY
+    graph: TaggedGraph, pattern: Pattern, checkpoint_every: int = CHECKPOINT_EVERY, strategy: str = "auto"
 ) -> DataFrame:
     """Every embedding of the pattern as one row, columns in pattern vertex order.
 
-    Lineage is cut by a checkpoint after each ``checkpoint_every`` joined stars; 0 turns
-    that off.
+    Lineage is cut by a checkpoint after each ``checkpoint_every`` joined stars (or vertices); 0 turns that off. ``strategy`` is how
+    connected parts are matched, with equal rows: ``stars`` joins star by star; ``reduce`` first reduces
+    the slices of a tree pattern fully; ``intersect`` binds vertex by vertex from all bound neighbours at once; ``auto`` decides
+    by counted sizes, see ``chosen_strategy``.
+
+    Parts of a disconnected pattern are computed once each; those of several edges are stored before the product is formed.
     """
-    parts = [component_matches(graph, part, checkpoint_every) for part in pattern.components()]
-    matches = reduce(lambda left, right: cross_components(left, right, pattern), parts)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    patterns = pattern.components()
+    parts = [component_matches(graph, part, checkpoint_every, strategy) for part in patterns]
+    matches = parts[0]
+    if len(parts) > 1:
+        matches = _product(patterns, parts, pattern)
     return matches.select(*[named(c) for c in pattern.columns])
 
 
+def _product(patterns: list[Pattern], parts: list[DataFrame], pattern: Pattern) -> DataFrame:
+    """All combinations of the parts' matches. Parts of more than one edge are stored and counted on the way; the others, plain scans, are counted in one job."""
+    sizes: dict[int, int] = {}
+    for i, part in enumerate(patterns):
+        if len(part.edges) > 1:
+            parts[i], sizes[i] = kept(parts[i], "part-matches")
+    scans = [i for i in range(len(parts)) if i not in sizes]
+    sizes |= zip(scans, rows_up_to([parts[i] for i in scans])) if scans else {}
+    matches, n = parts[0], sizes[0]
+    for i in range(1, len(parts)):
+        matches = cross_components(matches, parts[i], pattern, n, sizes[i])
+        n *= sizes[i]
+    return matches
+
+
 def component_matches(
-    graph: TaggedGraph, pattern: Pattern, checkpoint_every: int = CHECKPOINT_EVERY
+    graph: TaggedGraph, pattern: Pattern, checkpoint_every: int = CHECKPOINT_EVERY, strategy: str = "auto"
 ) -> DataFrame:
     """Embeddings of a connected pattern, columns in no particular order."""
+    steps = match_steps(graph, pattern, strategy)
+    matches = None
+    for done, step in enumerate(steps, start=1):
+        matches = step(matches)
+        if checkpoint_every and done % checkpoint_every == 0 and done < len(steps):
+            ensure_checkpoint_dir(graph.spark)
+            matches = matches.checkpoint()
+    return matches
+
+
+def match_steps(graph: TaggedGraph, pattern: Pattern, strategy: str = "auto") -> list[Callable[[DataFrame | None], DataFrame]]:
+    """The joins of a connected pattern, one after another: each makes larger partial matches of those before, the first from None."""
     if not pattern.edges:
         ((vertex, tag),) = pattern.vertices
-        return graph.vertices.where(F.col("tag") == tag).select(F.col("id").alias(column(vertex)))
+        return [lambda _: graph.vertices.where(F.col("tag") == tag).select(F.col("id").alias(column(vertex)))]
+    if strategy == "reduce" and is_tree(pattern):
+        return _reduced_steps(graph, pattern)
     # A single edge needs no order and has nothing to prune.
     stats = pattern_stats(graph.tagged, pattern) if len(pattern.edges) > 1 else None
+    if strategy == "auto":
+        strategy = chosen_strategy(pattern, stats)
+        if strategy == "reduce":
+            return _reduced_steps(graph, pattern)
     slices = pruned_slices(graph, pattern, stats)
-    order = star_order(pattern.stars, stats.star_counts) if stats else pattern.stars
-    matches = first_star(pattern, order[0], slices)
-    for joined, star in enumerate(order[1:], start=2):
-        matches = attach_mixed(matches, pattern, star, slices)
-        if checkpoint_every and joined % checkpoint_every == 0 and joined < len(order):
-            ensure_checkpoint_dir(graph.spark)
-            matches = matches.checkpoint()
-    return matches
+    if strategy == "intersect":
+        return _vertex_steps(pattern, slices, {e: stats.edges[pattern.tag_pair(e)] if stats else 0 for e in pattern.edges})
+    return _star_steps(pattern, slices, star_order(pattern.stars, stats.star_counts) if stats else pattern.stars)
+
+
+def chosen_strategy(pattern: Pattern, stats: PatternStats | None) -> str:
+    """``stars`` where its intermediate rows are few by the statistics; else ``reduce`` for a tree of several stars and ``intersect`` for a cycle."""
+    if stats is None or max(*stats.bindings.values(), sum(stats.edges.values())) <= SPREAD_ROWS:
+        return "stars"
+    if not is_tree(pattern):
+        return "intersect"
+    return "reduce" if len(pattern.stars) > 1 else "stars"
+
+
+def _star_steps(pattern: Pattern, slices: Slices, order: Sequence[Star]) -> list[Callable]:
+    first, *others = order
+    return [lambda _: first_star(pattern, first, slices)] + [
+        lambda matches, star=star: attach_mixed(matches, pattern, star, slices) for star in others
+    ]
+
+
+def _reduced_steps(graph: TaggedGraph, pattern: Pattern) -> list[Callable]:
+    reduced = reduced_slices(graph, pattern)
+    counts = {s.star_id: min(reduced[(s.root, child)][1] for child in s.child_ids) for s in pattern.stars}
+    return _star_steps(pattern, slices_from(graph, pattern, reduced), star_order(pattern.stars, counts))
+
+
+def _vertex_steps(pattern: Pattern, slices: Slices, sizes: Mapping[Edge, int]) -> list[Callable]:
+    """Starts with the smallest slice, then binds the vertex with the most bound neighbours."""
+    loops = {a: (a, b) for a, b in pattern.edges if a == b}
+    edges = [e for e in pattern.edges if e[0] != e[1]]
+    if not edges:
+        return [lambda _: slices(pattern.edges[0]).rows]
+    start = min(edges, key=lambda e: sizes[e])
+
+    def begin(_: None) -> DataFrame:
+        matches = slices(start).rows
+        matches = keep_injective(matches, column(start[1]), [column(v) for v in pattern.same_tag(start[1], [start[0]])])
+        checks = [e for e in edges if set(e) == set(start) and e != start] + [loops[v] for v in start if v in loops]
+        return reduce(lambda df, edge: close(df, pattern, slices(edge)), checks, matches)
+
+    def bind(matches: DataFrame, vertex: int, own: list[Edge]) -> DataFrame:
+        matches = intersect(matches, pattern, vertex, [slices(e) for e in own])
+        return close(matches, pattern, slices(loops[vertex])) if vertex in loops else matches
+
+    steps, bound, free = [begin], set(start), {v for v, _ in pattern.vertices} - set(start)
+    while free:
+        own = {v: [e for e in edges if v in e and set(e) - {v} <= bound] for v in free}
+        vertex = max(free, key=lambda v: (len(own[v]), -min((sizes[e] for e in own[v]), default=0), -v))
+        steps.append(lambda matches, vertex=vertex, own=own[vertex]: bind(matches, vertex, own))
+        bound.add(vertex)
+        free.remove(vertex)
+    return steps
 
 
 def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | None) -> Slices:
@@ -124,66 +216,24 @@ def match_count(graph: TaggedGraph, pattern: Pattern) -> int:
 
 
 def match_count_row(graph: TaggedGraph, pattern: Pattern) -> DataFrame:
-    """Number of embeddings as one row ``n``, a decimal, without listing them where that can be avoided.
+    """Number of embeddings as one row ``n``, a decimal, without listing them.
 
-    Parts of the pattern without a common tag cannot share a data vertex, so their
-    counts are multiplied. Within a connected part, end vertices are replaced by counts
-    per neighbour, see ``component_count``. A number beyond 38 digits stops the job or, without ANSI mode, gives null.
+    End vertices with a tag of their own become counts per neighbour, see ``peeled``; the rest is summed vertex by vertex, over
+    the ways in which vertices of one tag could coincide, see ``plans.counting``. Only patterns with very many vertices of one tag are listed.
+    A number, or a sum on the way, beyond 38 digits stops the job or, without ANSI mode, gives null.
     """
-    counts = []
-    for parts in tag_disjoint_groups(pattern.components()):
-        if len(parts) == 1:
-            counts.append(component_count(graph, parts[0]))
-        elif len(parts) == 2:
-            counts.append(pair_count(graph, *parts))
-        else:
-            merged = Pattern(
-                tuple(v for part in parts for v in part.vertices),
-                tuple(e for part in parts for e in part.edges),
-            )
-            counts.append(_row_count(match(graph, merged)))
-    if len(counts) == 1:
-        return counts[0]
-    # One row per group of parts, brought side by side.
-    rows = reduce(DataFrame.union, [c.select("n", F.lit(i).alias("i")) for i, c in enumerate(counts)])
-    product = reduce(_times, [F.max(F.when(F.col("i") == i, F.col("n"))) for i in range(len(counts))])
-    return rows.agg(product.alias("n"))
-
-
-def _wide(value: Column) -> Column:
-    return value.cast("decimal(38,0)")
-
-
-def _times(left: Column, right: Column) -> Column:
-    return _wide(left * right)
-
-
-def _row_count(rows: DataFrame) -> DataFrame:
-    return rows.agg(_wide(F.count("*")).alias("n"))
+    core, weights = peeled(graph, pattern)
+    counted = embedding_count(graph, list(core.vertices), list(core.edges), weights)
+    return listed_count(graph, core, weights) if counted is None else counted
 
 
-def _total(rows: DataFrame, value: Column) -> DataFrame:
-    return rows.agg(_wide(F.coalesce(F.sum(value), F.lit(0))).alias("n"))
-
-
-def tag_disjoint_groups(parts: list[Pattern]) -> list[list[Pattern]]:
-    """Parts grouped so that no tag occurs in two groups."""
-    groups: list[list[Pattern]] = []
-    for part in parts:
-        tags = set(part.tag_of.values())
-        touching = [g for g in groups if any(tags & set(p.tag_of.values()) for p in g)]
-        groups = [g for g in groups if g not in touching]
-        groups.append([p for g in touching for p in g] + [part])
-    return groups
-
-
-def component_count(graph: TaggedGraph, pattern: Pattern) -> DataFrame:
-    """Embeddings of a connected pattern, as one row ``n``.
+def peeled(graph: TaggedGraph, pattern: Pattern) -> tuple[Pattern, dict[int, DataFrame]]:
+    """The pattern without its countable end vertices, and the weights (``id, w``) of the vertices they hung on.
 
     An end vertex whose tag occurs nowhere else can take any of its neighbour's edges,
     so it is replaced by the number of these edges per neighbour; k such twins by
     n (n - 1) ... (n - k + 1). Repeated inwards, this counts a tree of distinct tags by
-    aggregations alone. Only what remains is matched row by row.
+    aggregations alone.
     """
     vertices, edges = [v for v, _ in pattern.vertices], list(pattern.edges)
     weights: dict[int, DataFrame] = {}
@@ -196,24 +246,25 @@ def component_count(graph: TaggedGraph, pattern: Pattern) -> DataFrame:
         weights[inner] = weight
         vertices = [v for v in vertices if v not in leaves]
         edges = [e for e in edges if not set(e) & set(leaves)]
+    return pattern.restricted_to(vertices), weights
+
 
-    if not edges and weights:
-        (weight,) = weights.values()
-        return _total(weight, F.col("w"))
-    core = component_matches(graph, pattern.restricted_to(vertices))
+def listed_count(graph: TaggedGraph, core: Pattern, weights: dict[int, DataFrame]) -> DataFrame:
+    """The sum of weights over all matches of a pattern, listed."""
+    matches = match(graph, core)
     if not weights:
-        return _row_count(core)
+        return matches.agg(wide(F.count("*")).alias("n"))
     # Pre-aggregated on the weighted vertices, so a vertex in many matches is one row.
     keys = [column(v) for v in weights]
-    counted = core.groupBy(*[named(k) for k in keys]).agg(_wide(F.count("*")).alias("matches"))
+    counted = matches.groupBy(*[named(k) for k in keys]).agg(wide(F.count("*")).alias("matches"))
     product = F.col("matches")
     for vertex, weight in weights.items():
         w = f"w{vertex}"
         counted = counted.join(
             weight.select(F.col("id").alias(column(vertex)), F.col("w").alias(w)), column(vertex)
         )
-        product = _times(product, named(w))
-    return _total(counted, product)
+        product = times(product, named(w))
+    return counted.agg(wide(F.coalesce(F.sum(product), F.lit(0))).alias("n"))
 
 
 def _peelable(
@@ -245,55 +296,13 @@ def _leaf_weight(
     if leaf_weight is not None:
         splits = graph.hubs.end_splits([pair], leaf_end, leaf_end)
         rows = skew_join(rows, leaf_weight.withColumnRenamed("id", leaf_end), [leaf_end], splits)
-        return rows.groupBy(F.col(inner_end).alias("id")).agg(_wide(F.sum("w")).alias("w"))
+        return rows.groupBy(F.col(inner_end).alias("id")).agg(wide(F.sum("w")).alias("w"))
     counts = rows.groupBy(F.col(inner_end).alias("id")).agg(F.count("*").alias("n"))
-    ways = reduce(lambda w, i: _times(w, _wide(F.col("n") - i)), range(1, k), _wide(F.col("n")))
+    ways = reduce(lambda w, i: times(w, wide(F.col("n") - i)), range(1, k), wide(F.col("n")))
     return counts.where(F.col("n") >= k).select("id", ways.alias("w"))
 
 
 def _multiply(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("w", "w_other"), "id").select(
-        "id", _times(F.col("w"), F.col("w_other")).alias("w")
+        "id", times(F.col("w"), F.col("w_other")).alias("w")
     )
-
-
-def pair_count(graph: TaggedGraph, left: Pattern, right: Pattern) -> DataFrame:
-    """Pairs of embeddings of two parts without a common data vertex, as one row ``n``.
-
-    All pairs, minus those that agree on some same-tag vertices, by inclusion and
-    exclusion: each term joins counts per vertex, the pairs are never listed. Both sides are counted once by all
-    their vertices with a common tag, the terms add these counts up further, and all terms are one job.
-    """
-    same_tag = [
-        (a, b) for a, tag in left.vertices for b, other in right.vertices if tag == other
-    ]
-    sides = []
-    for i, part in enumerate((left, right)):
-        keys = [named(column(v)) for v in dict.fromkeys(pair[i] for pair in same_tag)]
-        path = new_folder(graph.spark, "pair-counts")
-        component_matches(graph, part).groupBy(*keys).agg(_wide(F.count("*")).alias("m")).write.parquet(path)
-        sides.append(graph.spark.read.parquet(path))
-    terms = []
-    for agreed in _partial_matchings(same_tag):
-        counts = [
-            side.groupBy(
-                F.lit(0).alias("k"), *[named(column(pair[i])).alias(f"k{j}") for j, pair in enumerate(agreed)]
-            ).agg(_wide(F.sum("m")).alias(f"n{i}"))
-            for i, side in enumerate(sides)
-        ]
-        keys = ["k", *(f"k{j}" for j in range(len(agreed)))]
-        sign = F.lit((-1) ** len(agreed))
-        joined = counts[0].join(counts[1], keys).select(_times(_times(F.col("n0"), F.col("n1")), _wide(sign)).alias("term"))
-        terms.append(joined)
-    return _total(reduce(DataFrame.union, terms), F.col("term"))
-
-
-def _partial_matchings(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Sets of pairs in which no vertex occurs twice, the empty set included."""
-    if not pairs:
-        yield []
-        return
-    (a, b), *rest = pairs
-    yield from _partial_matchings(rest)
-    for others in _partial_matchings([(x, y) for x, y in rest if x != a and y != b]):
-        yield [(a, b), *others]

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest tables, and known counts."""
 
+import json
 from pathlib import Path
 
 import duckdb
@@ -9,6 +10,7 @@ import __spark_entry__ as registered
 import tagweave as tw
 
 SF_DIR = "/root/testdata/sf0.001"
+SQL_DIR = "/root/testdata/sf0.01"
 COUNTS = {
     "p_edge": 65, "p_star_same_tag": 4, "p_star_mixed": 51, "p_triangle": 234, "p_cycle_local_supplier": 6,
     "p_path4": 16, "p_shared_part": 25, "p_two_regions": 500, "p_no_match": 0,
@@ -44,6 +46,23 @@ def test_query_equals_sql(spark, tables, name):
     assert sorted(tuple(row[c] for c in columns) for row in df.collect()) == expected
 
 
+def most_rows(operator: dict) -> int:
+    own = operator.get("operator_cardinality") or 0
+    return max([own, *(most_rows(child) for child in operator.get("children", []))])
+
+
+@pytest.mark.skipif(not Path(SQL_DIR).exists(), reason="no test tables")
+def test_sql_has_no_large_intermediate_result():
+    connection = duckdb.connect()
+    for path in Path(SQL_DIR).glob("*.parquet"):
+        connection.execute(f"create view {path.stem} as select * from '{path}'")
+    largest = {}
+    for name, sql in SQL.items():
+        profile = connection.execute(f"explain (analyze, format json) {sql}").fetchone()[1]
+        largest[name] = most_rows(json.loads(profile))
+    assert min(largest.values()) > 0 and max(largest.values()) < 1_000_000, largest
+
+
 @pytest.mark.parametrize("name", COUNTS)
 def test_known_counts(spark, name):
     graph = registered._graph(spark, SF_DIR)
