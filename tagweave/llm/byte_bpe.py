@@ -1,24 +1,47 @@
-"""Ids of texts by a vocabulary file of the tokenizers library, each piece of plain text encoded once per task."""
+"""Ids of texts by a vocabulary file of the tokenizers library, each distinct word encoded once per task."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-from itertools import chain
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
-import regex
 
-#: How a byte-level file splits text into pieces (fixed value, as in the library).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that all versions of Unicode put in the same classes; texts with others are encoded whole.
+#: Characters that all versions of Unicode put in the same classes; a text with others is encoded as one word.
 _OTHER = re.compile("[^\x00-ԧ]")
-#: Where a text can be cut: a piece ends before one blank that follows a visible character.
+#: A byte-level file splits a text before a blank between two visible characters, whatever stands further away. Where blanks
+#: have other white space beside them only those between visible characters are looked for.
+_THEN_SPACE = re.compile(r" \s")
+_SPACE_THEN = tuple(f"{c} " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Where a text with other characters can be cut.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
-#: Characters of a part of a long text, and distinct pieces that are remembered.
-PART, REMEMBERED = 1 << 18, 500_000
+#: Characters of a part of such a text, and words that are remembered.
+PART, REMEMBERED = 1 << 16, 500_000
+#: Words encoded in one call.
+_CALL = 2048
+
+
+#: The byte-level letter for a blank (fixed value).
+_BLANK = "Ġ"
+
+
+class _Words(dict):
+    """Numbers of words; a word that is met for the first time gets the next one and is noted."""
+
+    def __init__(self, words: list[str], prefix: str, noted: list[int] | None = None) -> None:
+        super().__init__()
+        self._words, self._prefix, self._noted = words, prefix, noted
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self._words)
+        self._words.append(self._prefix + word)
+        if self._noted is not None:
+            self._noted.append(number)
+        return number
 
 
 class ByteBpe:
@@ -35,25 +58,75 @@ class ByteBpe:
         file = json.loads(Path(path).read_text(encoding="utf-8"))
         self._special = [token["content"] for token in file["added_tokens"]]
         splits = file["pre_tokenizer"] or {}
-        self._by_piece = (
+        self._by_word = (
             file["normalizer"] is None
             and splits.get("type") == "ByteLevel"
             and splits.get("use_regex") is True
             and splits.get("add_prefix_space") is False
             and not file["model"].get("dropout")
-            and not any(" " in special for special in self._special)
+            and not any(re.search(r"\s", special) for special in self._special)
         )
-        self._pieces = regex.compile(PIECES)
-        self._known: dict[str, list[int]] = {}
+        # Ids of pieces that start with a blank, the first ones of words.
+        self._opens = np.zeros(self.size, dtype=bool)
+        for piece, number in self._library.get_vocab().items():
+            self._opens[number] = piece.startswith(_BLANK)
+        self._forget()
+
+    def _forget(self) -> None:
+        # All words by number; the ids of the first ``_known`` are in the table.
+        self._words: list[str] = []
+        # Words between two others start with their only blank and end visibly: their pieces stay the same when such words are joined.
+        self._joining: list[int] = []
+        self._first, self._last = _Words(self._words, ""), _Words(self._words, " ")
+        self._inner = _Words(self._words, " ", self._joining)
+        self._known = 0
+        self._ids, self._used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self._starts, self._sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        if not self._by_piece:
-            return self._whole(text)
-        parts = [self._part(part) for part in self._parts(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and their number in each text."""
+        if len(self._words) > REMEMBERED:
+            self._forget()
+        numbers: list[int] = []
+        ends = []
+        for text in texts:
+            if self._by_word:
+                self._split(text, numbers)
+            else:
+                self._whole(text, numbers)
+            ends.append(len(numbers))
+        self._fill()
+        of_word = np.array(numbers, dtype=np.int64)
+        sizes = self._sizes[of_word]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        places = np.repeat(self._starts[of_word] - after + sizes, sizes)
+        places += np.arange(total)
+        bounds = np.concatenate(([0], after)).astype(np.int64)[[0, *ends]]
+        return self._ids[places], np.diff(bounds)
+
+    def _split(self, text: str, numbers: list[int]) -> None:
+        if not (text.isascii() or not _OTHER.search(text)) or any(special in text for special in self._special):
+            for part in self._parts(text):
+                self._whole(part, numbers)
+            return
+        if not text:
+            return
+        runs = _THEN_SPACE.search(text) or any(pair in text for pair in _SPACE_THEN)
+        first, *later = _BETWEEN.split(text) if runs else text.split(" ")
+        numbers.append(self._first[first])
+        if not runs:
+            numbers.extend(map(self._inner.__getitem__, later[:-1]))
+            later = later[-1:]
+        numbers.extend(map(self._last.__getitem__, later))
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def _whole(self, text: str, numbers: list[int]) -> None:
+        """The text as one word that is not remembered."""
+        numbers.append(len(self._words))
+        self._words.append(text)
 
     @staticmethod
     def _parts(text: str):
@@ -64,18 +137,39 @@ class ByteBpe:
                 break
             yield text[at : cut.start()]
             at = cut.start()
-        yield text[at:] if at else text
-
-    def _part(self, text: str) -> np.ndarray:
-        plain = text.isascii() or not _OTHER.search(text)
-        if not plain or any(special in text for special in self._special):
-            return self._whole(text)
-        pieces, known = self._pieces.findall(text), self._known
-        fresh = list(set(pieces).difference(known))
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(pieces))
-            done = self._library.encode_batch_fast(fresh, add_special_tokens=False)
-            known.update(zip(fresh, (own.ids for own in done), strict=True))
-        return np.array(list(chain.from_iterable(map(known.__getitem__, pieces))), dtype=np.uint32)
+        yield text[at:]
+
+    def _fill(self) -> None:
+        """Encodes the words that are not in the table yet, many in one text where they join."""
+        fresh = self._words[self._known :]
+        if not fresh:
+            return
+        sizes, parts, order = np.zeros(len(fresh), dtype=np.int64), [], []
+        together = [number - self._known for number in self._joining]
+        self._joining.clear()
+        for start in range(0, len(together), _CALL):
+            own = together[start : start + _CALL]
+            ids = np.array(self._encoded("".join([fresh[i] for i in own])), dtype=np.uint32)
+            sizes[own] = np.diff(np.flatnonzero(self._opens[ids]), append=len(ids))
+            parts.append(ids)
+            order += own
+        alone = sorted(set(range(len(fresh))).difference(together))
+        for i in alone:
+            ids = self._encoded(fresh[i])
+            sizes[i] = len(ids)
+            parts.append(np.array(ids, dtype=np.uint32))
+            order.append(i)
+        # The table is in the order of encoding; starts say where each word is.
+        flat = np.concatenate(parts)
+        starts = np.empty(len(fresh), dtype=np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order] + self._used
+        if self._used + len(flat) > len(self._ids):
+            self._ids = np.concatenate((self._ids[: self._used], np.zeros(self._used + 2 * len(flat), dtype=np.uint32)))
+        self._ids[self._used : self._used + len(flat)] = flat
+        self._starts = np.concatenate((self._starts, starts))
+        self._sizes = np.concatenate((self._sizes, sizes))
+        self._used += len(flat)
+        self._known = len(self._words)
+
+    def _encoded(self, text: str) -> list[int]:
+        return self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tagweave.session import new_folder
 
 #: Ids of a shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 21
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 4 << 20
 #: The id that ends a document.
 END = 0
 _WORDS = 8  # words of 64 bits in a block
@@ -48,19 +51,22 @@ class WaveletMatrix:
         """The matrix of ids below ``2**width``."""
         n, zeros, planes, ones = len(ids), [], [], []
         # Whole blocks, and one word more, so that the rank of the end has a word to look at.
-        length = (n // (64 * _WORDS) + 1) * _WORDS * 64
+        length = (n // (64 * _WORDS) + 1) * _WORDS * 8
+        ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         for bit in range(width - 1, -1, -1):
-            on = (ids >> bit) & 1 != 0
-            padded = np.zeros(length, dtype=bool)
-            padded[:n] = on
-            plane = np.packbits(padded, bitorder="little")
+            on = (ids & ids.dtype.type(1 << bit)).astype(bool)
+            plane = np.zeros(length, dtype=np.uint8)
+            plane[: (n + 7) // 8] = np.packbits(on, bitorder="little")
             per_block = np.bitwise_count(plane.view("<u8")).reshape(-1, _WORDS).sum(axis=1, dtype=np.uint32)
             before = np.zeros(len(per_block) + 1, dtype="<u4")
             np.cumsum(per_block, out=before[1:])
             planes.append(plane.tobytes())
             ones.append(before.tobytes())
             zeros.append(n - int(before[-1]))
-            ids = np.concatenate((ids[~on], ids[on]))
+            parted = np.empty_like(ids)
+            np.compress(~on, ids, out=parted[: zeros[-1]])
+            np.compress(on, ids, out=parted[zeros[-1] :])
+            ids = parted
         return cls(n, zeros, planes, ones)
 
     def stored_parts(self) -> tuple[list[int], list[bytes], list[bytes]]:
@@ -141,14 +147,14 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        ids = np.zeros(self.n, dtype=np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
             on = np.unpackbits(self._words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             zeros, above = self.zeros[level], np.empty_like(ids)
             above[~on] = ids[:zeros]
-            above[on] = ids[zeros:] | np.uint32(1 << (self.width - 1 - level))
+            above[on] = ids[zeros:] | ids.dtype.type(1 << (self.width - 1 - level))
             ids = above
-        return ids
+        return ids.astype(np.uint32)
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -160,6 +166,19 @@ def _encoder(path: str) -> ByteBpe:
     return _encoders[path]
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``TEXT_BYTES`` bytes of text."""
+    sizes = [0 if raw is None else raw for raw in pc.binary_length(batch.column("raw")).to_pylist()]
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > TEXT_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Writes the ids of all documents, each with ``end`` after it, in ascending order of ``doc_id``, as shards below ``path``.
 
@@ -177,24 +196,26 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, sh
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        width = max(1, int(max(encoder.size - 1, end)).bit_length())
-        doc_ids, own, held, part, number = [], [], 0, -1, 0
+        width, last = max(1, int(max(encoder.size - 1, end)).bit_length()), np.array([end], dtype=np.uint32)
+        doc_ids, sizes, own, held, part, number = [], [], [], 0, -1, 0
 
         def shard() -> pa.RecordBatch:
             ids = np.concatenate(own)
             parts = WaveletMatrix.build(ids, width).stored_parts()
-            return record_batch(_SHARD, [[part], [number], [len(ids)], [doc_ids], [[len(x) for x in own]], *([p] for p in parts)])
+            return record_batch(_SHARD, [[part], [number], [len(ids)], [doc_ids], [sizes], *([p] for p in parts)])
 
         for batch in batches:
-            for part_no, doc_id, raw in zip(batch.column("part_no"), batch.column("doc_id"), batch.column("raw"), strict=True):
-                ids = np.append(encoder.encode((raw.as_py() or b"").decode()), np.uint32(end))
-                if own and held + len(ids) > shard_ids:
-                    yield shard()
-                    doc_ids, own, held, number = [], [], 0, number + 1
-                part = part_no.as_py()
-                doc_ids.append(doc_id.as_py())
-                own.append(ids)
-                held += len(ids)
+            for some in _in_parts(batch):
+                ids, counts = encoder.encode_all([(raw.as_py() or b"").decode() for raw in some.column("raw")])
+                at, part = 0, some.column("part_no")[0].as_py()
+                for doc_id, n in zip(some.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    if own and held + n + 1 > shard_ids:
+                        yield shard()
+                        doc_ids, sizes, own, held, number = [], [], [], 0, number + 1
+                    doc_ids.append(doc_id)
+                    sizes.append(n + 1)
+                    own += (ids[at : at + n], last)
+                    at, held = at + n, held + n + 1
         if own:
             yield shard()
 

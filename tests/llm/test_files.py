@@ -122,8 +122,8 @@ TEXTS = [
 
 def random_texts(n: int) -> list[str]:
     rnd = random.Random(9)
-    letters = "abcXYZ 0189 '.,!\n\t  éüΩж漢🙂\x1c\x85\xa0"
-    return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(n)]
+    letters = ["abcXYZ 0189 '.,!\n\t  éüΩж漢🙂\x1c\x85\xa0", "ab 's.é\n ", "ab  c"]
+    return ["".join(rnd.choice(letters[i % 3]) for _ in range(rnd.randrange(60))) for i in range(n)]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -133,8 +133,13 @@ def test_pieces_give_the_ids_of_the_library(name, monkeypatch):
     for _ in range(2):
         for text in texts:
             assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        expected = [library.encode(text, add_special_tokens=False).ids for text in texts]
+        ids, sizes = own.encode_all(texts)
+        assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+        assert own.encode_all([])[1].tolist() == [] == own.encode_all([""])[0].tolist()
         monkeypatch.setattr("tagweave.llm.byte_bpe.PART", 20)
         monkeypatch.setattr("tagweave.llm.byte_bpe.REMEMBERED", 50)
+        monkeypatch.setattr("tagweave.llm.byte_bpe._CALL", 7)
     long = " ".join(texts)
     assert own.encode(long).tolist() == library.encode(long, add_special_tokens=False).ids
 
