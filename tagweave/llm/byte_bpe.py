@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that all versions of Unicode put in the same classes; a text with others is encoded as one word.
 _OTHER = re.compile("[^\x00-ԧ]")
@@ -20,7 +22,7 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Where a text with other characters can be cut.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 #: Characters of a part of such a text, and words that are remembered.
-PART, REMEMBERED = 1 << 16, 500_000
+PART, REMEMBERED = 1 << 16, 300_000
 #: Words encoded in one call.
 _CALL = 2048
 
@@ -29,21 +31,6 @@ _CALL = 2048
 _BLANK = "Ġ"
 
 
-class _Words(dict):
-    """Numbers of words; a word that is met for the first time gets the next one and is noted."""
-
-    def __init__(self, words: list[str], prefix: str, noted: list[int] | None = None) -> None:
-        super().__init__()
-        self._words, self._prefix, self._noted = words, prefix, noted
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self._words)
-        self._words.append(self._prefix + word)
-        if self._noted is not None:
-            self._noted.append(number)
-        return number
-
-
 class ByteBpe:
     """Encodes texts exactly as the library does with ``add_special_tokens=False``."""
 
@@ -70,15 +57,17 @@ class ByteBpe:
         self._opens = np.zeros(self.size, dtype=bool)
         for piece, number in self._library.get_vocab().items():
             self._opens[number] = piece.startswith(_BLANK)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        # All words by number; the ids of the first ``_known`` are in the table.
+    def forget(self) -> None:
+        """Drops the remembered words."""
+        # All words by number, and the numbers of words at the start of a text, inside, and at its end; the ids of the first ``_known`` are in the table.
         self._words: list[str] = []
-        # Words between two others start with their only blank and end visibly: their pieces stay the same when such words are joined.
+        self._first: dict[str, int] = {}
+        self._inner: dict[str, int] = {}
+        self._last: dict[str, int] = {}
+        # Inner words start with their only blank and end visibly: their pieces stay the same when such words are joined.
         self._joining: list[int] = []
-        self._first, self._last = _Words(self._words, ""), _Words(self._words, " ")
-        self._inner = _Words(self._words, " ", self._joining)
         self._known = 0
         self._ids, self._used = np.zeros(1 << 16, dtype=np.uint32), 0
         self._starts, self._sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -89,44 +78,75 @@ class ByteBpe:
     def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and their number in each text."""
         if len(self._words) > REMEMBERED:
-            self._forget()
-        numbers: list[int] = []
-        ends = []
-        for text in texts:
-            if self._by_word:
-                self._split(text, numbers)
-            else:
-                self._whole(text, numbers)
-            ends.append(len(numbers))
+            self.forget()
+        simple = [i for i, text in enumerate(texts) if self._by_word and self._is_simple(text)]
+        numbers: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+        self._split_simple([texts[i] for i in simple], simple, numbers)
+        for i in sorted(set(range(len(texts))).difference(simple)):
+            numbers[i] = np.array(self._split(texts[i]) if self._by_word else [self._whole(texts[i])], dtype=np.int64)
         self._fill()
-        of_word = np.array(numbers, dtype=np.int64)
+        of_word = np.concatenate([np.zeros(0, dtype=np.int64), *numbers])
         sizes = self._sizes[of_word]
         after = np.cumsum(sizes)
         total = int(after[-1]) if len(after) else 0
         places = np.repeat(self._starts[of_word] - after + sizes, sizes)
         places += np.arange(total)
-        bounds = np.concatenate(([0], after)).astype(np.int64)[[0, *ends]]
+        ends = np.cumsum([len(own) for own in numbers], dtype=np.int64)
+        bounds = np.concatenate(([0], after)).astype(np.int64)[np.concatenate(([0], ends)).astype(np.int64)]
         return self._ids[places], np.diff(bounds)
 
-    def _split(self, text: str, numbers: list[int]) -> None:
-        if not (text.isascii() or not _OTHER.search(text)) or any(special in text for special in self._special):
-            for part in self._parts(text):
-                self._whole(part, numbers)
-            return
-        if not text:
+    def _is_simple(self, text: str) -> bool:
+        """Whether blanks are the only places to split at, since each has visible characters beside it."""
+        return self._is_plain(text) and not _THEN_SPACE.search(text) and not any(pair in text for pair in _SPACE_THEN)
+
+    def _is_plain(self, text: str) -> bool:
+        return (text.isascii() or not _OTHER.search(text)) and not any(special in text for special in self._special)
+
+    def _split_simple(self, texts: list[str], places: list[int], numbers: list[np.ndarray]) -> None:
+        """Splits many texts at blanks, and looks up each distinct inner word once."""
+        if not texts:
             return
-        runs = _THEN_SPACE.search(text) or any(pair in text for pair in _SPACE_THEN)
-        first, *later = _BETWEEN.split(text) if runs else text.split(" ")
-        numbers.append(self._first[first])
-        if not runs:
-            numbers.extend(map(self._inner.__getitem__, later[:-1]))
-            later = later[-1:]
-        numbers.extend(map(self._last.__getitem__, later))
-
-    def _whole(self, text: str, numbers: list[int]) -> None:
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets, flat = words.offsets.to_numpy(), words.flatten()
+        inner = np.ones(len(flat), dtype=bool)
+        inner[offsets[:-1]] = False
+        inner[offsets[1:] - 1] = False
+        found = flat.filter(pa.array(inner)).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        fresh = [word for word in distinct if word not in self._inner]
+        start = len(self._words)
+        self._inner.update(zip(fresh, range(start, start + len(fresh))))
+        self._words += [" " + word for word in fresh]
+        self._joining += range(start, start + len(fresh))
+        of_distinct = np.array([self._inner[word] for word in distinct], dtype=np.int64)
+        of_word = np.zeros(len(flat), dtype=np.int64)
+        of_word[inner] = of_distinct[found.indices.to_numpy()]
+        bounds = offsets.tolist()
+        ends = pa.array(np.stack((offsets[:-1], offsets[1:] - 1), axis=1).ravel())
+        edges = flat.take(ends).to_pylist()
+        for i, place in enumerate(places):
+            of_word[bounds[i]] = self._number(self._first, edges[2 * i], "")
+            if bounds[i + 1] - bounds[i] > 1:
+                of_word[bounds[i + 1] - 1] = self._number(self._last, edges[2 * i + 1], " ")
+            numbers[place] = of_word[bounds[i] : bounds[i + 1]]
+
+    def _number(self, table: dict[str, int], word: str, blank: str) -> int:
+        number = table.get(word)
+        if number is None:
+            table[word] = number = len(self._words)
+            self._words.append(blank + word)
+        return number
+
+    def _split(self, text: str) -> list[int]:
+        if not self._is_plain(text):
+            return [self._whole(part) for part in self._parts(text)]
+        first, *later = _BETWEEN.split(text)
+        return [self._number(self._first, first, ""), *(self._number(self._last, word, " ") for word in later)]
+
+    def _whole(self, text: str) -> int:
         """The text as one word that is not remembered."""
-        numbers.append(len(self._words))
         self._words.append(text)
+        return len(self._words) - 1
 
     @staticmethod
     def _parts(text: str):

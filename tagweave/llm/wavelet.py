@@ -216,6 +216,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, sh
                     sizes.append(n + 1)
                     own += (ids[at : at + n], last)
                     at, held = at + n, held + n + 1
+        encoder.forget()
         if own:
             yield shard()
 
