@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 _OTHER = re.compile("[^\x00-ԧ]")
 #: A byte-level file splits a text before a blank between two visible characters, whatever stands further away. Where blanks
 #: have other white space beside them only those between visible characters are looked for.
-_THEN_SPACE = re.compile(r" \s")
-_SPACE_THEN = tuple(f"{c} " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
+_RUNS = ("  ", "\n ", " \n")
+_RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+#: Ends of words that are pieces of their own after a letter or a digit.
+_ENDS = ".,;:!?"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Where a text with other characters can be cut.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
@@ -66,6 +68,9 @@ class ByteBpe:
         self._first: dict[str, int] = {}
         self._inner: dict[str, int] = {}
         self._last: dict[str, int] = {}
+        # Ends of inner words, and words that are the ids of two others: (number, first, second).
+        self._ends: dict[str, int] = {}
+        self._pairs: list[tuple[int, int, int]] = []
         # Inner words start with their only blank and end visibly: their pieces stay the same when such words are joined.
         self._joining: list[int] = []
         self._known = 0
@@ -97,7 +102,11 @@ class ByteBpe:
 
     def _is_simple(self, text: str) -> bool:
         """Whether blanks are the only places to split at, since each has visible characters beside it."""
-        return self._is_plain(text) and not _THEN_SPACE.search(text) and not any(pair in text for pair in _SPACE_THEN)
+        return (
+            not any(run in text for run in _RUNS)
+            and self._is_plain(text)
+            and not any(c in text and (f"{c} " in text or f" {c}" in text) for c in _RARE)
+        )
 
     def _is_plain(self, text: str) -> bool:
         return (text.isascii() or not _OTHER.search(text)) and not any(special in text for special in self._special)
@@ -112,13 +121,13 @@ class ByteBpe:
         inner[offsets[:-1]] = False
         inner[offsets[1:] - 1] = False
         found = flat.filter(pa.array(inner)).dictionary_encode()
-        distinct = found.dictionary.to_pylist()
-        fresh = [word for word in distinct if word not in self._inner]
-        start = len(self._words)
-        self._inner.update(zip(fresh, range(start, start + len(fresh))))
-        self._words += [" " + word for word in fresh]
-        self._joining += range(start, start + len(fresh))
-        of_distinct = np.array([self._inner[word] for word in distinct], dtype=np.int64)
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._inner
+        of_distinct = [known.get(word, -1) for word in distinct]
+        for i, number in enumerate(of_distinct):
+            if number < 0:
+                of_distinct[i] = self._inner_number(distinct[i])
+        of_distinct = np.array(of_distinct, dtype=np.int64)
         of_word = np.zeros(len(flat), dtype=np.int64)
         of_word[inner] = of_distinct[found.indices.to_numpy()]
         bounds = offsets.tolist()
@@ -130,6 +139,22 @@ class ByteBpe:
                 of_word[bounds[i + 1] - 1] = self._number(self._last, edges[2 * i + 1], " ")
             numbers[place] = of_word[bounds[i] : bounds[i + 1]]
 
+    def _inner_number(self, word: str) -> int:
+        """The number of a new inner word; what it shares with others before its end is noted as a word by itself."""
+        base = word.rstrip(_ENDS)
+        if base and len(base) < len(word) and base[-1].isalnum():
+            first = self._inner.get(base)
+            if first is None:
+                first = self._inner_number(base)
+            self._inner[word] = number = len(self._words)
+            self._words.append("")
+            self._pairs.append((number, first, self._number(self._ends, word[len(base) :], "")))
+            return number
+        self._inner[word] = number = len(self._words)
+        self._words.append(" " + word)
+        self._joining.append(number)
+        return number
+
     def _number(self, table: dict[str, int], word: str, blank: str) -> int:
         number = table.get(word)
         if number is None:
@@ -173,7 +198,9 @@ class ByteBpe:
             sizes[own] = np.diff(np.flatnonzero(self._opens[ids]), append=len(ids))
             parts.append(ids)
             order += own
-        alone = sorted(set(range(len(fresh))).difference(together))
+        pairs = np.array(self._pairs, dtype=np.int64).reshape(-1, 3)
+        self._pairs.clear()
+        alone = sorted(set(range(len(fresh))).difference(together, (pairs[:, 0] - self._known).tolist()))
         for i in alone:
             ids = self._encoded(fresh[i])
             sizes[i] = len(ids)
@@ -181,15 +208,32 @@ class ByteBpe:
             order.append(i)
         # The table is in the order of encoding; starts say where each word is.
         flat = np.concatenate(parts)
-        starts = np.empty(len(fresh), dtype=np.int64)
+        starts = np.zeros(len(fresh), dtype=np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order] + self._used
-        if self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate((self._ids[: self._used], np.zeros(self._used + 2 * len(flat), dtype=np.uint32)))
+        self._reserve(len(flat))
         self._ids[self._used : self._used + len(flat)] = flat
         self._starts = np.concatenate((self._starts, starts))
         self._sizes = np.concatenate((self._sizes, sizes))
         self._used += len(flat)
         self._known = len(self._words)
+        if len(pairs):
+            self._put_together(pairs)
+
+    def _put_together(self, pairs: np.ndarray) -> None:
+        """Writes the ids of words that are two others one after the other."""
+        number, halves = pairs[:, 0], pairs[:, 1:].ravel()
+        sizes = self._sizes[halves]
+        after = np.cumsum(sizes)
+        places = np.repeat(self._starts[halves] - after + sizes, sizes) + np.arange(int(after[-1]))
+        self._reserve(len(places))
+        self._ids[self._used : self._used + len(places)] = self._ids[places]
+        self._sizes[number] = sizes.reshape(-1, 2).sum(axis=1)
+        self._starts[number] = self._used + after[1::2] - self._sizes[number]
+        self._used += len(places)
+
+    def _reserve(self, more: int) -> None:
+        if self._used + more > len(self._ids):
+            self._ids = np.concatenate((self._ids[: self._used], np.zeros(self._used + 2 * more, dtype=np.uint32)))
 
     def _encoded(self, text: str) -> list[int]:
         return self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids
