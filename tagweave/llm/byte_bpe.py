@@ -1,4 +1,4 @@
-"""Ids of texts by a vocabulary file of the tokenizers library, each distinct word encoded once per task."""
+"""Ids of texts by a vocabulary file of the tokenizers library, each distinct word encoded once while it is remembered."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ _ENDS = ".,;:!?"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Where a text with other characters can be cut.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
-#: Characters of a part of such a text, and words that are remembered.
-PART, REMEMBERED = 1 << 16, 300_000
+#: Characters of a part of such a text, and words that are remembered, some 250 bytes each; a full table starts anew.
+PART, REMEMBERED = 1 << 16, 700_000
 #: Words encoded in one call.
 _CALL = 2048
 
@@ -215,6 +215,8 @@ class ByteBpe:
         self._starts = np.concatenate((self._starts, starts))
         self._sizes = np.concatenate((self._sizes, sizes))
         self._used += len(flat)
+        # Only the numbers count from here on.
+        self._words[self._known :] = [""] * len(fresh)
         self._known = len(self._words)
         if len(pairs):
             self._put_together(pairs)

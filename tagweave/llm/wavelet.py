@@ -161,6 +161,7 @@ _encoders: dict[str, ByteBpe] = {}
 
 
 def _encoder(path: str) -> ByteBpe:
+    """The encoder of a file, kept with its words while a Python worker lives."""
     if path not in _encoders:
         _encoders[path] = ByteBpe(path)
     return _encoders[path]
@@ -216,7 +217,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, sh
                     sizes.append(n + 1)
                     own += (ids[at : at + n], last)
                     at, held = at + n, held + n + 1
-        encoder.forget()
         if own:
             yield shard()
 
