@@ -24,7 +24,7 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Where a text with other characters can be cut.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 #: Characters of a part of such a text, and words that are remembered, some 250 bytes each; a full table starts anew.
-PART, REMEMBERED = 1 << 16, 700_000
+PART, REMEMBERED = 1 << 16, 1_000_000
 #: Words encoded in one call.
 _CALL = 2048
 
