@@ -43,6 +43,7 @@ PATTERNS = {
     "p_isolated_region": Pattern.parse("1:40 2:50 3:60 4:50", "1>2"),
     "p_no_match": Pattern.parse("1:60 2:50", "1>2"),
     "p_region_only": Pattern.parse("7:60"),
+    "p_three_regions": Pattern.parse("1:50 2:60 3:50 4:60 5:50 6:60", "1>2 3>4 5>6"),
 }
 EVENT_PATH = Pattern.parse("1:5 2:1 3:3", "1>2 2>3")
 
@@ -55,12 +56,13 @@ _graphs: dict[tuple[str, str, str], tw.TaggedGraph] = {}
 def _graph(spark: SparkSession, sf_dir: str, kind: str = "orders") -> tw.TaggedGraph:
     """The tagged graph, built once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _graphs and kind in ("bucketed", "indexed"):
+        plain = _graph(spark, sf_dir)
+        _graphs[key] = plain.bucketed() if kind == "bucketed" else plain.indexed()
     if key not in _graphs:
         source = tw.event_graph if kind == "events" else tw.graph_from_tables
         split_at = HUB_SPLIT if kind == "hubs" else SPLIT_ROWS
         _graphs[key] = tw.build_graph(*source(spark, sf_dir), split_at=split_at)
-        if kind == "cached":
-            _graphs[key] = _graphs[key].persist()
     return _graphs[key]
 
 
@@ -73,8 +75,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return match(_graph(spark, "/root/testdata/sf0.001"), PATTERNS["p_triangle"])
 
 
-def _match(name: str, kind: str = "orders") -> Query:
-    return lambda spark, sf_dir: match(_graph(spark, sf_dir, kind), PATTERNS[name])
+def _match(name: str, kind: str = "orders", strategy: str = "auto") -> Query:
+    return lambda spark, sf_dir: match(_graph(spark, sf_dir, kind), PATTERNS[name], strategy=strategy)
+
+
+def _cached_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches on cached edges. The rows are stored, so that the cache can be given back."""
+    graph, path = _graph(spark, sf_dir).persist(), new_folder(spark, "matches-cached")
+    tw.write_matches(match(graph, PATTERNS["p_cycle_local_supplier"]), path, "parquet")
+    graph.unpersist()
+    return spark.read.parquet(path)
 
 
 def _count(name: str) -> Query:
@@ -152,6 +162,11 @@ def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vertices_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir, "indexed")
+    return slices.vertices_by_tag(graph.tagged, 21, graph.sources)
+
+
 def _shared_part_stars(spark: SparkSession, sf_dir: str):
     return _graph(spark, sf_dir), PATTERNS["p_shared_part"].stars
 
@@ -283,7 +298,9 @@ def queries() -> dict[str, Query]:
         "match_summary": lambda spark, sf_dir: tw.match_summary(
             _graph(spark, sf_dir), PATTERNS["p_shared_part"]
         ),
-        "vertices_by_tag": lambda spark, sf_dir: slices.vertices_by_tag(_graph(spark, sf_dir).tagged, 21),
+        "match_summary_path": lambda spark, sf_dir: tw.match_summary(_graph(spark, sf_dir), PATTERNS["p_path4"]),
+        "vertices_by_tag": _vertices_by_tag,
+        "source_degrees": lambda spark, sf_dir: _graph(spark, sf_dir, "indexed").sources,
         "edges_for": lambda spark, sf_dir: slices.edges_for(_graph(spark, sf_dir).tagged, 21, 111),
         "tag_edges": _tag_edges,
         "sorted_adjacency": _sorted_adjacency,
@@ -295,6 +312,7 @@ def queries() -> dict[str, Query]:
         "star_matches": _star_matches,
         "star_match_counts": _star_match_counts,
         "stars": _stars,
+        "star_members": lambda spark, sf_dir: stars.star_members(_edges(_graph(spark, sf_dir))),
         "star_child_tags": _star_child_tags,
         "star_selectivity": _star_selectivity,
         "first_star_same_tag": _first_star("p_star_same_tag"),
@@ -310,7 +328,12 @@ def queries() -> dict[str, Query]:
         "match_checkpointed": lambda spark, sf_dir: match(
             _graph(spark, sf_dir), PATTERNS["p_path4"], checkpoint_every=1
         ),
-        "match_cached_graph": _match("p_cycle_local_supplier", "cached"),
+        "match_cached_graph": _cached_match,
+        "match_bucketed_graph": _match("p_star_mixed", "bucketed"),
+        "match_reduced_path": _match("p_path4", strategy="reduce"),
+        "match_reduced_shared_part": _match("p_shared_part", strategy="reduce"),
+        "match_intersect_triangle": _match("p_triangle", strategy="intersect"),
+        "match_intersect_cycle": _match("p_cycle_local_supplier", strategy="intersect"),
         "match_stored_graph": _stored_graph,
         "match_event_path": lambda spark, sf_dir: match(_graph(spark, sf_dir, "events"), EVENT_PATH),
         "job": _job,
@@ -324,6 +347,7 @@ def queries() -> dict[str, Query]:
         "attach_root_hub": lambda spark, sf_dir: _attach_root(spark, sf_dir, "hubs"),
         "group_permutations_hub": lambda spark, sf_dir: _group_permutations(spark, sf_dir, HUB_SPLIT),
         "match_hub_shared_part": _match("p_shared_part", "hubs"),
+        "match_hub_intersect": _match("p_triangle", "hubs", "intersect"),
     }
     for name in PATTERNS:
         result[name.replace("p_", "match_", 1)] = _match(name)
@@ -384,6 +408,9 @@ _MATCHES = {
         from e40_50 a, (select id from gv where tag = 60) r, (select id from gv where tag = 50) n where n.id <> a.dst""",
     "p_no_match": "select src v1, dst v2 from e60_50",
     "p_region_only": "select id v7 from gv where tag = 60",
+    "p_three_regions": """select a.src v1, a.dst v2, b.src v3, b.dst v4, c.src v5, c.dst v6
+        from e50_60 a join e50_60 b on a.src <> b.src and a.dst <> b.dst
+             join e50_60 c on a.src <> c.src and a.dst <> c.dst and b.src <> c.src and b.dst <> c.dst""",
 }
 
 # Parts of tags 111 and 112 of the orders.
@@ -419,6 +446,19 @@ def _over_graph(sql: str, tables: str = "") -> str:
     return f"{_GRAPH}{tables}{slices_used} {sql}"
 
 
+# Stars of p_path4, and the order in which they are joined for each star to start with.
+_PATH_STARS = """, star as (
+  select cast(0 as int) star_id, cast(2 as bigint) root, cast(50 as int) root_tag, cast(1 as int) out_degree, '1' children,
+         (select count(distinct src) from e50_60) n
+  union all select 1, 3, 12, 2, '2,4', (select count(*) from (select distinct src from e12_50 intersect select distinct src from e12_21))
+  union all select 2, 4, 21, 1, '5', (select count(distinct src) from e21_111)
+), weighted as (
+  select *, cast(n as double) / (out_degree * out_degree) weight from star
+), started as (
+  select arg_min(star_id, (weight, star_id)) first from weighted
+)
+"""
+
 _LINES = "select v1 || ',' || v2 || ',' || v3 || ',' || v4 as value from ({})"
 
 
@@ -440,6 +480,13 @@ def oracle_sql() -> dict[str, str]:
             cast((select count(*) from ({shared})) as bigint) result_count from weighted""",
             _SHARED_PART_STARS,
         ),
+        "match_summary_path": _over_graph(
+            _PATH_STARS
+            + f"""select star_id, root, root_tag, children, n, weight,
+                cast(case first when 0 then star_id when 1 then [1, 0, 2][star_id + 1] else 2 - star_id end as int) join_position,
+                cast((select count(*) from ({_MATCHES["p_path4"]})) as bigint) result_count from weighted, started""",
+        ),
+        "source_degrees": _GRAPH + "select src id, src_tag tag, count(*) out_degree from t group by src, src_tag",
         "vertices_by_tag": _GRAPH + "select distinct src from t where src_tag = 21",
         "edges_for": _GRAPH + "select src, dst from t where src_tag = 21 and dst_tag = 111",
         "tag_edges": _GRAPH + "select src, dst, src_tag, dst_tag from t",
@@ -463,6 +510,8 @@ def oracle_sql() -> dict[str, str]:
                    cast(dst - dst % 65536 as bigint) block,
                    string_agg(dst || ':' || dst_tag, ',' order by dst) children
             from t group by 1, 2, 3""",
+        "star_members": _GRAPH
+        + """select src root, src_tag root_tag, row_number() over (partition by src order by dst) - 1 pos, dst id, dst_tag tag from t""",
         "star_child_tags": _GRAPH + "select src star_id, dst_tag, count(*) k from t group by src, dst_tag",
         "star_selectivity": with_stars
         + """select star_id, out_degree, n, weight,
@@ -490,6 +539,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "match_checkpointed": _over_graph(_MATCHES["p_path4"]),
         "match_cached_graph": _over_graph(_MATCHES["p_cycle_local_supplier"]),
+        "match_bucketed_graph": _over_graph(_MATCHES["p_star_mixed"]),
+        "match_reduced_path": _over_graph(_MATCHES["p_path4"]),
+        "match_reduced_shared_part": _over_graph(shared),
+        "match_intersect_triangle": _over_graph(triangle),
+        "match_intersect_cycle": _over_graph(_MATCHES["p_cycle_local_supplier"]),
+        "match_hub_intersect": _over_graph(triangle),
         "match_stored_graph": _over_graph(triangle),
         "match_event_path": _EVENTS
         + """select a.id v1, b.id v2, c.id v3 from ev a join ev b on b.id = a.next_id join ev c on c.id = b.next_id

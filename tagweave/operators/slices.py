@@ -32,8 +32,13 @@ def has_tag_pair(pairs: Iterable[Pair]) -> str:
     )
 
 
-def vertices_by_tag(tagged: DataFrame, tag: int) -> DataFrame:
-    """Distinct source vertices with a tag: (src)."""
+def vertices_by_tag(tagged: DataFrame, tag: int, sources: DataFrame | None = None) -> DataFrame:
+    """Distinct source vertices with a tag: (src).
+
+    From ``sources``, the stored table of an indexed graph, where there is one: a filtered scan. Otherwise from all edges.
+    """
+    if sources is not None:
+        return sources.where(f"tag = {tag}").selectExpr("id AS src")
     return tagged.where(f"src_tag = {tag}").select("src").distinct()
 
 

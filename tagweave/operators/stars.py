@@ -43,6 +43,26 @@ def stars(tagged: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def star_members(tagged: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every star in long form: (root, root_tag, pos, id, tag), a row per child, ``pos`` its place in the star's id order from 0.
+
+    Places are counted inside ranges of ``block`` ids and added to the sizes of the ranges before, so a hub is ranked in parts.
+    """
+    ranged = tagged.select(
+        F.col("src").alias("root"),
+        F.col("src_tag").alias("root_tag"),
+        F.col("dst").alias("id"),
+        F.col("dst_tag").alias("tag"),
+        (F.col("dst") - F.pmod("dst", F.lit(block))).cast("long").alias("block"),
+    )
+    before = Window.partitionBy("root").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("root", "block").agg(F.count("*").alias("n"))
+    starts = starts.select("root", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("root", "block").orderBy("id")) - 1
+    ranked = ranged.withColumn("place", place).join(starts, ["root", "block"])
+    return ranked.select("root", "root_tag", (F.col("start") + F.col("place")).alias("pos"), "id", "tag")
+
+
 def star_table(spark: SparkSession, pattern_stars: Sequence[Star]) -> DataFrame:
     """The stars of a pattern: (star_id, root, root_tag, out_degree, children)."""
     return spark.createDataFrame(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tagweave.functions.expressions import fail
 from tagweave.operators.hubs import Hubs
 from tagweave.operators.skew import SPLIT_ROWS, few_or_stored, hot_keys, skew_join, splits_from
 from tagweave.operators.slices import tag_bucket
+from tagweave.session import leave_note, read_note
 
 
 def conflicting_tags(vertices: DataFrame) -> DataFrame:
@@ -159,3 +162,56 @@ def load_tagged(spark: SparkSession, path: str) -> DataFrame:
     """Stored tagged edges: (src, dst, src_tag, dst_tag, bucket)."""
     schema = "src long, dst long, src_tag int, dst_tag int, bucket int"
     return spark.read.schema(schema).parquet(path)
+
+
+def table_name(path: str) -> str:
+    """The catalog's name of a bucketed table: it follows from its folder, so every session finds the same table."""
+    return f"tagweave_{hashlib.sha256(path.rstrip('/').encode()).hexdigest()[:32]}"
+
+
+def store_by_source(tagged: DataFrame, path: str, buckets: int) -> None:
+    """Write tagged edges in folders by tag pair, bucketed by source and sorted by (src, dst_tag, dst) inside.
+
+    Rows are dealt to the buckets first, so a folder has one file for each bucket. Spark joins and aggregates such slices by source without an exchange.
+    """
+    columns = ("src", "dst", "src_tag", "dst_tag")
+    (
+        tagged.select(*columns, F.expr(tag_bucket("src_tag", "dst_tag")).alias("bucket"))
+        .repartition(buckets, "src")
+        .write.mode("error")
+        .partitionBy("bucket")
+        .bucketBy(buckets, "src")
+        .sortBy("src", "dst_tag", "dst")
+        .option("path", path)
+        .saveAsTable(table_name(path))
+    )
+    leave_note(tagged.sparkSession, f"{path}/_buckets", str(buckets))
+
+
+def load_by_source(spark: SparkSession, path: str) -> DataFrame:
+    """Edges written by ``store_by_source``, in this session or another."""
+    name = table_name(path)
+    if not spark.catalog.tableExists(name):
+        spark.sql(
+            f"CREATE TABLE {name} (src BIGINT, dst BIGINT, src_tag INT, dst_tag INT, bucket INT) USING parquet "
+            f"PARTITIONED BY (bucket) CLUSTERED BY (src) SORTED BY (src, dst_tag, dst) INTO {int(read_note(spark, f'{path}/_buckets'))} BUCKETS "
+            f"LOCATION '{path}'"
+        )
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
+
+def source_degrees(tagged: DataFrame) -> DataFrame:
+    """Vertices with out-edges: (id, tag, out_degree)."""
+    counted = tagged.groupBy(F.col("src").alias("id"), F.col("src_tag").alias("tag"))
+    return counted.agg(F.count("*").alias("out_degree"))
+
+
+def store_sources(tagged: DataFrame, path: str) -> None:
+    """Write ``source_degrees`` in ranges of (tag, id): the vertices of one tag are few row groups, found by their smallest and largest tag."""
+    ranges = source_degrees(tagged).repartitionByRange("tag", "id").sortWithinPartitions("tag", "id")
+    ranges.write.mode("error").parquet(path)
+
+
+def load_sources(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, tag int, out_degree long").parquet(path)

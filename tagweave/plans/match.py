@@ -24,12 +24,11 @@ from tagweave.operators.joins import (
 )
 from tagweave.operators.skew import BROADCAST_ROWS, SPREAD_ROWS, kept, rows_up_to, skew_join, spread
 from tagweave.operators.slices import edges_for, query_slice
-from tagweave.operators.stars import star_roots
+from tagweave.operators.stars import star_roots, star_tag_pairs
 from tagweave.pattern import Pattern, Star, column
 from tagweave.plans.counting import embedding_count, times, wide
 from tagweave.plans.order import PatternStats, pattern_stats, star_order
 from tagweave.plans.reduce import is_tree, reduced_slices, slices_from
-from tagweave.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
 STRATEGIES = ("auto", "stars", "reduce", "intersect")
@@ -40,7 +39,7 @@ def match(
 ) -> DataFrame:
     """Every embedding of the pattern as one row, columns in pattern vertex order.
 
-    Lineage is cut by a checkpoint after each ``checkpoint_every`` joined stars (or vertices); 0 turns that off. ``strategy`` is how
+    Lineage is cut by a stored table after each ``checkpoint_every`` joined stars (or vertices); 0 turns that off. ``strategy`` is how
     connected parts are matched, with equal rows: ``stars`` joins star by star; ``reduce`` first reduces
     the slices of a tree pattern fully; ``intersect`` binds vertex by vertex from all bound neighbours at once; ``auto`` decides
     by counted sizes, see ``chosen_strategy``.
@@ -81,8 +80,7 @@ def component_matches(
     for done, step in enumerate(steps, start=1):
         matches = step(matches)
         if checkpoint_every and done % checkpoint_every == 0 and done < len(steps):
-            ensure_checkpoint_dir(graph.spark)
-            matches = matches.checkpoint()
+            matches, _ = kept(matches, "step-matches")
     return matches
 
 
@@ -94,7 +92,8 @@ def match_steps(graph: TaggedGraph, pattern: Pattern, strategy: str = "auto") ->
     if strategy == "reduce" and is_tree(pattern):
         return _reduced_steps(graph, pattern)
     # A single edge needs no order and has nothing to prune.
-    stats = pattern_stats(graph.tagged, pattern) if len(pattern.edges) > 1 else None
+    several = len(pattern.edges) > 1
+    stats = pattern_stats(graph.edges_of(map(pattern.tag_pair, pattern.edges)), pattern) if several else None
     if strategy == "auto":
         strategy = chosen_strategy(pattern, stats)
         if strategy == "reduce":
@@ -163,10 +162,10 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
     join on the root does the same by itself.
     """
     if stats is None:
-        return lambda edge: edge_slice(graph.tagged, pattern, edge, graph.hubs)
+        return lambda edge: edge_slice(graph.edges_of([pattern.tag_pair(edge)]), pattern, edge, graph.hubs)
     selective = {s.root: s for s in pattern.stars if stats.selective(s)}
     roots = {
-        vertex: star_roots(graph.tagged, star).selectExpr(f"src AS {quoted(column(vertex))}")
+        vertex: star_roots(graph.edges_of(star_tag_pairs([star])), star).selectExpr(f"src AS {quoted(column(vertex))}")
         for vertex, star in selective.items()
     }
 
@@ -185,7 +184,7 @@ def pruned_slices(graph: TaggedGraph, pattern: Pattern, stats: PatternStats | No
     def slice_of(edge: Edge) -> EdgeSlice:
         source, target = edge
         size = stats.edges[pattern.tag_pair(edge)]
-        rows = query_slice(graph.tagged, pattern, edge)
+        rows = query_slice(graph.edges_of([pattern.tag_pair(edge)]), pattern, edge)
         if target != source:
             rows = restrict(rows, target)
         # A broadcast slice meets sources that are pruned already. A hub's edges are split.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +31,12 @@ def create_session(app_name: str = "tagweave", master: str | None = None, **conf
 
 
 _fallbacks: dict[str, str] = {}
+#: Folders that a job has named for everything it stores while it runs.
+_scratch: dict[str, str] = {}
+
+
+def configured_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
     Where there is neither: a temporary one, on a local master only, since executors of a cluster could not read it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    if application in _scratch:
+        return _scratch[application]
+    configured = configured_folder(spark)
     if configured:
         return configured.rstrip("/")
-    application = spark.sparkContext.applicationId
     if application not in _fallbacks:
         given = spark.sparkContext.getCheckpointDir()
         if given:
@@ -55,12 +65,58 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table, on whatever file system it is."""
+@contextmanager
+def scratch(spark: SparkSession, path: str) -> Iterator[None]:
+    """All tables that this application stores go below ``path`` while the context is open."""
+    application = spark.sparkContext.applicationId
+    _scratch[application] = path
+    try:
+        yield
+    finally:
+        del _scratch[application]
+
+
+def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+def file_marks(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and time of change of each file of an input, a file or a folder; a changed input has other marks."""
+    files, place = _file_system(spark, path)
+    return sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.globStatus(place) or []) + (
+        sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.listStatus(place)) if files.exists(place) else []
+    )
+
+
+def leave_note(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file as a whole: under another name first, which is then changed."""
+    files, place = _file_system(spark, path)
+    _, draft = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.rename(draft, place)
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    files, place = _file_system(spark, path)
+    if not files.exists(place):
+        return None
+    size = files.getFileStatus(place).getLen()
+    source = files.open(place)
+    try:
+        return bytes(source.readNBytes(size)).decode()
+    finally:
+        source.close()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table, on whatever file system it is."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)

@@ -6,7 +6,7 @@ line that does not parse stops the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.expressions import graph_token, match_line
@@ -63,17 +63,20 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode("error").text(path)
 
 
-def write_matches(matches: DataFrame, path: str, file_format: str = "text") -> None:
-    """One comma separated line per match, or the same columns as Parquet.
+def write_matches(matches: DataFrame, path: str, file_format: str = "text") -> int:
+    """One comma separated line per match, or the same columns as Parquet; returns the number of matches.
 
-    An existing path is refused, so a finished result is never overwritten.
+    The number is observed while the rows are written, nothing is read again. An existing path is refused, so a finished result is never overwritten.
     """
+    seen = Observation("matches")
+    matches = matches.observe(seen, F.count(F.lit(1)).alias("rows"))
     if file_format == "text":
         matches.select(match_line(matches.columns).alias("value")).write.mode("error").text(path)
     elif file_format == "parquet":
         matches.write.mode("error").parquet(path)
     else:
         raise ValueError(f"unknown match format: {file_format}")
+    return seen.get["rows"]
 
 
 def read_match_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Shapes of physical plans, with every join shuffled as for large slices."""
 
+from collections import Counter
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as registered
-from tagweave import match
-from tagweave.operators import stars
+from tagweave import load_graph, match
+from tagweave.operators import joins, slices, stars
 from tagweave.operators.slices import edges_for
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -61,3 +63,52 @@ def test_tagging_shuffles_edges_twice(spark, graph):
     text = plan(attach_tags(graph.vertices, edges))
     assert text.count("Exchange hashpartitioning") == 4
     assert text.count("Exchange") == 4
+
+
+def test_a_bucketed_graph_joins_by_source_without_exchange(spark, graph):
+    bucketed, pattern = registered._graph(spark, SF_DIR, "bucketed"), registered.PATTERNS["p_star_mixed"]
+    of = lambda edge: joins.edge_slice(bucketed.edges_of([pattern.tag_pair(edge)]), pattern, edge)
+    text = plan(joins.first_star(pattern, pattern.stars[0], of))
+    assert "Exchange" not in text and text.count("Bucketed: true") == 3
+    whole = plan(match(bucketed, pattern))
+    assert "Exchange hashpartitioning" not in whole
+    assert match(bucketed, pattern).count() == match(graph, pattern).count() > 0
+
+
+def test_a_stored_graph_is_loaded_with_its_buckets_and_index(spark, tmp_path):
+    vertices, edges = registered.tw.graph_from_tables(spark, SF_DIR)
+    path = str(tmp_path / "graph")
+    built = registered.tw.build_graph(vertices, edges, store=path, buckets=5, index=True)
+    expected = built.tagged.select("src", "dst").exceptAll(built.by_source.select("src", "dst")).count()
+    assert expected == 0 and built.tagged.count() == built.by_source.count()
+    # As in another session, whose catalog does not know the table.
+    from tagweave.operators.tagging import table_name
+
+    spark.sql(f"DROP TABLE {table_name(path + '/by-source')}")
+    loaded, pattern = load_graph(spark, path), registered.PATTERNS["p_triangle"]
+    assert loaded.by_source is not None and loaded.sources is not None
+    assert match(loaded, pattern).count() == match(built, pattern).count() > 0
+    assert "Bucketed: true" in plan(loaded.by_source.where("bucket = 3").groupBy("src").count())
+
+
+def test_hubs_are_read_from_files_that_split(spark):
+    graph = registered._graph(spark, SF_DIR, "hubs").bucketed(4)
+    hot = [pair for side, pair in graph.hubs.touched if side == "src"]
+    assert hot and all(graph.edges_of([pair]) is graph.tagged for pair in hot)
+    assert graph.by_source.where(slices.has_tag_pair(hot)).count() == 0
+    assert match(graph, registered.PATTERNS["p_triangle"]).count() == 234
+
+
+def test_vertices_of_a_tag_are_a_filtered_scan(spark, tmp_path, graph):
+    indexed = graph.indexed(str(tmp_path / "sources"))
+    text = plan(slices.vertices_by_tag(indexed.tagged, 21, indexed.sources))
+    assert "Exchange" not in text and "EqualTo(tag,21)" in text
+    # Row groups of other tags are told by their smallest and largest tag.
+    tags = Counter()
+    for file in (tmp_path / "sources").glob("*.parquet"):
+        groups = pq.ParquetFile(file).metadata
+        for i in range(groups.num_row_groups):
+            own = groups.row_group(i).column(1).statistics
+            tags[own.min <= 21 <= own.max] += 1
+    assert tags[True] == 1 or tags[False] > 0
+    assert indexed.sources.where("tag = 21").count() == slices.vertices_by_tag(graph.tagged, 21).count()

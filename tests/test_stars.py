@@ -88,3 +88,9 @@ def test_pattern_stats_in_one_row(graph):
     assert stats.widest == {0: 2.0, 1: 1.0, 2: 1.0}
     assert stats.edges == {(1, 2): 3, (1, 3): 2, (2, 4): 1, (3, 2): 1}
     assert stats.sources == {(1, 2): 2, (1, 3): 2, (2, 4): 1, (3, 2): 1}
+
+
+@pytest.mark.parametrize("block", [1, 2, 65_536])
+def test_members_in_long_form(graph, block):
+    found = rows(stars.star_members(graph.tagged, block).where("root in (1, 2)"))
+    assert found == [(1, 1, 0, 3, 4), (1, 1, 1, 4, 2), (1, 1, 2, 5, 3), (2, 1, 0, 4, 2), (2, 1, 1, 5, 3), (2, 1, 2, 6, 2)]

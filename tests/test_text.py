@@ -1,7 +1,11 @@
+from pathlib import Path
+
 import pytest
 from conftest import rows
 
 import tagweave as tw
+from tagweave import job
+from tagweave.session import remove_folder
 from tagweave.sources import text
 
 
@@ -46,19 +50,72 @@ def test_matches_are_written_as_lines_and_never_overwritten(spark, tmp_path):
         tw.write_matches(df, path + "-x", "xml")
 
 
-def test_job_runs_from_files(spark, lines, tmp_path):
-    from tagweave.job import main, run
-
-    data_v = lines("dv", "1 1\n2 1\n3 4\n4 2\n5 3\n6 2\n")
-    data_e = lines("de", "1 3\n3 1\n1 4\n4 1\n1 5\n5 1\n2 4\n2 5\n5 2\n2 6\n4 3\n4 5\n5 4\n")
-    query_v = lines("qv", "1 1\n2 2\n3 4\n4 3\n")
-    query_e = lines("qe", "1 4\n1 2\n2 3\n4 2\n")
-    output = str(tmp_path / "result")
-    summary = run(spark, data_v, data_e, query_v, query_e, output, str(tmp_path / "work"))
-    assert rows(text.read_match_lines(spark, output)) == [("1,4,3,5",), ("2,4,3,5",)]
-    assert rows(summary) == [
-        (0, 1, 1, "2,4", 2, 0.5, 0, 2),
-        (1, 2, 2, "3", 1, 1.0, 2, 2),
-        (2, 4, 3, "2", 1, 1.0, 1, 2),
+@pytest.fixture
+def golden(lines, tmp_path, monkeypatch):
+    """The arguments of a job with two result rows, and its work folder."""
+    inputs = [
+        lines("dv", "1 1\n2 1\n3 4\n4 2\n5 3\n6 2\n"),
+        lines("de", "1 3\n3 1\n1 4\n4 1\n1 5\n5 1\n2 4\n2 5\n5 2\n2 6\n4 3\n4 5\n5 4\n"),
+        lines("qv", "1 1\n2 2\n3 4\n4 3\n"),
+        lines("qe", "1 4\n1 2\n2 3\n4 2\n"),
     ]
-    assert main(["too", "few"]) == 2
+    work = tmp_path / "work"
+    work.mkdir()
+    monkeypatch.setattr(job, "configured_folder", lambda spark: None)
+    return [*inputs, str(tmp_path / "result"), str(work)], work
+
+
+SUMMARY = [(0, 1, 1, "2,4", 2, 0.5, 0, 2), (1, 2, 2, "3", 1, 1.0, 2, 2), (2, 4, 3, "2", 1, 1.0, 1, 2)]
+
+
+def test_job_runs_from_files(spark, golden):
+    arguments, work = golden
+    metrics = {}
+    summary = job.run(spark, *arguments, metrics=metrics)
+    assert rows(text.read_match_lines(spark, arguments[4])) == [("1,4,3,5",), ("2,4,3,5",)]
+    assert rows(summary) == SUMMARY
+    assert metrics["rows"] == 2 and metrics["tag_seconds"] > 0 and metrics["match_seconds"] > 0
+    assert list(work.iterdir()) == []
+    with pytest.raises(FileExistsError):
+        job.run(spark, *arguments)
+    assert job.main(["too", "few"]) == 2
+
+
+def test_a_failed_job_goes_on_after_tagging(spark, golden, monkeypatch):
+    arguments, work = golden
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(job, "match", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            job.run(spark, *arguments)
+    assert len(list(work.iterdir())) == 1
+    # Half an output of the failed job.
+    text.write_vertices(spark.createDataFrame([(1, 1)], "id long, tag int"), arguments[4])
+    monkeypatch.setattr(job, "build_graph", fail)
+    assert rows(job.run(spark, *arguments)) == SUMMARY
+    assert rows(text.read_match_lines(spark, arguments[4])) == [("1,4,3,5",), ("2,4,3,5",)]
+    assert list(work.iterdir()) == []
+
+
+def test_a_changed_input_is_tagged_anew(spark, golden, monkeypatch):
+    arguments, work = golden
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(job, "match", fail)
+        with pytest.raises(RuntimeError):
+            job.run(spark, *arguments)
+    Path(arguments[1]).write_text("1 4\n1 2\n")
+    remove_folder(spark, arguments[4])
+    assert job.run(spark, *arguments).first()["result_count"] == 0
+
+
+def test_matches_are_counted_while_they_are_written(spark, tmp_path):
+    df = spark.range(7).selectExpr("id AS v1", "id AS v2")
+    assert tw.write_matches(df, str(tmp_path / "a")) == 7
+    assert tw.write_matches(df.where("v1 < 0"), str(tmp_path / "b"), "parquet") == 0
