@@ -101,6 +101,15 @@ def extend(
     return docs.mapInArrow(run, f"{given}, {ddl(fields)}")
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, upper and lower case being one."""
+    taken = {column.lower() for column in docs.columns}
+    name = f"own_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: the lineage ends there. ``options`` are the writer's."""
     path = new_folder(df.sparkSession, name)

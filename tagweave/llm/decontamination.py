@@ -167,8 +167,11 @@ def find_benchmark(
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item occurs, with their columns."""
-    return mark_benchmark(docs, benchmark).where(F.size("items") == 0).select(*docs.columns)
+    """The documents in which no item occurs, with all their columns, whatever their names."""
+    names = {name: "text" if name == "text" else f"c{i}" for i, name in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{name}`").alias(alias) for name, alias in names.items()])
+    clean = mark_benchmark(own, benchmark).where(F.size("items") == 0)
+    return clean.select(*[F.col(alias).alias(name) for name, alias in names.items()])
 
 
 def contamination(found: DataFrame) -> DataFrame:

@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, map_texts, record_batch
+from tagweave.llm.common import ddl, map_texts, record_batch, stored
 from tagweave.llm.quality import fold
 
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 #: Bytes in a subword; words stand between spaces, which count as a byte at either end.
 SIZES = (2, 3, 4)
-#: Bounds of the sample: expected number of learned documents for a language, drawn by a hash of the id, and languages, the commonest.
+#: Bounds of the sample: expected number of learned documents for a language, drawn by a hash of the id, and of all languages together.
 PER_LANGUAGE = 500
-LANGUAGES = 500
+LEARNED = 20_000
 EPOCHS, RATE, SEED = 8, 2.0, 7
 #: Share of wrong answers allowed among accepted ones, on the calibration documents (each fifth).
 ACCEPTED_ERROR = 0.01
@@ -134,13 +134,13 @@ def train(rows: list[tuple[list[int], list[int], str]]) -> SubwordModel:
 
 
 def sample(docs: DataFrame, folds: int, held_out: int, per_language: int) -> list[tuple[list[int], list[int], str]]:
-    """Subwords of learned documents: all of a rare language, ``per_language`` expected of another one."""
+    """Subwords of learned documents: all of a rare language, ``per_language`` expected of another one, fewer where there are very many languages; of each at least one."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null")
     known = known.where(fold("doc_id", folds) != held_out)
-    totals = known.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).toArrow()
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    table = F.broadcast(docs.sparkSession.createDataFrame(totals, "lang string, total long"))
-    drawn = known.join(table, "lang").where(draw * F.col("total") < per_language)
+    totals = stored(known.groupBy("lang").agg(F.count("*").alias("total"), F.min(draw).alias("least")), "languages")
+    expected = max(1, min(per_language, LEARNED // max(1, totals.count())))
+    drawn = known.join(totals, "lang").where((draw * F.col("total") < expected) | (draw == F.col("least")))
     fields = {"doc_id": "long", "lang": "string", "buckets": "array<int>", "counts": "array<int>"}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def identify_languages(
     """``doc_id, held_out, lang_pred, score, rejected`` of every document.
 
     Learned are documents with a language whose id does not fall in the fold ``held_out``: an expected
-    ``per_language`` of each of the ``LANGUAGES`` commonest languages, which bounds what reaches the driver. Predictions use the whole text and nothing
+    ``per_language`` of each language, fewer if all together were more than ``LEARNED``, but at least one of each, which bounds what reaches the driver. Predictions use the whole text and nothing
     else. ``score`` is the calibrated probability; ``rejected`` marks scores below the
     least one at which the accepted calibration documents were right to 99 %. A text that is null or has no letter
     is ``und`` with score 0 and rejected, and so is every text if nothing could be learned. A null id

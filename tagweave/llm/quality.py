@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, extend, map_texts, record_batch, stored
+from tagweave.llm.common import ddl, extend, fresh_name, map_texts, record_batch, stored
 
 #: Share of the pooled covariance, and of its mean variance on the diagonal, in each class covariance.
 TO_POOLED = 0.2
@@ -176,10 +177,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """The documents with a score of at least 0.5, with their columns."""
-    model = learn(stored(document_statistics(docs), "statistics"), labels, folds, held_out)
+    """The documents with a score of at least 0.5, with all their columns, whatever their names.
 
-    def prepare():
-        return lambda raw: (float(_scores(model, np.array([statistics(raw)]))[0]),)
+    Statistics are computed once and stored beside the rows.
+    """
+    features = fresh_name(docs, "features")
+    rows = stored(extend(docs, lambda: lambda raw: (statistics(raw),), {features: "array<double>"}), "statistics")
+    known = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(features).alias("features"))
+    model = learn(known, labels, folds, held_out)
+
+    @F.pandas_udf("double")
+    def score(own: pd.Series) -> pd.Series:
+        return pd.Series(_scores(model, np.stack(own.to_numpy())) if len(own) else [], dtype="float64")
 
-    return extend(docs, prepare, {"quality_score": "double"}).where("quality_score >= 0.5").select(*docs.columns)
+    return rows.where(score(F.col(features)) >= 0.5).select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -53,7 +53,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ddl, extend, map_texts, record_batch, stored
+from tagweave.llm.common import ddl, extend, fresh_name, map_texts, record_batch, stored
 from tagweave.llm.components import connected_components
 
 SHINGLE = 3
@@ -148,7 +148,11 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     has a null id); repeated rows are repeated in the result; empty and null texts have fingerprint 0 and form
     a group like any other. An empty table gives no rows.
     """
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    return _grouped(stored(fingerprints(docs, shingle), "fingerprints"), max_bits)
+
+
+def _grouped(marked: DataFrame, max_bits: int) -> DataFrame:
+    """``doc_id, fp, component_id`` of stored ``doc_id, fp``."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(fingerprint_links(nodes, max_bits))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left")
@@ -159,14 +163,21 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the least id of each group, with its columns.
+    """The document with the least id of each group, with all its columns, whatever their names and types.
 
-    Of several rows with that id and fingerprint the one with the least text stays.
+    Of several rows with that id and fingerprint the one with the least text stays, of equal texts the first one stored. Fingerprints are
+    computed once and stored beside the rows; only rows that repeat the id and fingerprint of a group's least document are compared by their texts.
     """
-    kept = simhash_groups(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    marked = extend(docs, _signed(shingle), {"fp": "long"})
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
-    others = [name for name in docs.columns if name not in ("doc_id", "text")]
-    rows = marked.join(kept, same, "left_semi").groupBy("doc_id", "fp").agg(F.min(F.struct("text", *others)).alias("row"))
-    return rows.select("doc_id", "row.*").select(*docs.columns)
+    fp, row, own_id, own_fp, n = (fresh_name(docs, name) for name in ("fp", "row", "kept_id", "kept_fp", "n"))
+    marked = extend(docs, _signed(shingle), {fp: "long"}).withColumn(row, F.monotonically_increasing_id())
+    marked = stored(marked, "marked")
+    groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), max_bits)
+    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = stored(least.groupBy(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)).agg(F.count("*").alias(n)), "least")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(fp) == F.col(own_fp))
+    once = marked.join(least.where(F.col(n) == 1), same, "left_semi")
+    again = marked.join(least.where(F.col(n) > 1), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", fp).orderBy("text", row))
+    again = again.withColumn(n, place).where(F.col(n) == 1)
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    return once.select(*columns).union(again.select(*columns))

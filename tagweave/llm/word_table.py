@@ -85,7 +85,8 @@ def _join_pack(path: str, buckets: int):
             ids_of: dict[bytes, str] = {}
             text_of: dict[bytes, str] = {}
             for bucket, words in word_lists(docs, buckets).items():
-                sizes, flat = map(from_planes, answers[bucket])
+                # A pack that was cut otherwise in the second reading has no answers: its words are encoded here.
+                sizes, flat = map(from_planes, answers.get(bucket) or _encode_words(path)([words])[0])
                 flat, start = flat.tolist(), 0
                 for i in set(flat).difference(pieces):
                     pieces[i] = piece(i)
@@ -122,8 +123,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Documents form packs of some megabytes. Each pack sends its distinct words, in lists by hash, to buckets; a bucket
     encodes each distinct word once and answers every pack; the pack's texts meet the answers and ids are put in place
     by position. A word that a third of all documents hold is one entry per pack, so no bucket is hot. Packs are
-    named by their content: a task that runs again asks under the same name. If a changed input made packs differ
-    between the two readings the lookup fails instead of giving wrong ids.
+    named by their content: a task that runs again asks under the same name. Where packs are cut otherwise in the second reading of the texts, since executors have come
+    or gone, they find no answers under their name, and their words are encoded in the task that joins them.
 
     Null and empty texts have no tokens; null ids and repeated rows are kept, each as a row of its own.
     """

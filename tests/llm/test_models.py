@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.llm import decontamination, language_id, quality, secret_scan, word_table
 
@@ -68,6 +69,14 @@ def test_language_on_held_out_documents(spark):
     assert len(accepted) > 0.8 * len(held) and np.mean(accepted) >= 0.97
 
 
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LEARNED", 10)
+    rows = [(i, f"text of number {i}", f"l{i % 40}", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = language_id.sample(docs, 4, 2, 500)
+    assert {lang for _, _, lang in found} == {f"l{i}" for i in range(40)} and len(found) < 200
+
+
 def test_language_odd_rows(odd_docs):
     rows = language_id.identify_languages(odd_docs).collect()
     assert len(rows) == 10
@@ -100,7 +109,7 @@ def test_pipeline(spark, monkeypatch):
     good = stages["quality"](spark, rows, SF_DIR).cache()
     bad = {r["doc_id"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 0").collect()}
     kept = held(good)
-    assert good.columns == list(corpus_pipeline.COLUMNS)
+    assert good.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     clean = {r["doc_id"] for r in rows.collect()} - bad
     assert len(kept.keys() & bad) <= 0.1 * len(bad & held(rows).keys()) + 1 and len(clean - kept.keys()) <= 0.1 * len(clean)
 
@@ -124,11 +133,12 @@ def test_pipeline(spark, monkeypatch):
     assert dirty and held(fresh).keys() == held(single).keys() - dirty
 
     safe = stages["secrets"](spark, fresh, SF_DIR).cache()
+    novelty = secret_scan.Novelty(secret_scan.primer(corpus_pipeline.public_tokenizers.path(corpus_pipeline.VOCABULARY)))
     assert held(safe).keys() == held(fresh).keys()
     for i, r in held(safe).items():
         before = held_text = held(fresh)[i]["text"] if i < 60 else None
         if held_text is not None:
-            found = secret_scan.spans(before.encode())
+            found, _ = secret_scan.spans(before.encode(), novelty)
             assert r["text"] == (secret_scan.redacted(before.encode(), found) if found else before)
 
     last = stages["encoding"](spark, safe, SF_DIR)
@@ -146,4 +156,21 @@ def test_stages_without_rows(spark, odd_docs):
         for name, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF_DIR).cache()
             ids = Counter(r["doc_id"] for r in rows.collect())
-            assert ids.total() <= 10 and (name == "encoding" or rows.columns == list(corpus_pipeline.COLUMNS))
+            assert ids.total() <= 10 and (name == "encoding" or rows.columns == odd_docs.columns)
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, make_docs):
+    """Names that the operators use themselves, and a map, which has no order."""
+    import corpus_pipeline
+
+    texts = ["the same text of some words"] * 2 + ["another text, which is not like it at all", None, ""]
+    docs = make_docs(texts, [7, 7, 9, None, 11])
+    names = ["items", "ranges", "n_words", "fp", "own_fp", "kept_id", "row", "own_row", "quality_score", "features", "own_features", "new_text", "n", "c0"]
+    docs = docs.withColumns({name: F.lit(i) for i, name in enumerate(names)} | {"extra": F.create_map(F.lit("a"), F.lit(1))})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF_DIR)
+        assert rows.columns == docs.columns, name
+        for r in rows.collect():
+            assert [r[n] for n in names] == list(range(len(names))) and r["extra"] == {"a": 1}
+        if name == "near_duplicates":
+            assert sorted(r["doc_id"] for r in rows.collect()) == [7, 9, 11]
