@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tagweave.llm import decontamination, quality, secret_scan, simhash, word_table
 from tagweave.llm.common import importable, stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -18,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     importable(spark)
-    return docs.select(*COLUMNS)
+    return docs
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts."""
-    return secret_scan.redact_secrets(_documents(spark, docs))
+    return secret_scan.redact_secrets(_documents(spark, docs), public_tokenizers.path(VOCABULARY))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
