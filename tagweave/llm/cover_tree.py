@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import ddl, record_batch, stored
 from tagweave.llm.components import connected_components
 
 COSINE = 0.93
-#: Most pivots expected, the nodes at the top of all trees; they are drawn by a hash.
+#: Most children of a cell; their centres are drawn by a hash.
 PIVOTS = 64
-#: Vectors in a block, which is a tree of its own below its pivot.
+#: Vectors in a cell from which it is divided no further: a task builds the lower levels of its tree.
 BLOCK = 2048
+#: Levels of cells after which cells that are still large are cut by a hash.
+LEVELS = 24
+#: Vectors of a large cell that one task deals to its children.
+DEALT = 16_384
 #: Distances computed at once.
 _CELLS = 1 << 21
 #: Rows from which the next centres of a level are taken at once.
@@ -174,57 +179,136 @@ def _unit_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select(*columns).mapInArrow(unit, ddl(fields))
 
 
-def _pivots(classes: DataFrame) -> np.ndarray | None:
-    """A bounded sample of the vectors of the commonest width; which ones it has affects cost alone.
+def _divided(placed: DataFrame, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors of ``large`` cells (label, path, size) in their children, and the children: ``label, parent, path, centre, r``.
 
-    About one pivot for two blocks of the largest label, so that few vectors do not fall into many cells.
+    Centres are some expected ``size / BLOCK`` vectors of the cell, at most ``PIVOTS``, drawn by a hash; which ones affects cost alone. A vector falls to the nearest, and
+    ``r`` is the largest distance. A cell of any size is dealt out in parts of bounded size.
+    """
+    members = placed.join(large, ["label", "path"])
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.ceil(1.2 * F.col("size") / BLOCK)))
+    draw = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = members.withColumns({"draw": draw, "wanted": wanted}).where(F.col("draw") * F.col("size") < 2 * F.col("wanted") + 8)
+    place = F.row_number().over(Window.partitionBy("label", "path").orderBy("draw", "node"))
+    centres = drawn.withColumn("place", place).where("place <= wanted")
+    centres = stored(centres.select("label", "path", "place", F.col("x").alias("centre")), "centres")
+    parts = F.ceil(F.col("size") / DEALT)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    copies = large.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    copies = copies.select("label", "path", "part").join(centres, ["label", "path"])
+    fields = {**_PLACED, "away": "double"}
+
+    def assign(group: pa.Table, own: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.Table.from_batches([record_batch(fields, [[] for _ in fields])])
+        order = np.argsort(own.column("place").to_numpy())
+        numbers = own.column("place").to_numpy()[order]
+        at = np.stack([np.frombuffer(x.as_py()) for x in own.column("centre")])[order] if len(order) else None
+        children, away = [], []
+        for start in range(0, group.num_rows, 1024):
+            part = group.slice(start, 1024)
+            if at is None:  # nothing was drawn: one child of the same size
+                children += [0] * part.num_rows
+                away += [2.0] * part.num_rows
+                continue
+            distance = _distances(np.stack([np.frombuffer(x.as_py()) for x in part.column("x")]), at)
+            nearest = distance.argmin(axis=1)
+            children += numbers[nearest].tolist()
+            away += distance[np.arange(len(nearest)), nearest].tolist()
+        path = group.column("path")[0].as_py()
+        columns = [group.column(name).combine_chunks() for name in ("node", "label", "n", "x")]
+        return pa.Table.from_batches([record_batch(fields, [*columns, [f"{path}/{child}" for child in children], away])])
+
+    keys = ["label", "path", "part"]
+    found = stored(dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(assign, ddl(fields)), "divided")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    cells = found.groupBy("label", "path").agg(F.max("away").alias("r")).withColumn("parent", parent)
+    known = centres.select("label", F.concat_ws("/", "path", F.col("place").cast("string")).alias("path"), "centre")
+    cells = cells.join(known, ["label", "path"], "left").select("label", "parent", "path", "centre", "r")
+    return found.select(*_PLACED), stored(cells, "cells")
+
+
+_PLACED = {"node": "long", "label": "string", "n": "long", "x": "binary", "path": "string"}
+
+
+def _cells(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The vectors in their last cells, and the cells of each level.
+
+    The first cell holds all vectors of one label and width; cells of more than ``BLOCK`` vectors are divided, level by level.
+    """
+    placed = classes.select("node", "label", "n", "x", F.octet_length("x").cast("string").alias("path"))
+    done, levels = [], []
+    for level in range(LEVELS):
+        sizes = stored(placed.groupBy("label", "path").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large")
+        if sizes.isEmpty():
+            break
+        done.append(placed.join(sizes, ["label", "path"], "left_anti").select(*_PLACED))
+        placed, cells = _divided(placed, sizes, level)
+        levels.append(cells)
+    return reduce(DataFrame.union, [*done, placed]), levels
+
+
+def _near_cells(first: DataFrame, levels: list[DataFrame], cosine: float) -> DataFrame:
+    """``label, c1, c2``: pairs of last cells, each once, that may hold linked vectors.
+
+    Starts with each first cell (``label, path``) and itself. Level by level a pair gives way to the pairs of its children whose covering
+    radii allow a link; a cell that is not divided stays. A pair that is excluded takes all pairs below it with it.
     """
-    widths = classes.groupBy(F.octet_length("x").alias("w")).agg(F.count("*").alias("n"))
-    top = widths.orderBy(F.desc("n"), "w").first()
-    if top is None:
-        return None
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    share = min(PIVOTS, largest // (2 * BLOCK) + 1) / top["n"]
-    draw = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / float(1 << 30)
-    rows = classes.where((F.octet_length("x") == top["w"]) & (draw < share)).select("x").limit(4 * PIVOTS).collect()
-    return np.stack([np.frombuffer(r["x"]) for r in rows]) if rows else None
-
-
-def _nodes(classes: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """``classes`` with ``cell``, the nearest pivot, and ``away``, the distance to it; and the pivots."""
-    pivots = _pivots(classes)
-    fields = {"node": "long", "label": "string", "n": "long", "x": "binary", "cell": "int", "away": "double"}
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.full(batch.num_rows, -1, dtype=np.int32)
-            away = np.full(batch.num_rows, 2.0)
-            vectors = [np.frombuffer(x.as_py()) for x in batch.column(3)]
-            if pivots is not None:
-                own = np.array([i for i, x in enumerate(vectors) if len(x) == pivots.shape[1]], dtype=np.int64)
-                if len(own):
-                    distance = _distances(np.stack([vectors[i] for i in own]), pivots)
-                    cell[own] = distance.argmin(axis=1)
-                    away[own] = distance.min(axis=1)
-            for i, x in enumerate(vectors):
-                if cell[i] < 0:
-                    cell[i] = -len(x)  # a width of its own: one cell
-            yield record_batch(fields, [*(batch.column(i) for i in range(4)), pa.array(cell), pa.array(away)])
-
-    return classes.select("node", "label", "n", "x").mapInArrow(assign, ddl(fields)), pivots
-
-
-def _near_cells(cells: DataFrame, pivots: np.ndarray | None, cosine: float) -> DataFrame:
-    """Pairs of cells of a label that may hold linked vectors, by the radii of the trees' tops."""
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 2 * _SLACK
-    left = cells.select("label", F.col("cell").alias("c1"), F.col("r").alias("r1"), F.col("blocks").alias("b1"))
-    right = cells.select("label", F.col("cell").alias("c2"), F.col("r").alias("r2"), F.col("blocks").alias("b2"))
-    pairs = left.join(right, "label").where("c1 = c2 or (c1 >= 0 and c1 < c2)")
-    apart = _distances(pivots, pivots) if pivots is not None else np.zeros((0, 0))
-    table = [(i, j, float(d)) for i, row in enumerate(apart) for j, d in enumerate(row) if i < j]
-    distances = cells.sparkSession.createDataFrame(table, "c1 int, c2 int, apart double")  # at most (4 * PIVOTS)^2 rows
-    joined = pairs.join(F.broadcast(distances), ["c1", "c2"], "left")
-    return joined.where(F.col("apart").isNull() | (F.col("apart") <= F.col("r1") + F.col("r2") + reach))
+    known = {f"{name}{i}": kind for i in (1, 2) for name, kind in (("c", "string"), ("x", "binary"), ("r", "double"))}
+    fields = {"label": "string", **known}
+    pairs = first.select("label", *[(F.col("path") if name[0] == "c" else F.lit(None).cast(kind)).alias(name) for name, kind in known.items()])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column("x1"), batch.column("x2")
+            ranges = np.stack([batch.column(name).fill_null(4.0).to_numpy(zero_copy_only=False) for name in ("r1", "r2")]).sum(axis=0)
+            keep = [
+                a is None or b is None or a == b or np.linalg.norm(np.frombuffer(a) - np.frombuffer(b)) <= limit + reach
+                for a, b, limit in zip(one.to_pylist(), two.to_pylist(), ranges.tolist(), strict=True)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    for cells in levels:
+        for i in (1, 2):
+            below = cells.select("label", F.col("parent").alias(f"c{i}"), F.col("path").alias("path"), F.col("centre"), F.col("r"))
+            joined = pairs.join(below, ["label", f"c{i}"], "left")
+            other = [F.col(name) for name in known if name[-1] != str(i)]
+            pairs = joined.select(
+                "label",
+                *other,
+                F.coalesce("path", f"c{i}").alias(f"c{i}"),
+                F.when(F.col("path").isNull(), F.col(f"x{i}")).otherwise(F.col("centre")).alias(f"x{i}"),
+                F.when(F.col("path").isNull(), F.col(f"r{i}")).otherwise(F.col("r")).alias(f"r{i}"),
+            )
+        # The children of a cell and itself meet in both orders.
+        pairs = pairs.select(*fields).where("c1 <= c2")
+        pairs = stored(pairs.mapInArrow(within, ddl(fields)), "cell-pairs")
+    return pairs.select("label", "c1", "c2")
+
+
+def _sides(classes: DataFrame, cosine: float) -> DataFrame:
+    """The vectors of all pairs of blocks that meet: ``label, c1, c2, i, j, both, node, n, x, side``."""
+    placed, levels = _cells(classes)
+    first = classes.select("label", F.octet_length("x").cast("string").alias("path")).distinct()
+    pairs = _near_cells(first, levels, cosine)
+    # A cell has several blocks only if the levels did not suffice.
+    sizes = placed.groupBy("label", "path").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = stored(sizes, "blocks")
+    for i in (1, 2):
+        pairs = pairs.join(sizes.select("label", F.col("path").alias(f"c{i}"), F.col("blocks").alias(f"b{i}")), ["label", f"c{i}"])
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b1") - 1)))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b2") - 1))).where("c1 < c2 or i <= j")
+    both = ~((F.col("c1") == F.col("c2")) & (F.col("i") == F.col("j")))
+    pairs = pairs.select("label", "c1", "c2", "i", "j", both.alias("both"))
+    block = F.pmod("node", F.col("blocks").cast("long")).cast("int")
+    blocks = placed.join(sizes, ["label", "path"]).withColumn("block", block)
+    keys = ["label", "c1", "c2", "i", "j"]
+    left = blocks.select("label", F.col("path").alias("c1"), F.col("block").alias("i"), "node", "n", "x")
+    right = blocks.select("label", F.col("path").alias("c2"), F.col("block").alias("j"), "node", "n", "x")
+    columns = [*keys, "both", "node", "n", "x"]
+    sides = pairs.join(left, ["label", "c1", "i"]).select(*columns, F.lit(0).alias("side"))
+    return sides.union(pairs.where("both").join(right, ["label", "c2", "j"]).select(*columns, F.lit(1).alias("side")))
 
 
 def _spanning(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -289,9 +373,9 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Each row is a vector, also if ids or vectors are repeated: equal vectors of a label form one node with a weight. Vectors with a null
     id count as links, and are least only among themselves.
 
-    Nodes are dealt to cells by their nearest pivot and to blocks of bounded size inside a cell. Pairs of blocks meet where the
-    covering radii of their cells allow a link, and each pair is a task of its own: it descends the
-    cover trees of both blocks. A task returns a row per linked node, never pairs.
+    Vectors of a label fall to cells, nested in levels until a cell is a block of bounded size: the upper levels of a cover tree. Pairs of cells descend
+    level by level, and only pairs whose covering radii allow a link go on; the vectors are copied to the pairs of blocks that are left, and each is a task of
+    its own, which descends the cover trees of both blocks. A task returns a row per linked node, never pairs.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be in (0, 1]")
@@ -299,24 +383,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     usable = rows.where("x is not null and label is not null")
     classes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    placed, pivots = _nodes(classes)
-    placed = stored(placed, "placed")
-    cells = placed.groupBy("label", "cell").agg(F.max("away").alias("r"), F.count("*").alias("size"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    pairs = _near_cells(cells, pivots, cosine)
-    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b1") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b2") - 1))).where("c1 < c2 or i <= j")
-    both = ~((F.col("c1") == F.col("c2")) & (F.col("i") == F.col("j")))
-    pairs = pairs.select("label", "c1", "c2", "i", "j", both.alias("both"))
-    block = F.pmod("node", F.col("blocks").cast("long")).cast("int")
-    blocks = placed.join(cells.select("label", "cell", "blocks"), ["label", "cell"]).withColumn("block", block)
+    sides = _sides(classes, cosine)
     keys = ["label", "c1", "c2", "i", "j"]
-    first = pairs.join(blocks.select("label", F.col("cell").alias("c1"), F.col("block").alias("i"), "node", "n", "x"), ["label", "c1", "i"])
-    second = pairs.where("both").join(
-        blocks.select("label", F.col("cell").alias("c2"), F.col("block").alias("j"), "node", "n", "x"), ["label", "c2", "j"]
-    )
-    columns = [*keys, "both", "node", "n", "x"]
-    sides = first.select(*columns, F.lit(0).alias("side")).union(second.select(*columns, F.lit(1).alias("side")))
     found = stored(sides.groupBy(*keys).applyInArrow(_traverse(cosine), ddl(_LINKS)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("node <> root").select("node", "root"))

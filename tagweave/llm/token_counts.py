@@ -6,9 +6,12 @@ import json
 import re
 from array import array
 from bisect import bisect_right
+from collections.abc import Sequence
 from itertools import accumulate, islice
 
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagweave.llm.common import map_texts
@@ -179,17 +182,107 @@ class PrefixCounter:
             known.update(islice(short, CACHE_ENTRIES))
             return [fresh[word] if word in fresh else known[word] for word in words]
 
-    def measure(self, raw: bytes | None, limit: int) -> tuple[int, int, int]:
-        """Bytes, tokens, and bytes of the longest prefix that ends with a word and has at most ``limit`` tokens."""
+    def measure(self, raw: bytes | None, limits: Sequence[int]) -> tuple[int, int, list[tuple[int, int]]]:
+        """Bytes, tokens, and for each limit bytes and tokens of the longest prefix with at most so many tokens.
+
+        The counts at the ends of words tell which word crosses a limit. Any longer prefix has all of that word, so the longest one that fits
+        ends in it, and the counts of its prefixes decide.
+        """
         if not raw:
-            return 0, 0, 0
+            return 0, 0, [(0, 0)] * len(limits)
         counts = self.word_counts(raw.split())
-        total = sum(counts)
-        if total <= limit:
-            return len(raw), total, len(raw)
-        fitting = bisect_right(list(accumulate(counts)), limit)
-        end = next(islice(_CHUNK.finditer(raw), fitting - 1, None)).end() if fitting else 0
-        return len(raw), total, end
+        until = list(accumulate(counts))
+        total = until[-1] if until else 0
+        limits = [max(0, limit) for limit in limits]
+        crossing = [bisect_right(until, limit) for limit in limits]
+        wanted, places = set(crossing), {}
+        for i, word in zip(range(max(wanted) + 1), _CHUNK.finditer(raw)):
+            if i in wanted:
+                places[i] = word.span()
+        fits = []
+        for limit, i in zip(limits, crossing):
+            if i == len(until):
+                fits.append((len(raw), total))
+                continue
+            before, (start, end) = until[i - 1] if i else 0, places[i]
+            own, tokens = self._fit_word(raw[start:end].decode(), limit - before)
+            fits.append((start + own, before + tokens))
+        return len(raw), total, fits
+
+    def _fit_word(self, word: str, limit: int) -> tuple[int, int]:
+        """Bytes and tokens of the longest prefix of a word with at most ``limit`` tokens; the word has more."""
+        at = tokens = 0
+        while True:
+            found = [(word.find(special, at), special) for special in self.specials]
+            cut, special = min((f for f in found if f[0] >= 0), default=(len(word), ""))
+            own = self._count_text(word[at:cut])
+            if not special or tokens + own + 1 > limit:
+                # What is left of a special string that is cut is ordinary text.
+                length, own = self._fit_text(word[at : cut + max(0, len(special) - 1)], limit - tokens)
+                return len(word[: at + length].encode()), tokens + own
+            tokens, at = tokens + own + 1, cut + len(special)
+
+    def _count_text(self, text: str) -> int:
+        return sum(self._count_piece(piece) for piece, _ in self._split_text(text)[1])
+
+    def _split_text(self, text: str) -> tuple[str, list[tuple[str, tuple[int, int]]]]:
+        normal = self.tokenizer.normalizer.normalize_str(text) if text else ""
+        return normal, self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if normal else []
+
+    def _fit_text(self, text: str, limit: int) -> tuple[int, int]:
+        """Characters and tokens of the longest prefix that ends between two grapheme clusters, in a text without special strings."""
+        normal, pieces = self._split_text(text)
+        if text.isascii() and len(normal) == len(text):
+            clusters, own = text, normal
+        else:
+            clusters = regex.findall(r"\X", text)
+            own = [self.tokenizer.normalizer.normalize_str(cluster) for cluster in clusters]
+        if "".join(own) != normal:  # clusters that change each other: all prefixes, the longest first
+            for k in range(len(clusters), 0, -1):
+                prefix = "".join(clusters[:k])
+                if (tokens := self._count_text(prefix)) <= limit:
+                    return len(prefix), tokens
+            return 0, 0
+        ends = [0, *accumulate(map(len, own))]
+        tokens, first, last = 0, len(normal), len(normal)
+        for piece, (start, end) in pieces:
+            more = self._count_piece(piece)
+            if tokens + more > limit:
+                first, last = start, end
+                break
+            tokens += more
+        inside = self._counts_inside(piece, normal[first:last], limit - tokens) if first < last else {}
+        for k in range(bisect_right(ends, last) - 1, 0, -1):
+            at = ends[k]
+            if at > first:
+                if at - first not in inside:
+                    continue
+                count = tokens + inside[at - first]
+            else:
+                # A cluster that begins in an earlier piece ends between pieces at times.
+                count = tokens if at == first else self._count_text("".join(clusters[:k]))
+            if count <= limit:
+                return sum(map(len, clusters[:k])), count
+        return 0, 0
+
+    def _counts_inside(self, piece: str, text: str, limit: int) -> dict[int, int]:
+        """Tokens of the prefixes of a piece, by their characters in ``text``, as far as they can have at most ``limit``.
+
+        A prefix has one token more than some prefix before it that is shorter by no more than the longest token.
+        """
+        if text[0] == "'":  # a contraction that is cut is two pieces
+            return {k: self._count_text(text[:k]) for k in range(1, len(text))}
+        symbols = list(accumulate(len(c.encode()) for c in text[:-1]))
+        last, count = self._fill(piece[:-1])
+        fitting = next((j for j in range(len(count) - 1, -1, -1) if count[j] < limit), -1)
+        most = bisect_right(symbols, fitting + self.longest)
+        known: dict[int, int] = {}
+        for k in range(most, 0, -1):
+            known[k] = self._close(piece, symbols[k - 1], last, count)
+            # Prefixes that are shorter by more than a token cannot be the longest that fits.
+            if known[k] <= limit and k < most - self.longest:
+                break
+        return known
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -207,13 +300,43 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     ``path`` names a vocabulary file of the tokenizers library on every executor, with a pre-tokenizer that drops
     white space. Counts are those of the library for the whole text, without added special
-    tokens. ``fit_bytes`` is the length of the longest prefix that ends with a word and has at most ``limit``
-    tokens, the whole text if that fits. Null and empty texts have 0 of all;
+    tokens. ``fit_bytes`` is the length of the longest prefix with at most ``limit`` tokens, see ``fit_budgets``. Null and empty texts have 0 of all;
     repeated rows and null ids are kept; a very long word costs time and memory in proportion to its length.
     """
 
     def prepare():
         own = counter(path)
-        return lambda raw: own.measure(raw, limit)
+
+        def work(raw):
+            n_bytes, n_tokens, ((fit, _),) = own.measure(raw, [limit])
+            return n_bytes, n_tokens, fit
+
+        return work
 
     return map_texts(docs, prepare, {"n_bytes": "long", "n_tokens": "long", "fit_bytes": "long"})
+
+
+def fit_budgets(docs: DataFrame, path: str, budgets: Sequence[int]) -> DataFrame:
+    """``doc_id, budget, fit_bytes, fit_tokens``: a row for each document and each of the token ``budgets``, of one pass over its text.
+
+    ``fit_bytes`` is the length in bytes of the longest prefix that the library encodes with at most ``budget`` tokens, and ``fit_tokens`` how many
+    these are. A prefix ends anywhere between two grapheme clusters, inside words too, and has the white space that follows it. Nothing is encoded
+    for it: counts of words are added up, and those of the prefixes of one word follow from the entries of the dynamic program. Null and
+    empty texts fit every budget with 0 of both; a budget below 0 counts as 0. Repeated budgets count once;
+    without budgets there are no rows.
+    """
+    limits = [int(budget) for budget in dict.fromkeys(budgets)]
+
+    def prepare():
+        own = counter(path)
+
+        def work(raw):
+            fits = own.measure(raw, limits)[2] if limits else []
+            return [fit for fit, _ in fits], [tokens for _, tokens in fits]
+
+        return work
+
+    found = map_texts(docs, prepare, {"fits": "array<long>", "tokens": "array<long>"})
+    wanted = F.array(*[F.lit(limit).cast("long") for limit in limits]).cast("array<long>")
+    rows = found.select("doc_id", F.explode(F.arrays_zip(wanted.alias("budget"), "fits", "tokens")).alias("fit"))
+    return rows.select("doc_id", F.col("fit.budget").alias("budget"), F.col("fit.fits").alias("fit_bytes"), F.col("fit.tokens").alias("fit_tokens"))

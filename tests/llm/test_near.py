@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tagweave.llm import cover_tree, simhash
 from tagweave.llm.components import connected_components
@@ -135,6 +136,34 @@ def test_embedding_links(spark, vectors, monkeypatch, block, pivots):
     assert {r["vec_id"]: r["n_links"] for r in rows} == degree
 
 
+@pytest.mark.parametrize("levels, dealt", [(24, 5), (1, 16_384), (0, 16_384)])
+def test_embedding_links_in_cells_of_all_kinds(spark, vectors, monkeypatch, levels, dealt):
+    """Many levels with cells dealt in parts, and cells that the levels do not divide far enough."""
+    for name, value in (("BLOCK", 3), ("PIVOTS", 3), ("LEVELS", levels), ("DEALT", dealt)):
+        monkeypatch.setattr(cover_tree, name, value)
+    table = spark.createDataFrame(vectors[:90], "vec_id long, label int, embedding array<float>")
+    pairs = plain_links(vectors[:90])
+    degree = {v[0]: sum(v[0] in p for p in pairs) for v in vectors[:90]}
+    assert {r["vec_id"]: r["n_links"] for r in cover_tree.embedding_links(table).collect()} == degree
+
+
+def test_copies_of_clustered_vectors_grow_with_their_number(spark, monkeypatch):
+    """Twice the clusters, twice the vectors of one label: the rows sent to pairs of blocks grow by 2.5 at most."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    copies = []
+    for clusters in (10, 20):
+        rows = []
+        for _ in range(clusters):
+            centre = rng.normal(size=24)
+            rows += [(len(rows) + i, 1, (centre + 0.02 * rng.normal(size=24)).tolist()) for i in range(120)]
+        units = cover_tree._unit_rows(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+        classes = units.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+        classes = cover_tree.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        copies.append(cover_tree._sides(classes, 0.93).count())
+    assert copies[1] <= 2.5 * copies[0], copies
+
+
 def test_embeddings_empty_and_repeated(spark, vectors):
     table = spark.createDataFrame(vectors[:5] + vectors[:5], "vec_id long, label int, embedding array<float>")
     rows = cover_tree.embedding_links(table).collect()

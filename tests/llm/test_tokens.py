@@ -1,10 +1,12 @@
 """Token counts, encoding and decoding against the tokenizers library."""
 
 import random
+import re
 import tracemalloc
 
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from tagweave.llm import token_counts, word_table
@@ -33,14 +35,14 @@ def test_every_prefix_of_a_word():
 def test_counts_are_the_librarys():
     own = token_counts.PrefixCounter(PATH)
     for text in texts():
-        assert own.measure(text.encode(), 10)[1] == len(ids(text)), text
+        assert own.measure(text.encode(), [10])[1] == len(ids(text)), text
 
 
 def test_full_tables_start_anew(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 20)
     own = token_counts.PrefixCounter(PATH)
     for text in texts()[:200]:
-        assert own.measure(text.encode(), 10)[1] == len(ids(text))
+        assert own.measure(text.encode(), [10])[1] == len(ids(text))
 
 
 @pytest.mark.parametrize("unit", ["a", "!", "漢", "thequickbrownfox"])
@@ -48,11 +50,11 @@ def test_a_very_long_piece_takes_memory_in_proportion(unit):
     own = token_counts.PrefixCounter(PATH)
     for n in (60, 70, 1500):
         text = (unit * n)[:n]
-        assert own.measure(text.encode(), 10)[1] == len(ids(text))
+        assert own.measure(text.encode(), [10])[1] == len(ids(text))
     own = token_counts.PrefixCounter(PATH)
     tracemalloc.start()
     text = (unit * 30_000)[:30_000]
-    assert own.measure(text.encode(), 10)[1] == len(ids(text))
+    assert own.measure(text.encode(), [10])[1] == len(ids(text))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20
@@ -62,17 +64,61 @@ def test_a_very_long_piece_takes_memory_in_proportion(unit):
 @pytest.mark.parametrize("unit", ["a", "!"])
 def test_a_million_characters(unit):
     text = unit * 1_000_000
-    assert token_counts.PrefixCounter(PATH).measure(text.encode(), 10)[:2] == (len(text), len(ids(text)))
+    assert token_counts.PrefixCounter(PATH).measure(text.encode(), [10])[:2] == (len(text), len(ids(text)))
+
+
+def prefix_ends(text):
+    """Where a prefix may end: in white space, and between the grapheme clusters of words and of what special strings leave of them."""
+    ends = {0, len(text)}
+    for word in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        at = word.start()
+        for part in re.split(r"(<\|startoftext\|>|<\|endoftext\|>)", word[0]):
+            units = list(part) if part.startswith("<|") and part.endswith("|>") else regex.findall(r"\X", part)
+            for unit in units:
+                ends.add(at)
+                at += len(unit)
+        ends.add(at)
+    white = {m.start() + i for m in re.finditer(r"[\x20\x09-\x0D]+", text) for i in range(len(m[0]) + 1)}
+    return sorted(ends | white)
+
+
+def longest_fit(text, budget):
+    return max((k, len(ids(text[:k]))) for k in prefix_ends(text) if len(ids(text[:k])) <= max(0, budget))
 
 
 def test_longest_fitting_prefix():
     own = token_counts.PrefixCounter(PATH)
-    text = "one two  three\nfour five"
-    for limit in range(6):
-        fit = own.measure(text.encode(), limit)[2]
-        assert fit in (0, 3, 7, 14, 19, 24)
-        assert len(ids(text[:fit])) <= limit
-        assert fit == 24 or len(ids(" ".join(text[: fit + 1 + 6].split()[: len(text[:fit].split()) + 1]))) > limit
+    rnd = random.Random(8)
+    some = [*texts()[:150], "one two  three\nfour five", "  international!!law don't<|endoftext|>we'll ", "supercalifragilistic" * 4, "漢字漢字漢字" * 4]
+    for text in some:
+        total = len(ids(text))
+        budgets = sorted({0, 1, 2, total - 1, total, total + 1, *(rnd.randrange(total + 1) for _ in range(4))})
+        fits = own.measure(text.encode(), budgets)[2]
+        for budget, (size, tokens) in zip(budgets, fits):
+            end, expected = longest_fit(text, budget)
+            assert (size, tokens) == (len(text[:end].encode()), expected), (text, budget)
+
+
+def test_a_text_without_white_space_is_cut_inside():
+    own = token_counts.PrefixCounter(PATH)
+    for unit in ("thequickbrownfox", "漢字", "!?x1"):
+        text = unit * 3000
+        (size, tokens), = own.measure(text.encode(), [2048])[2]
+        prefix = text.encode()[:size].decode()
+        assert tokens == len(ids(prefix)) <= 2048 < len(ids(text[: len(prefix) + 1])) and size > 2048
+
+
+def test_budgets(spark, make_docs, odd_docs):
+    rows = texts()[:40]
+    found = token_counts.fit_budgets(make_docs(rows), PATH, [5, 0, 3, 5]).collect()
+    assert len(found) == 3 * len(rows)
+    for r in found:
+        end, tokens = longest_fit(rows[r["doc_id"]], r["budget"])
+        assert (r["fit_bytes"], r["fit_tokens"]) == (len(rows[r["doc_id"]][:end].encode()), tokens)
+    odd = token_counts.fit_budgets(odd_docs, PATH, [-1, 2048]).collect()
+    assert len(odd) == 20 and all(r["fit_tokens"] <= max(0, r["budget"]) for r in odd)
+    assert token_counts.fit_budgets(odd_docs, PATH, []).count() == 0 == token_counts.fit_budgets(odd_docs.limit(0), PATH, [1]).count()
+
 
 
 def test_spark_forms(make_docs):
@@ -99,6 +145,14 @@ def test_odd_rows(odd_docs, count):
     assert count(odd_docs.limit(0), PATH).count() == 0
 
 
+def test_packs_without_answers_encode_their_words(make_docs, monkeypatch):
+    """As if the packs of the second reading had been cut otherwise: no answer comes under their names."""
+    rows = texts()[:60]
+    monkeypatch.setattr(word_table.pk, "answers", lambda asked, decide: asked.selectExpr("pack", "bucket", "payload").where("bucket < 0"))
+    for r in word_table.encode(make_docs(rows), PATH).collect():
+        assert r["ids"] == " ".join(map(str, ids(rows[r["doc_id"]])))
+
+
 def test_planes():
     import numpy as np
 
