@@ -25,6 +25,8 @@ KEY_PAIRS = ((0, 1), (1, 2), (2, 0))
 GENERATOR = 0xAE3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Keys of 16 bytes that are sent to all executors at most.
+FEW = 250_000
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
 
@@ -175,9 +177,14 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = M
     least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     least = stored(least.groupBy(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)).agg(F.count("*").alias(n)), "least")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(fp) == F.col(own_fp))
-    once = marked.join(least.where(F.col(n) == 1), same, "left_semi")
-    again = marked.join(least.where(F.col(n) > 1), same, "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", fp).orderBy("text", row))
-    again = again.withColumn(n, place).where(F.col(n) == 1)
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    return once.select(*columns).union(again.select(*columns))
+    once = least.where(F.col(n) == 1).select(own_id, own_fp, F.lit(None).cast("long").alias(n))
+    several = least.where(F.col(n) > 1).select(own_id, own_fp)
+    m = several.count()
+    if m:
+        # Which row stays is decided by row numbers; the texts of the others meet no further join.
+        again = marked.join(F.broadcast(several) if m <= FEW else several, same)
+        place = F.row_number().over(Window.partitionBy(own_id, own_fp).orderBy("text", row))
+        again = again.select(own_id, own_fp, "text", row).withColumn(n, place).where(F.col(n) == 1)
+        once = once.union(stored(again.select(own_id, own_fp, F.col(row).alias(n)), "first-rows"))
+    kept = marked.join(once, same & (F.col(n).isNull() | (F.col(n) == F.col(row))), "left_semi")
+    return kept.select(*[F.col(f"`{name}`") for name in docs.columns])
