@@ -10,8 +10,9 @@ from test_match import random_graph, random_pattern
 from tagweave import Pattern, match, match_count
 from tagweave.operators import joins
 from tagweave.plans.counting import embedding_terms
+from tagweave.plans import match as match_module
 from tagweave.plans.match import chosen_strategy, match_steps
-from tagweave.plans.order import PatternStats
+from tagweave.plans.order import PatternStats, vertex_order
 from tagweave.plans.reduce import is_tree, reduced_slices
 
 
@@ -189,3 +190,44 @@ def test_very_many_vertices_of_one_tag_are_listed(make_graph):
     graph = graph_of(make_graph, vertices, edges)
     pattern = Pattern.parse(" ".join(f"{i}:1" for i in range(6)), "0>1 2>3 4>5")
     assert match_count(graph, pattern) == len(brute_force(vertices, edges, pattern))
+
+
+def test_the_intersection_starts_where_no_product_is_built():
+    """Few suppliers and many customers share a nation: the smallest slice, supplier to nation, is the worst start."""
+    cycle = Pattern.parse("1:12 2:21 3:40 4:50", "1>2 2>3 3>4 1>4")
+    sizes = {(1, 2): 5_000, (2, 3): 120_000, (3, 4): 1_000, (1, 4): 3_000}
+    ends = {(1, 2): (2_500, 5_000), (2, 3): (30_000, 1_000), (3, 4): (1_000, 25), (1, 4): (3_000, 25)}
+    for copies in (1, 10, 1000):
+        grown = {e: n * copies for e, n in sizes.items()}
+        grown_ends = {e: (a * copies, b * copies if b > 25 else b) for e, (a, b) in ends.items()}
+        start, order = vertex_order(cycle, grown, grown_ends)
+        assert start != (3, 4) and sorted((*start, *order)) == [1, 2, 3, 4]
+        bound = set(start)
+        for vertex in order:  # customers and suppliers are never paired by their nation alone
+            assert not (bound == {3, 4} and vertex == 1) and not (bound == {1, 4} and vertex == 3)
+            bound.add(vertex)
+
+
+def test_the_rows_of_a_cycle_grow_with_the_graph(make_graph, monkeypatch):
+    built = {}
+    plain = match_module.intersect
+    for copies in (2, 4):
+        vertices, edges = {1: 50}, set()
+        for i in range(30 * copies):
+            customer, order, supplier = 1000 + i, 2000 + i, 3000 + i
+            vertices |= {customer: 12, order: 21, supplier: 40}
+            edges |= {(customer, order), (order, supplier), (customer, 1), (supplier, 1)}
+            edges |= {(order, 3000 + (i + 1) % (30 * copies))} if i % 2 else set()
+        graph = graph_of(make_graph, vertices, edges)
+        counted = []
+
+        def stepped(matches, *rest, counted=counted):
+            found = plain(matches, *rest)
+            counted.append(found.count())
+            return found
+
+        monkeypatch.setattr(match_module, "intersect", stepped)
+        found = rows(match(graph, Pattern.parse("1:12 2:21 3:40 4:50", "1>2 2>3 3>4 1>4"), 0, "intersect"))
+        assert len(found) == 45 * copies
+        built[copies] = max(counted)
+    assert built[4] <= 2 * built[2]
