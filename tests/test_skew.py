@@ -118,3 +118,27 @@ def test_grid_product(sides):
     assert rows(product) == expected
     plan = product._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_of_very_many_keys_only_the_hot_ones_are_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 300)
+    left = spark.range(8000).selectExpr("if(id < 4000, 0, id % 1000) AS k", "id AS a")
+    right = spark.range(1000).selectExpr("id AS k", "-id AS b")
+    splits = splits_from(hot_keys(left, ["k"], 2), ["k"], "n", "1", 2)
+    assert [r.k for r in splits.collect()] == [0]
+    assert rows(skew_join(left, right, ["k"], splits)) == rows(left.join(right, "k"))
+    even = splits_from(hot_keys(left.where("k > 0"), ["k"], 2), ["k"], "n", "1", 2)
+    assert even is None
+
+
+def test_the_partitions_of_a_counted_table_follow_its_rows(spark, monkeypatch):
+    left = spark.range(1000).selectExpr("id % 100 AS k", "id % 500 AS a")
+    assert skew.task_partitions(left, skew.SPREAD_ROWS) is None
+    assert skew.task_partitions(left, 10**9) == 1000
+    monkeypatch.setattr(skew, "SPREAD_ROWS", 10)
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    right = spark.range(100).selectExpr("id AS k", "-id AS b")
+    joined = skew_join(left, right, ["k"], None, "inner", True, skew.task_partitions(left, 1000))
+    assert "hashpartitioning(k" in joined._jdf.queryExecution().executedPlan().toString()
+    assert ", 20), REPARTITION_BY_NUM" in joined._jdf.queryExecution().executedPlan().toString()
+    assert rows(joined) == rows(left.distinct().join(right, "k"))
