@@ -3,9 +3,9 @@ from conftest import rows
 
 import tagweave as tw
 from tagweave.operators import tagging
-from tagweave.operators.hubs import hub_fan_out
+from tagweave.operators.hubs import hub_fan_out, hub_rows
 from tagweave.operators.slices import edges_for, vertices_by_tag
-from tagweave.session import new_folder
+from tagweave.session import new_folder, small_shuffle_reads
 
 
 def test_tags_both_ends_and_keeps_each_edge_once(make_frames):
@@ -106,3 +106,37 @@ def test_sorted_adjacency(make_frames, split):
         assert keys == sorted(keys)
     places = {src: sum(any(r.src == src for r in part) for part in parts) for src in (1, 2, 3)}
     assert set(places.values()) == {1}
+
+
+def test_tagging_more_edges_takes_more_partitions(spark, make_frames, monkeypatch):
+    v, e = hub_frames(make_frames)
+    few = rows(tw.tag_edges(v, e))
+    monkeypatch.setattr("tagweave.operators.skew.SPREAD_ROWS", 5)
+    monkeypatch.setattr("tagweave.operators.skew.TASK_ROWS", 4)
+    endpoints = tagging.hub_endpoints(e, 10)
+    for hubs in (None, endpoints):
+        tagged = tw.tag_edges(v, e, hubs=hubs, split_at=10)
+        text = tagged._jdf.queryExecution().executedPlan().toString()
+        partitions = -(-e.count() // 4)
+        assert partitions > 3 and f", {partitions}), REPARTITION_BY_NUM" in text
+        assert rows(tagged) == few
+
+
+def test_storing_leaves_the_session_as_it_was(spark, make_frames):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    with small_shuffle_reads(spark):
+        assert spark.conf.get(key) == f"{16 << 20}b"
+        with small_shuffle_reads(spark, 1 << 30):
+            assert spark.conf.get(key) == f"{16 << 20}b"
+    assert spark.conf.get(key) == before
+
+
+def test_hubs_that_are_too_many_for_a_broadcast(make_frames, monkeypatch):
+    v, e = hub_frames(make_frames)
+    tagged = tw.tag_edges(v, e)
+    endpoints = tagging.hub_endpoints(e, 10)
+    expected = rows(hub_fan_out(tagged, endpoints, 10).table)
+    monkeypatch.setattr("tagweave.operators.hubs.BROADCAST_ROWS", 0)
+    assert "LeftSemi" not in hub_rows(tagged, endpoints, 10)._jdf.queryExecution().executedPlan().toString()
+    assert rows(hub_fan_out(tagged, endpoints, 10).table) == expected != []
